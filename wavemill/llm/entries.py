@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .oracles import ORACLES as ORACLES
 from .quality_rules import op5_quality_rules
+from .secrets import op3_secret_scan
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
 }
