@@ -8,14 +8,13 @@ that alphabet: chi-squared, runs above and below the middle of the alphabet,
 and lag-1 serial correlation.  Their Bonferroni-combined p-value is small for
 words, names and counters and uniform for keys.
 
-How small is too small depends on length: short runs of ordinary letters pass
+How small is too small depends on length: short pieces of ordinary text pass
 such tests often.  So false discoveries are controlled in strata of length
-against decoys, the letters-only runs of the same corpus, which are scored
-alike but never reported.  In each stratum the threshold is the lowest p at
+against decoys: the letters of all texts, cut into pieces of each stratum's
+length and scored alike.  In each stratum the threshold is the lowest p at
 which (share of decoys that pass) x (candidates) / (candidates that pass) is at
-most ``FALSE_SHARE``; a stratum without such a threshold adds nothing.  A
-stratum's decoys are those of its own and of shorter lengths, as long ones are
-few.  Counts come from all documents; what reaches the driver is one row per stratum and
+most ``FALSE_SHARE``; a stratum without such a threshold adds nothing.  Counts
+come from all documents; what reaches the driver is one row per stratum and
 grid point, whatever the corpus.
 
 The corpus is read twice, once for the counts and once for the spans.  Nothing
@@ -66,8 +65,8 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * poly
 
 
-def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run: whether it is a candidate, whether a decoy, its p-value."""
+def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run: whether it holds letters and digits, and its p-value."""
     n, lengths = len(start), end - start
     owner = np.repeat(np.arange(n), lengths)
     chars = buf[np.repeat(start, lengths) + C.runs(lengths)]
@@ -79,7 +78,7 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     digit = (chars >= 48) & (chars <= 57)
     u, l, d, other = has(upper), has(lower), has(digit), has(~(upper | lower | digit))
     beyond_hex = has((upper & (chars > 70)) | (lower & (chars > 102)))
-    candidate, decoy = d & (u | l), ~d
+    candidate = d & (u | l)
     single = ~other & ~(u & l)
     hexed = single & candidate & ~beyond_hex
     size = np.where(hexed, 16, np.where(single, 36, 64))
@@ -112,7 +111,7 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     lag = np.zeros(len(owner))
     lag[1:] = centred[1:] * centred[:-1] * inner[1:]
     p_serial = 2 * _normal_tail(np.abs(np.bincount(owner, weights=lag, minlength=n) / power) * np.sqrt(lengths))
-    return candidate, decoy, np.minimum(1.0, 3 * np.minimum(np.minimum(p_chi, p_runs), p_serial))
+    return candidate, np.minimum(1.0, 3 * np.minimum(np.minimum(p_chi, p_runs), p_serial))
 
 
 def _long_runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,13 +158,15 @@ def survey(docs: DataFrame, text: str = "text") -> DataFrame:
         for part in C.chunks(batches, 0):
             buf, offs = C.text_bytes(part.column(0))
             start, end, _ = _long_runs(buf, offs)
-            if not len(start):
-                continue
-            candidate, decoy, p = battery(buf, start, end)
-            stratum = np.searchsorted(STRATA, end - start, "right") - 1
-            above = np.searchsorted(GRID, p, "left")
-            for i, flags in enumerate((candidate, decoy)):
-                np.add.at(total[i], (stratum[flags], above[flags]), 1)
+            letters = buf[((buf | 32) >= 97) & ((buf | 32) <= 122)]
+            cuts = np.cumsum(np.tile(STRATA, len(letters) // sum(STRATA) + 1))
+            cuts = np.concatenate([[0], cuts[cuts <= len(letters)]])
+            for i, (chars, s, e) in enumerate(((buf, start, end), (letters, cuts[:-1], cuts[1:]))):
+                if len(s):
+                    candidate, p = battery(chars, s, e)
+                    counted = candidate | (i == 1)
+                    where = (np.searchsorted(STRATA, e - s, "right") - 1, np.searchsorted(GRID, p, "left"))
+                    np.add.at(total[i], (where[0][counted], where[1][counted]), 1)
         s, g = np.indices(total.shape[1:])
         yield C.record({"stratum": s.ravel().astype(np.int32), "above": g.ravel().astype(np.int32), "candidates": total[0].ravel(), "decoys": total[1].ravel()})
 
@@ -178,8 +179,6 @@ def thresholds(docs: DataFrame, text: str = "text", false_share: float = FALSE_S
     counts = np.zeros((2, len(STRATA), len(GRID) + 1))
     for r in survey(docs, text).collect():  # at most len(STRATA) * (len(GRID) + 1) rows
         counts[:, r.stratum, r.above] = r.candidates, r.decoys
-    # longer letters-only runs pass less often, so shorter strata bound them
-    counts[1] = counts[1].cumsum(0)
     out = []
     for candidates, decoys in zip(*counts, strict=True):
         level = 2.0
@@ -197,7 +196,7 @@ def _spans(part: pa.Array, levels: Sequence[float]) -> tuple[np.ndarray, np.ndar
     found = _base(buf.tobytes(), offs, runs := _long_runs(buf, offs))
     start, end, doc = runs
     if len(start):
-        candidate, _, p = battery(buf, start, end)
+        candidate, p = battery(buf, start, end)
         hit = candidate & (p > np.asarray(levels)[np.searchsorted(STRATA, end - start, "right") - 1])
         for s, e, i in zip(start[hit].tolist(), end[hit].tolist(), doc[hit].tolist(), strict=True):
             if not any(s < y and x < e for x, _, y in found[i]):
