@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op2_pivotal_mixing
 from .oracles import ORACLES as ORACLES
 from .quality_rules import op5_quality_rules
 from .secrets import op3_secret_scan
 
 QUERIES = {
+    "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
 }
