@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_benchmark_leaks
 from .mixing import op2_pivotal_mixing
 from .oracles import ORACLES as ORACLES
 from .quality_rules import op5_quality_rules
@@ -11,4 +12,5 @@ QUERIES = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
 }
