@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op10_benchmark_leaks
+from .html_text import op1_html_main_text
 from .mixing import op2_pivotal_mixing
 from .oracles import ORACLES as ORACLES
 from .quality_rules import op5_quality_rules
 from .secrets import op3_secret_scan
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
