@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op6_chat_snapshots
 from .decontaminate import op10_benchmark_leaks
 from .html_text import op1_html_main_text
 from .mixing import op2_pivotal_mixing
@@ -14,5 +15,6 @@ QUERIES = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_snapshots": op6_chat_snapshots,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }

@@ -47,5 +47,19 @@ WITH d AS (
   FROM m
 )
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+""",
+    "op6_chat_snapshots": r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id
+), whole AS (
+  SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns
+), proper AS (
+  SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)
+)
+SELECT conv_id, len(turns)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
+  array_to_string(list_transform(turns, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') AS rendered
+FROM whole ANTI JOIN proper USING (turns)
 """,
 }
