@@ -7,6 +7,7 @@ from .decontaminate import op10_benchmark_leaks
 from .html_text import op1_html_main_text
 from .mixing import op2_pivotal_mixing
 from .oracles import ORACLES as ORACLES
+from .quality_classifier import op7_quality_classifier
 from .quality_rules import op5_quality_rules
 from .secrets import op3_secret_scan
 
@@ -16,5 +17,6 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_snapshots": op6_chat_snapshots,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
