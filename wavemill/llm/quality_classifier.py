@@ -4,8 +4,9 @@ A document is good when its label says quality 1 and toxic 0 (the worst label
 counts, if it has several).  One view sees the words of the text, the other the
 metadata of the page: source, language and layout counts.  Each is a logistic
 regression.  In each round each view labels the unlabelled sample; what it is
-sure of goes to the other view's training set, and both are fitted again.  At
-the end each view is calibrated (Platt scaling) on labelled documents that no
+sure of, and the other view is not against, goes to the other view's training
+set, and both are fitted again.  (The metadata cannot see a toxic word, and is
+sure of many documents that have one.)  At the end each view is calibrated (Platt scaling) on labelled documents that no
 fit has seen, and a stacked logistic regression of the two calibrated log-odds
 gives the score.
 
@@ -37,7 +38,7 @@ from .decontaminate import words_in
 WORD_BITS, META_BITS = 18, 10
 SEED = 7
 LABELLED, UNLABELLED = 6000, 4000
-ROUNDS, SURE, MOST_NEW = 3, 0.98, 1000
+ROUNDS, SURE, AGAINST, MOST_NEW = 3, 0.98, 0.4, 1000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>~^=+{}[]\\@_")] = True
@@ -187,11 +188,13 @@ def co_train(word: Sequence[bytes], meta: Sequence[bytes], label: np.ndarray, ro
     weights = [known.astype(float) for _ in views]
     fits = [view.fit(t, w, None, d, 400) for view, t, w, d in zip(views, targets, weights, decay, strict=True)]
     for _ in range(rounds):
+        p = [1 / (1 + np.exp(-np.clip(view.scores(f), -30, 30))) for view, f in zip(views, fits, strict=True)]
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[k].scores(fits[k]), -30, 30)))
             pool = np.flatnonzero((label < 0) & (weights[1 - k] == 0))
-            for value, sure in ((1, p[pool]), (0, 1 - p[pool])):
-                new = pool[np.argsort(-sure, kind="stable")][: int(min(MOST_NEW, (sure >= SURE).sum()))]
+            for value in (1, 0):
+                # what the other view is against is no news to it
+                sure, open_ = np.abs(1 - value - p[k][pool]), np.abs(1 - value - p[1 - k][pool]) > AGAINST
+                new = pool[open_][np.argsort(-sure[open_], kind="stable")][: int(min(MOST_NEW, (sure[open_] >= SURE).sum()))]
                 targets[1 - k][new], weights[1 - k][new] = value, 0.5
         fits = [view.fit(t, w, f, d, 150) for view, t, w, f, d in zip(views, targets, weights, fits, decay, strict=True)]
     raw = [view.scores(f)[held] for view, f in zip(views, fits, strict=True)]
