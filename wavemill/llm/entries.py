@@ -6,6 +6,7 @@ from .chat import op6_chat_snapshots
 from .decontaminate import op10_benchmark_leaks
 from .html_text import op1_html_main_text
 from .mixing import op2_pivotal_mixing
+from .near_duplicates import op8_near_duplicates
 from .oracles import ORACLES as ORACLES
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op5_quality_rules
@@ -18,5 +19,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_snapshots": op6_chat_snapshots,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
