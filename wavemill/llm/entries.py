@@ -11,11 +11,13 @@ from .oracles import ORACLES as ORACLES
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op5_quality_rules
 from .secrets import op3_secret_scan
+from .substrings import op4_substring_dedup
 
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_snapshots": op6_chat_snapshots,
     "op7_quality_classifier": op7_quality_classifier,

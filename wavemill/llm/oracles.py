@@ -61,5 +61,22 @@ WITH t AS (
 SELECT conv_id, len(turns)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
   array_to_string(list_transform(turns, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') AS rendered
 FROM whole ANTI JOIN proper USING (turns)
+""",
+    "op4_substring_dedup": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents
+), win AS (
+  SELECT rid, doc_id, p0, array_to_string(words[p0:p0 + 12], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - 11)) AS p0 FROM d WHERE len(words) >= 13)
+), least AS (
+  SELECT w, min(doc_id) AS least FROM win GROUP BY w
+), gone AS (
+  SELECT rid, list(DISTINCT pos) AS gone
+  FROM (SELECT rid, unnest(range(p0, p0 + 13)) AS pos FROM win JOIN least USING (w) WHERE doc_id > least) GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+    ELSE list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(gone, k)), lambda k: words[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
 """,
 }
