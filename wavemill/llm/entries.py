@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op6_chat_snapshots
 from .decontaminate import op10_benchmark_leaks
 from .html_text import op1_html_main_text
+from .katz import op9_katz_scoring
 from .mixing import op2_pivotal_mixing
 from .near_duplicates import op8_near_duplicates
 from .oracles import ORACLES as ORACLES
@@ -22,5 +23,6 @@ QUERIES = {
     "op6_chat_snapshots": op6_chat_snapshots,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_katz_scoring": op9_katz_scoring,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
