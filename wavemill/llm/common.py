@@ -158,18 +158,20 @@ def record(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; where
+    that is unset (as in tests), one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The frame computed once and kept in the cluster's checkpoint folder.
+    """The frame computed once and kept in the shared folder.
 
-    Cuts the lineage, and survives the loss of executors.  The folder is the
-    session's ``spark.checkpoint.dir``; only where that is unset (as in tests)
-    one is made in the warehouse.
+    Cuts the lineage, and survives the loss of executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -227,12 +227,13 @@ def chosen_schema(docs: DataFrame, id: str) -> str:
     return f"did {dict(docs.dtypes)[id]}, good int"
 
 
-def score(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", threshold: float = 0.5, carry: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", threshold: float = 0.5, carry: bool = False, prefix: str = "") -> DataFrame:
     """``id``, ``p_text``, ``p_meta``, ``score`` and ``kept`` of every row; with
-    ``carry``, after all columns of ``docs`` instead of the id."""
+    ``carry``, after all columns of ``docs`` instead of the id.  ``prefix`` comes
+    before the new names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of fixed size
     kept = docs.schema if carry else docs.select(id).schema
-    n, names = len(kept), [*kept.names, "p_text", "p_meta", "score", "kept"]
+    n, names = len(kept), [*kept.names, *(prefix + x for x in ("p_text", "p_meta", "score", "kept"))]
     rows = docs.select(*[F.col(k) for k in kept.names], C.text_of(text).alias("_text"), F.col(source).cast("string").alias("_s"), F.col(lang).cast("string").alias("_l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ def score(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str =
             columns = [part.column(k) for k in range(n)] + [pa.array(x, pa.float64()) for x in p] + [pa.array(p[2] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["p_text double, p_meta double, score double, kept boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{prefix}p_text double, {prefix}p_meta double, {prefix}score double, {prefix}kept boolean"])
     return rows.mapInArrow(run, schema)
 
 
