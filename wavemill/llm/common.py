@@ -41,7 +41,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:
-            self.size = max(n, 2 * self.size, 1 << 16)
+            self.size = max(n + n // 8, 1 << 16)
             up = np.full(self.size, self.base, np.uint64)
             up[0] = 1
             down = np.full(self.size, self.inverse, np.uint64)

@@ -81,7 +81,7 @@ def _unpack(packed: pa.Table | pa.RecordBatch, high: type, low: type) -> tuple[n
 
 def _once(ids: np.ndarray, keys: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
     """One index for each distinct (document, key); where ``first``, if any."""
-    both = C.mix64(keys ^ C.mix64(ids.view(np.uint64)))
+    both = _names(ids, keys)
     order = np.argsort(both, kind="stable") if first is None else np.lexsort((~first, both))
     return order[np.flatnonzero(np.diff(both[order], prepend=both[order[:1]] + np.uint64(1)))] if len(order) else order
 
@@ -109,7 +109,7 @@ class _Texts:
 
 def _anchors(docs: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in C.chunks(batches, size=4 * C.CHUNK_BYTES):
+        for part in C.chunks(batches):
             texts = _Texts(part.column(0), part.column(1))
             at, doc, keys = texts.probes()
             if len(at):
@@ -137,20 +137,28 @@ def _hits(buckets: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _known(texts: _Texts, doc: np.ndarray, keys: np.ndarray, ids: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Which (document, key) are among (ids, there)."""
-    return np.isin(C.mix64(keys ^ C.mix64(texts.ids[doc].view(np.uint64))), C.mix64(there ^ C.mix64(ids.view(np.uint64))))
+def _names(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for each (document, key)."""
+    return C.mix64(keys ^ C.mix64(ids.view(np.uint64)))
+
+
+def _among(names: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which names are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(names), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, names), len(ordered) - 1)] == names
 
 
 def _windows(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
         ids, high, low = _unpack(packed, np.uint32, np.uint16)
-        there = (high.astype(np.uint64) << np.uint64(16) | low) >> np.uint64(1)
+        there = np.sort(_names(ids, (high.astype(np.uint64) << np.uint64(16) | low) >> np.uint64(1)))
+        del ids, high, low
         out = []
         for part in C.chunks(docs.select(["id", "text"]).combine_chunks().to_batches()):
             texts = _Texts(part.column(0), part.column(1))
             at, doc, keys = texts.probes()
-            hit = at[_known(texts, doc, keys, ids, there)]
+            hit = at[_among(_names(texts.ids[doc], keys), there)]
             over = np.zeros(len(texts.hashes) + BLOCK, np.int64)
             np.add.at(over, np.maximum(hit - (WINDOW - BLOCK), 0), 1)
             np.add.at(over, hit + 1, -1)
@@ -202,13 +210,14 @@ def _result(ids: pa.Array, words: C.Words, gone: np.ndarray | None, with_text: b
 def _cut(with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, packed: pa.Table) -> pa.Table:
         ids, there, _ = _unpack(packed, np.uint64, np.uint32)
+        there = np.sort(_names(ids, there))
         out = []
         for part in C.chunks(docs.select(["id", "text"]).combine_chunks().to_batches()):
             texts = _Texts(part.column(0), part.column(1))
             at, doc = texts.grams(WINDOW)
             cover = np.zeros(len(texts.hashes) + WINDOW + 1, np.int64)
             if len(at):
-                hit = at[_known(texts, doc, C.grams(texts.hashes, WINDOW)[at], ids, there)]
+                hit = at[_among(_names(texts.ids[doc], C.grams(texts.hashes, WINDOW)[at]), there)]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + WINDOW, -1)
             out.append(_result(part.column(0), texts.words, np.cumsum(cover)[: len(texts.hashes)] > 0, with_text))
