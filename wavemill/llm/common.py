@@ -8,6 +8,7 @@ and hashes of word n-grams come from whole-array NumPy operations on it.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -167,12 +168,17 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder.
 
-    Cuts the lineage, and survives the loss of executors.
+    Cuts the lineage, and survives the loss of executors.  Shuffle files of
+    what was made durable before go when their frames are collected; that is
+    asked for here, as the driver alone may not collect for long.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
