@@ -40,7 +40,7 @@ trains.  Repeated rows each train and are each scored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +55,30 @@ SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_PAIR_FIELDS = ["h", "h_pairs", "w_high", "w_low", "cw", "pair_docs", "doc_low", "doc_high", "times", "train"]
-_INFO_FIELDS = ["ids", "known_id", "n_tokens", "n_known", "base"]
+_PAIR_FIELDS = ["h", "h_pairs", "w_high", "w_low", "cw", "pair_docs", "docs", "times", "train"]
+_INFO_FIELDS = ["ids", "known_id", "held", "n_tokens", "n_known", "base"]
 _PAIRS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), *[(f, pa.binary()) for f in (*_PAIR_FIELDS, *_INFO_FIELDS)]])
-_PART_FIELDS = ["gs", "sizes", "sums", "bins", "stats", "u_h", "u_doc", "u_times", "heavy_h", "heavy_stats", "nr"]
+_PART_FIELDS = ["gs", "docs", "sums", "bins", "stats", "u_h", "u_doc", "u_times", "heavy_h", "heavy_stats", "nr"]
 _PARTS = pa.schema([("g", pa.int32()), *[(f, pa.binary()) for f in (*_PART_FIELDS, *_INFO_FIELDS)]])
 _SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Groups of documents to a shuffle partition, and slices of a bucket's work.
+GROUPS, SLICES = 2, 4
 
 
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """A compressed array; the length of its bytes comes first."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd"), kind)
+
+
 def discounts(nr: np.ndarray) -> np.ndarray:
     """d(0..SMALL), d(0) being that of larger counts; nr[r] has counts of counts."""
     out = np.full(SMALL + 1, LARGE)
@@ -95,12 +107,42 @@ class Unigrams:
         return np.log10((counts + 1.0) / (self.tokens + self.types + 1.0))
 
 
-def _tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The documents packed by group, texts compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.chunks(batches, size=4 * C.CHUNK_BYTES):
+            g = part.column(3).to_numpy()
+            part = part.take(pa.array(np.argsort(g, kind="stable")))
+            g, (buf, offs) = part.column(3).to_numpy(), C.text_bytes(part.column(1))
+            ids, known, held = part.column(0).fill_null(0).to_numpy(), part.column(0).is_valid().to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(g, prepend=-1, append=-2))
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            yield C.record(
+                {
+                    "g": pa.array([int(g[i]) for i, _ in spans], pa.int32()),
+                    "ids": pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
+                    "known_id": pa.array([known[i:j].tobytes() for i, j in spans], pa.binary()),
+                    "held": pa.array([held[i:j].tobytes() for i, j in spans], pa.binary()),
+                    "sizes": pa.array([np.diff(offs[i : j + 1]).tobytes() for i, j in spans], pa.binary()),
+                    "text": pa.array([_pack(buf[offs[i] : offs[j]]) for i, j in spans], pa.binary()),
+                }
+            )
+
+    return rows.select("id", "text", "held_out", "g").mapInArrow(run, "g int, ids binary, known_id binary, held binary, sizes binary, text binary")
+
+
+def _joined(packed: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in packed[name].to_pylist()] or [np.zeros(0, kind)])
+
+
+def _tokens(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, history and document of every token of a group."""
     words, before, doc, at = [], [], [], 0
-    for part in C.chunks(docs.select(["id", "text"]).combine_chunks().to_batches()):
-        found = C.Words(*C.text_bytes(part.column(1)))
-        n, counts = part.num_rows, found.counts
+    for sizes, text in zip(packed["sizes"].to_pylist(), packed["text"].to_pylist(), strict=True):
+        found = C.Words(_unpack(text, np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]))
+        counts = found.counts
+        n = len(counts)
         w = np.full(len(found.start) + n, END, np.uint64)
         w[np.arange(len(found.start)) + found.doc()] = found.hashes(lower=True)
         h = np.empty_like(w)
@@ -108,7 +150,7 @@ def _tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[found.first[:-1] + np.arange(n)] = START
         words.append(w)
         before.append(h)
-        doc.append(at + np.repeat(np.arange(n), counts + 1))
+        doc.append((at + np.repeat(np.arange(n), counts + 1)).astype(np.int32))
         at += n
     return np.concatenate(words), np.concatenate(before), np.concatenate(doc)
 
@@ -120,13 +162,13 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(docs: pa.Table) -> pa.Table:
         w, _, doc = _tokens(docs)
-        trains = ~docs["held_out"].to_numpy(zero_copy_only=False)
+        trains = ~_joined(docs, "held", bool)
         words, inverse = np.unique(w, return_inverse=True)
         counts = np.bincount(inverse, weights=trains[doc], minlength=len(words)).astype(np.int64)
         g, place = docs["g"][0].as_py(), _bucket(C.mix64(words), buckets)
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-        rows = [{"bucket": b, "g": g, "words": words[order[i:j]].tobytes(), "counts": counts[order[i:j]].tobytes()} for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+        rows = [{"bucket": b, "g": g, "words": words[order[i:j]].tobytes(), "counts": _pack(counts[order[i:j]])} for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
         return pa.Table.from_pylist(rows, _WORDS)
 
     return run
@@ -138,14 +180,14 @@ def _sum_words(least: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(packed: pa.Table) -> pa.Table:
         words = [np.frombuffer(x, np.uint64) for x in packed["words"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in packed["counts"].to_pylist()])
+        counts = np.concatenate([_unpack(x, np.int64) for x in packed["counts"].to_pylist()])
         each, inverse = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(each), np.int64)
         np.add.at(total, inverse, counts)
         cuts, bucket = np.cumsum([0, *map(len, words)]), packed["bucket"][0].as_py()
-        rows = [{"bucket": bucket, "g": g, "words": w.tobytes(), "counts": total[inverse[i:j]].tobytes()} for g, w, i, j in zip(packed["g"].to_pylist(), words, cuts, cuts[1:], strict=False)]
+        rows = [{"bucket": bucket, "g": g, "words": w.tobytes(), "counts": _pack(total[inverse[i:j]])} for g, w, i, j in zip(packed["g"].to_pylist(), words, cuts, cuts[1:], strict=False)]
         often = (total >= least) & (total * SHARE >= total.sum())
-        rows.append({"bucket": bucket, "g": -1, "words": each[often].tobytes(), "counts": np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2], total[often]]).astype(np.int64).tobytes()})
+        rows.append({"bucket": bucket, "g": -1, "words": each[often].tobytes(), "counts": _pack(np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2], total[often]]).astype(np.int64))})
         return pa.Table.from_pylist(rows, _WORDS)
 
     return run
@@ -156,21 +198,23 @@ def _send_pairs(buckets: int, uni: Unigrams, heavy: np.ndarray) -> Callable[[pa.
         if not docs.num_rows:
             return _PAIRS.empty_table()
         w, h, doc = _tokens(docs)
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in counted["words"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in counted["counts"].to_pylist()])
+        words = _joined(counted, "words", np.uint64)
+        counts = np.concatenate([_unpack(x, np.int64) for x in counted["counts"].to_pylist()])
         order = np.argsort(words)
-        cw = counts[order[np.searchsorted(words[order], w)]]
-        n, g = docs.num_rows, docs["g"][0].as_py()
+        cw = counts[order][np.searchsorted(words, w, sorter=order)]
+        g, held = docs["g"][0].as_py(), _joined(docs, "held", bool)
+        n, train = len(held), _pack(~held)
         per_doc = lambda x=None: np.bincount(doc, weights=x, minlength=n)
-        ids = docs["id"].combine_chunks()
-        train = ~docs["held_out"].to_numpy(zero_copy_only=False)
-        info = {"ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "known_id": ids.is_valid().to_numpy(zero_copy_only=False), "n_tokens": per_doc().astype(np.int64), "n_known": per_doc(cw > 0).astype(np.int64), "base": per_doc(uni.base(cw))}
-        rows = [{"bucket": g % buckets, "g": g, "train": train.tobytes()} | {k: v.tobytes() for k, v in info.items()}]
+        info = {"ids": _joined(docs, "ids", np.int64), "known_id": _joined(docs, "known_id", bool), "held": held, "n_tokens": per_doc().astype(np.int64), "n_known": per_doc(cw > 0).astype(np.int64), "base": per_doc(uni.base(cw))}
+        rows = [{"bucket": g % buckets, "g": g} | {k: _pack(v) for k, v in info.items()}]
+        del docs, counted, words, counts, order
 
         pair = C.mix64(C.mix64(h) + w)
-        bucket = _bucket(np.where(np.isin(h, heavy), pair, C.mix64(h)), buckets)
+        del w
+        bucket = _bucket(np.where(np.isin(h, heavy), pair, C.mix64(h)), buckets).astype(np.int32)
         order = np.lexsort((pair, h, bucket))  # documents stay in order within a pair
         bucket, h, pair, doc, cw = bucket[order], h[order], pair[order], doc[order], cw[order]
+        del order
         new_h = np.ones(len(h), bool)
         new_h[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         new_pair = new_h.copy()
@@ -178,60 +222,51 @@ def _send_pairs(buckets: int, uni: Unigrams, heavy: np.ndarray) -> Callable[[pa.
         new_doc = new_pair.copy()
         new_doc[1:] |= doc[1:] != doc[:-1]
         entry, pairs, hs = np.flatnonzero(new_doc), np.flatnonzero(new_pair), np.flatnonzero(new_h)
-        times = np.diff(np.append(entry, len(h)))
-        pair_docs = np.diff(np.append(np.searchsorted(entry, pairs), len(entry)))
-        h_pairs = np.diff(np.append(np.searchsorted(pairs, hs), len(pairs)))
+        times = np.diff(np.append(entry, len(h))).astype(np.uint32)
+        pair_docs = np.diff(np.append(np.searchsorted(entry, pairs), len(entry))).astype(np.uint32)
+        h_pairs = np.diff(np.append(np.searchsorted(pairs, hs), len(pairs))).astype(np.uint32)
         bounds = [np.searchsorted(bucket[x], np.arange(buckets + 1)) for x in (entry, pairs, hs)]
-        at, w_pair = doc[entry], pair[pairs] >> np.uint64(16)
+        columns = {"docs": (0, doc[entry].astype(np.uint16 if n <= 1 << 16 else np.uint32)), "times": (0, times)}
+        columns |= {"w_high": (1, (pair[pairs] >> np.uint64(32)).astype(np.uint32)), "w_low": (1, (pair[pairs] >> np.uint64(16)).astype(np.uint16)), "cw": (1, cw[pairs]), "pair_docs": (1, pair_docs)}
+        columns |= {"h": (2, h[hs]), "h_pairs": (2, h_pairs)}
         for b in range(buckets):
-            (e0, e1), (p0, p1), (h0, h1) = ((x[b], x[b + 1]) for x in bounds)
-            if e1 > e0:
-                rows.append(
-                    {
-                        "bucket": b,
-                        "g": g,
-                        "h": h[hs[h0:h1]].tobytes(),
-                        "h_pairs": h_pairs[h0:h1].astype(np.uint32).tobytes(),
-                        "w_high": (w_pair[p0:p1] >> np.uint64(16)).astype(np.uint32).tobytes(),
-                        "w_low": (w_pair[p0:p1] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                        "cw": cw[pairs[p0:p1]].astype(np.uint32).tobytes(),
-                        "pair_docs": pair_docs[p0:p1].astype(np.uint32).tobytes(),
-                        "doc_low": (at[e0:e1] & 0xFFFF).astype(np.uint16).tobytes(),
-                        "doc_high": (at[e0:e1] >> 16).astype(np.uint16).tobytes(),
-                        "times": times[e0:e1].astype(np.uint32).tobytes(),
-                        "train": train.tobytes(),
-                    }
-                )
+            if bounds[0][b + 1] > bounds[0][b]:
+                rows.append({"bucket": b, "g": g, "train": train} | {k: _pack(x[bounds[level][b] : bounds[level][b + 1]]) for k, (level, x) in columns.items()})
         return pa.Table.from_pylist(rows, _PAIRS)
 
     return run
 
 
+class _Sent:
+    """The pairs and entries of a bucket, of all groups, in compact arrays."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        def each(name: str, kind: type) -> list[np.ndarray]:
+            return [_unpack(x, kind) for x in rows[name].to_pylist()]
+
+        trains = each("train", bool)
+        self.gs, self.sizes = np.array(rows["g"].to_pylist(), np.int32), np.array([len(x) for x in trains])
+        self.train, offset = np.concatenate(trains), np.cumsum(self.sizes) - self.sizes
+        kinds = [np.uint16 if n <= 1 << 16 else np.uint32 for n in self.sizes]
+        self.doc = np.concatenate([_unpack(x, k).astype(np.int32) + np.int32(o) for x, k, o in zip(rows["docs"].to_pylist(), kinds, offset, strict=True)])
+        self.times, self.pair_docs = np.concatenate(each("times", np.uint32)), np.concatenate(each("pair_docs", np.uint32))
+        self.cw = np.concatenate(each("cw", np.int64))
+        self.h = np.repeat(np.concatenate(each("h", np.uint64)), np.concatenate(each("h_pairs", np.uint32)))
+        self.w = np.concatenate(each("w_high", np.uint32)).astype(np.uint64) << np.uint64(16) | np.concatenate(each("w_low", np.uint16))
+
+
 def _sum_pairs(uni: Unigrams, heavy: np.ndarray, heavy_counts: np.ndarray) -> Callable[[pa.Table], pa.Table]:
-    """One row for the bucket, and the info rows passed on.
+    """Rows of the bucket, and the info rows passed on.
 
     Per document: sums of log10 of what is known without the discounts of
     bigrams, and how many of its tokens had r = 1..SMALL or more (bin 0).  Per
-    history with an unseen bigram: what alpha needs.
+    history with an unseen bigram: what alpha needs.  A bucket is worked off in
+    SLICES by history, to hold less at once.
     """
 
-    def run(packed: pa.Table) -> pa.Table:
-        out = [{"g": r["g"]} | {k: r[k] for k in _INFO_FIELDS} | {"bins": r["train"]} for r in packed.select(["g", "train", *_INFO_FIELDS]).to_pylist() if r["ids"] is not None]
-        rows = packed.filter(pa.compute.is_valid(packed["h"]))
-        if not rows.num_rows:
-            return pa.Table.from_pylist(out, _PARTS)
-
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
-
-        sizes = np.array([len(x) for x in rows["train"].to_pylist()])
-        offset = np.cumsum(sizes) - sizes
-        entries = np.array([len(x) // 2 for x in rows["doc_low"].to_pylist()])
-        doc = joined("doc_low", np.uint16).astype(np.int64) + (joined("doc_high", np.uint16).astype(np.int64) << 16) + np.repeat(offset, entries)
-        times, train = joined("times", np.uint32).astype(np.int64), joined("train", bool)
-        pair_docs, cw = joined("pair_docs", np.uint32), joined("cw", np.uint32)
-        h = np.repeat(joined("h", np.uint64), joined("h_pairs", np.uint32))
-        w = joined("w_high", np.uint32).astype(np.uint64) << np.uint64(16) | joined("w_low", np.uint16)
+    def one_slice(sent: _Sent, pairs: np.ndarray, entries: np.ndarray, sums: np.ndarray, bins: np.ndarray) -> dict[str, np.ndarray]:
+        h, w, cw, pair_docs = sent.h[pairs], sent.w[pairs], sent.cw[pairs], sent.pair_docs[pairs]
+        doc, times = sent.doc[entries], sent.times[entries].astype(np.int64)
         order = np.lexsort((w, h))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[order][1:] != h[order][:-1]
@@ -240,8 +275,8 @@ def _sum_pairs(uni: Unigrams, heavy: np.ndarray, heavy_counts: np.ndarray) -> Ca
         name = np.empty(len(h), np.int64)  # of each sent pair: its bigram
         name[order] = np.cumsum(new) - 1
         history = (np.cumsum(new_h) - 1)[new]  # of each bigram
-        entry_pair = np.repeat(np.arange(len(h)), pair_docs)
-        r = np.bincount(name[entry_pair], weights=times * train[doc], minlength=int(new.sum())).astype(np.int64)
+        bigram = np.repeat(name, pair_docs)
+        r = np.bincount(bigram, weights=times * sent.train[doc], minlength=int(new.sum())).astype(np.int64)
         hs = h[order][new_h]
         ch = np.bincount(history, weights=r, minlength=len(hs)).astype(np.int64)
         is_heavy = np.isin(hs, heavy)
@@ -255,32 +290,48 @@ def _sum_pairs(uni: Unigrams, heavy: np.ndarray, heavy_counts: np.ndarray) -> Ca
         for k in range(1, SMALL + 1):
             stats[:, 2 + k] = np.bincount(history, weights=r == k, minlength=len(hs))
 
-        bigram = name[entry_pair]
         er, eh = r[bigram], history[bigram]
         seen = er > 0
-        docs = len(train)
         log = np.where(seen, np.log10(np.maximum(er, 1)) - np.log10(np.maximum(ch[eh], 1)), np.log10(p1[bigram]))
-        sums = np.bincount(doc, weights=times * log, minlength=docs)
-        bins = np.zeros((docs, SMALL + 1), np.uint32)
-        np.add.at(bins, (doc[seen], np.where(er > SMALL, 0, er)[seen]), times[seen].astype(np.uint32))
+        sums += np.bincount(doc, weights=times * log, minlength=len(sums))
+        bins += np.bincount(doc[seen].astype(np.int64) * (SMALL + 1) + np.where(er > SMALL, 0, er)[seen], weights=times[seen], minlength=bins.size).reshape(bins.shape).astype(np.int64)
         open_ = ~seen & (ch[eh] > 0)
         used, u_h = np.unique(eh[open_], return_inverse=True)
-        out.append(
-            {
-                "g": -1,
-                "gs": np.array(rows["g"].to_pylist(), np.int32).tobytes(),
-                "sizes": sizes.astype(np.int64).tobytes(),
-                "sums": sums.tobytes(),
-                "bins": bins.tobytes(),
-                "stats": stats[used].tobytes(),
-                "u_h": np.where(is_heavy[used][u_h], -1 - np.searchsorted(heavy, hs[used][u_h]), u_h).astype(np.int32).tobytes(),
-                "u_doc": doc[open_].astype(np.int64).tobytes(),
-                "u_times": times[open_].astype(np.uint32).tobytes(),
-                "heavy_h": hs[is_heavy].tobytes(),
-                "heavy_stats": stats[is_heavy].tobytes(),
-                "nr": np.bincount(np.minimum(r, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2].astype(np.int64).tobytes(),
-            }
-        )
+        return {
+            "stats": stats[used],
+            "u_h": np.where(is_heavy[used][u_h], -1 - np.searchsorted(heavy, hs[used][u_h]), u_h).astype(np.int32),
+            "u_doc": doc[open_],
+            "u_times": times[open_].astype(np.uint32),
+            "heavy_h": hs[is_heavy],
+            "heavy_stats": stats[is_heavy],
+            "nr": np.bincount(np.minimum(r, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2].astype(np.int64),
+        }
+
+    def run(packed: pa.Table) -> pa.Table:
+        out = [r for r in packed.select(["g", *_INFO_FIELDS]).to_pylist() if r["ids"] is not None]
+        rows = packed.filter(pa.compute.is_valid(packed["h"]))
+        del packed
+        if not rows.num_rows:
+            return pa.Table.from_pylist(out, _PARTS)
+        sent = _Sent(rows)
+        del rows
+        sums, bins = np.zeros(len(sent.train)), np.zeros((len(sent.train), SMALL + 1), np.int64)
+        place = (C.mix64(sent.h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)) % np.uint64(SLICES)
+        found = []
+        for k in range(SLICES):
+            pairs = place == k
+            if pairs.any():
+                found.append(one_slice(sent, pairs, np.repeat(pairs, sent.pair_docs), sums, bins))
+        shift = np.cumsum([0, *(len(x["stats"]) for x in found)])
+        for x, low in zip(found, shift, strict=False):
+            x["u_h"] = np.where(x["u_h"] < 0, x["u_h"], x["u_h"] + np.int32(low))
+        merged = {k: np.concatenate([x[k] for x in found]) for k in found[0] if k != "nr"} | {"nr": np.sum([x["nr"] for x in found], 0)}
+        # only documents with an entry here have a part
+        used = np.unique(sent.doc)
+        group = np.repeat(np.arange(len(sent.sizes)), sent.sizes)[used]
+        local = used - (np.cumsum(sent.sizes) - sent.sizes)[group]
+        merged |= {"gs": sent.gs[group], "docs": local.astype(np.int64), "sums": sums[used], "bins": bins[used].astype(np.uint32), "u_doc": np.searchsorted(used, merged["u_doc"]).astype(np.int64)}
+        out.append({"g": -1} | {k: _pack(v) for k, v in merged.items()})
         return pa.Table.from_pylist(out, _PARTS)
 
     return run
@@ -292,33 +343,35 @@ def alpha(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (1 - kept / stats[:, 0]) / (1 - stats[:, 1])
 
 
-def _finish(d: np.ndarray, heavy_alpha: np.ndarray) -> Callable:
+def _finish(d: np.ndarray, heavy_alpha: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The parts of each group's documents, as rows of the group."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if row["g"] >= 0:
-                    yield pa.RecordBatch.from_pylist([{"g": row["g"], "bins": row["bins"]} | {k: row[k] for k in _INFO_FIELDS}], _PARTS)
+                    yield pa.RecordBatch.from_pylist([{"g": row["g"]} | {k: row[k] for k in _INFO_FIELDS}], _PARTS)
                     continue
-                get = lambda name, kind: np.frombuffer(row[name], kind)  # noqa: B023, E731
-                sums = get("sums", np.float64) + get("bins", np.uint32).reshape(-1, SMALL + 1) @ np.log10(d)
-                u_h = get("u_h", np.int32)
-                light = np.log10(alpha(get("stats", np.float64).reshape(-1, SMALL + 3), d))
-                logs = np.where(u_h < 0, np.append(heavy_alpha, 0)[np.where(u_h < 0, -1 - u_h, 0)], np.append(light, 0)[np.where(u_h < 0, 0, u_h)])
-                sums = sums + np.bincount(get("u_doc", np.int64), weights=logs * get("u_times", np.uint32), minlength=len(sums))
-                cuts = np.cumsum([0, *get("sizes", np.int64)])
-                yield pa.RecordBatch.from_pylist([{"g": int(g), "sums": sums[i:j].tobytes()} for g, i, j in zip(get("gs", np.int32), cuts, cuts[1:], strict=False)], _PARTS)
+                x = {k: _unpack(row[k], kind) for k, kind in (("gs", np.int32), ("docs", np.int64), ("sums", np.float64), ("bins", np.uint32), ("stats", np.float64), ("u_h", np.int32), ("u_doc", np.int64), ("u_times", np.uint32))}
+                light = np.log10(alpha(x["stats"].reshape(-1, SMALL + 3), d))
+                logs = np.where(x["u_h"] < 0, np.append(heavy_alpha, 0)[np.where(x["u_h"] < 0, -1 - x["u_h"], 0)], np.append(light, 0)[np.maximum(x["u_h"], 0)])
+                sums = x["sums"] + x["bins"].reshape(-1, SMALL + 1) @ np.log10(d) + np.bincount(x["u_doc"], weights=logs * x["u_times"], minlength=len(x["sums"]))
+                order = np.argsort(x["gs"], kind="stable")
+                gs = x["gs"][order]
+                cuts = np.flatnonzero(np.diff(gs, prepend=-1, append=-2))
+                yield pa.RecordBatch.from_pylist([{"g": int(gs[i]), "docs": _pack(x["docs"][order[i:j]].astype(np.uint32)), "sums": _pack(sums[order[i:j]])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)], _PARTS)
 
     return run
 
 
 def _add_up(packed: pa.Table) -> pa.Table:
-    rows = packed.to_pylist()
-    info = next(r for r in rows if r["ids"] is not None)
-    score = np.sum([np.frombuffer(r["sums"], np.float64) for r in rows if r["sums"] is not None], 0)
-    ids, known = np.frombuffer(info["ids"], np.int64), np.frombuffer(info["known_id"], bool)
-    return pa.table({"id": pa.array(ids, mask=~known), "held_out": pa.array(~np.frombuffer(info["bins"], bool)), "n_tokens": np.frombuffer(info["n_tokens"], np.int64), "n_known": np.frombuffer(info["n_known"], np.int64), "base_score": np.frombuffer(info["base"], np.float64), "score": score})
+    info = next(r for r in packed.select(_INFO_FIELDS).to_pylist() if r["ids"] is not None)
+    ids = _unpack(info["ids"], np.int64)
+    score = np.zeros(len(ids))
+    for docs, sums in zip(packed["docs"].to_pylist(), packed["sums"].to_pylist(), strict=True):
+        if docs is not None:
+            np.add.at(score, _unpack(docs, np.uint32), _unpack(sums, np.float64))
+    return pa.table({"id": pa.array(ids, mask=~_unpack(info["known_id"], bool)), "held_out": pa.array(_unpack(info["held"], bool)), "n_tokens": _unpack(info["n_tokens"], np.int64), "n_known": _unpack(info["n_known"], np.int64), "base_score": _unpack(info["base"], np.float64), "score": score})
 
 
 def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -328,11 +381,13 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
     ``held_out`` is a boolean column; rows where it is true do not train.
     """
     spark = docs.sparkSession
-    groups = C.partitions(spark)
+    buckets = C.partitions(spark)
+    groups = GROUPS * buckets
     rows = docs.select(F.col(id).cast("long").alias("id"), C.text_of(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("g", F.coalesce(_place_column("id", groups), F.lit(0)))
-    words = C.durable(rows.groupBy("g").applyInArrow(_count_words(groups), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words(least), _ddl(_WORDS)))
-    found = [(np.frombuffer(r.words, np.uint64), np.frombuffer(r.counts, np.int64)) for r in words.filter("g < 0").select("words", "counts").collect()]
+    dealt = _dealt(rows)
+    words = C.durable(dealt.groupBy("g").applyInArrow(_count_words(buckets), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words(least), _ddl(_WORDS)))
+    found = [(np.frombuffer(r.words, np.uint64), _unpack(r.counts, np.int64)) for r in words.filter("g < 0").select("words", "counts").collect()]
     total = np.sum([c[: SMALL + 4] for _, c in found], 0) if found else np.zeros(SMALL + 4, np.int64)
     uni = Unigrams(int(total[0]), int(total[1]), total[2:])
     often = {int(w): int(n) for ws, c in found for w, n in zip(ws, c[SMALL + 4 :], strict=True) if n * SHARE >= total[0]}
@@ -340,13 +395,13 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
         often[int(START)] = often[int(END)]  # as many starts as ends
     heavy = np.array(sorted(often), np.uint64)
     heavy_counts = np.array([often[int(k)] for k in heavy], np.int64)
-    pairs = rows.groupBy("g").cogroup(words.filter("g >= 0").groupBy("g")).applyInArrow(_send_pairs(groups, uni, heavy), _ddl(_PAIRS))
+    pairs = dealt.groupBy("g").cogroup(words.filter("g >= 0").groupBy("g")).applyInArrow(_send_pairs(buckets, uni, heavy), _ddl(_PAIRS))
     parts = C.durable(pairs.groupBy("bucket").applyInArrow(_sum_pairs(uni, heavy, heavy_counts), _ddl(_PARTS)))
     nr, stats = np.zeros(SMALL + 2, np.int64), np.zeros((len(heavy), SMALL + 3))
     for r in parts.filter("g < 0").select("nr", "heavy_h", "heavy_stats").toLocalIterator():
-        nr = nr + np.frombuffer(r.nr, np.int64)
-        at = np.searchsorted(heavy, np.frombuffer(r.heavy_h, np.uint64))
-        stats[at] += np.frombuffer(r.heavy_stats, np.float64).reshape(-1, SMALL + 3)
+        nr = nr + _unpack(r.nr, np.int64)
+        at = np.searchsorted(heavy, _unpack(r.heavy_h, np.uint64))
+        np.add.at(stats, at, _unpack(r.heavy_stats, np.float64).reshape(-1, SMALL + 3))
     stats[:, 0] = heavy_counts
     d = discounts(nr)
     heavy_alpha = np.log10(alpha(stats, d)) if len(heavy) else np.zeros(0)
