@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import ingest, manifests, scoring, waveforms  # noqa: F401
+from .registry import ORACLES as ORACLES
+from .registry import QUERIES as QUERIES
