@@ -10,8 +10,8 @@ words, names and counters and uniform for keys.
 
 How small is too small depends on length: short pieces of ordinary text pass
 such tests often.  So false discoveries are controlled in strata of length
-against decoys: the letters of all texts, cut into pieces of each stratum's
-length and scored alike.  In each stratum the threshold is the lowest p at
+against decoys: the letters of all texts, but those of candidates, cut into
+pieces of each stratum's length and scored alike.  In each stratum the threshold is the lowest p at
 which (share of decoys that pass) x (candidates) / (candidates that pass) is at
 most ``FALSE_SHARE``; a stratum without such a threshold adds nothing.  Counts
 come from all documents; what reaches the driver is one row per stratum and
@@ -153,20 +153,27 @@ def _base(raw: bytes, offs: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.n
 def survey(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts per stratum and grid point: candidates and decoys with p above it."""
 
+    def add(counts: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> None:
+        np.add.at(counts, (np.searchsorted(STRATA, lengths, "right") - 1, np.searchsorted(GRID, p, "left")), 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(STRATA), len(GRID) + 1), np.int64)
         for part in C.chunks(batches, 0):
             buf, offs = C.text_bytes(part.column(0))
             start, end, _ = _long_runs(buf, offs)
-            letters = buf[((buf | 32) >= 97) & ((buf | 32) <= 122)]
+            plain = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+            if len(start):
+                candidate, p = battery(buf, start, end)
+                add(total[0], (end - start)[candidate], p[candidate])
+                inside = np.zeros(len(buf) + 1, np.int32)
+                np.add.at(inside, start[candidate], 1)
+                np.add.at(inside, end[candidate], -1)
+                plain &= np.cumsum(inside[:-1]) == 0
+            letters = buf[plain]
             cuts = np.cumsum(np.tile(STRATA, len(letters) // sum(STRATA) + 1))
             cuts = np.concatenate([[0], cuts[cuts <= len(letters)]])
-            for i, (chars, s, e) in enumerate(((buf, start, end), (letters, cuts[:-1], cuts[1:]))):
-                if len(s):
-                    candidate, p = battery(chars, s, e)
-                    counted = candidate | (i == 1)
-                    where = (np.searchsorted(STRATA, e - s, "right") - 1, np.searchsorted(GRID, p, "left"))
-                    np.add.at(total[i], (where[0][counted], where[1][counted]), 1)
+            if len(cuts) > 1:
+                add(total[1], np.diff(cuts), battery(letters, cuts[:-1], cuts[1:])[1])
         s, g = np.indices(total.shape[1:])
         yield C.record({"stratum": s.ravel().astype(np.int32), "above": g.ravel().astype(np.int32), "candidates": total[0].ravel(), "decoys": total[1].ravel()})
 
