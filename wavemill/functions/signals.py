@@ -67,7 +67,7 @@ def patches(values: Column, size: int = PATCH) -> Column:
     """Consecutive pieces of a channel; its length must be a multiple."""
     n = F.size(values)
     checked = F.when(n % size == 0, n).otherwise(F.raise_error(F.lit(f"length is not a multiple of {size}")).cast("int"))
-    return F.transform(F.sequence(F.lit(0), checked / size - 1), lambda i: F.slice(values, i.cast("int") * size + 1, size))
+    return F.transform(F.sequence(F.lit(0), (checked / size).cast("int") - 1), lambda i: F.slice(values, i * size + 1, size))
 
 
 @lru_cache(maxsize=64)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from fnmatch import fnmatch
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,26 @@ _PARSED = "path string, rate double, channel_names array<string>, signal array<a
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, length and content of the files under ``root``, in any depth."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    """path, length and content of the files under ``root``, in any depth.
+
+    Spark's source leaves out files without a byte; those are listed here, so
+    that they are found and fail like other unreadable recordings.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    empty = [(p, 0, bytearray()) for p in _without_bytes(spark, root) if fnmatch(p.rsplit("/", 1)[-1], pattern)]
+    return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
+
+
+def _without_bytes(spark: SparkSession, root: str) -> list[str]:
+    """Paths of zero-byte files, listed on the driver."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    listed = store.listFiles(path, True)
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
 
 
 def discover_mat(spark: SparkSession, root: str) -> DataFrame:
