@@ -159,6 +159,16 @@ def record(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """A compressed array; the length of its bytes comes first."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd"), kind)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share; where
     that is unset (as in tests), one in the warehouse."""

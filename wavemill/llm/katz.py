@@ -49,6 +49,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import squeeze as _pack
+from .common import unsqueeze as _unpack
 from .substrings import _place_column
 
 SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
@@ -69,16 +71,6 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """A compressed array; the length of its bytes comes first."""
-    raw = np.ascontiguousarray(x).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd"), kind)
-
-
 def discounts(nr: np.ndarray) -> np.ndarray:
     """d(0..SMALL), d(0) being that of larger counts; nr[r] has counts of counts."""
     out = np.full(SMALL + 1, LARGE)

@@ -45,6 +45,7 @@ WINDOW, BLOCK = 13, 7
 BROADCAST_ROWS = 1_000_000
 
 #: One row of packed entries: those of document ids[k] are the next counts[k].
+#: Ids are ascending; their steps and the counts are compressed.
 _PACKED = "bucket int, ids binary, counts binary, high binary, low binary"
 _FIELDS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
 
@@ -66,7 +67,7 @@ def _pack(bucket: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray
     rows = []
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         new = np.flatnonzero(np.diff(ids[i:j], prepend=ids[i] - 1))
-        rows.append({"bucket": int(bucket[i]), "ids": ids[i:j][new].tobytes(), "counts": np.diff(np.append(new, j - i)).astype(np.uint32).tobytes(), "high": high[i:j].tobytes(), "low": low[i:j].tobytes()})
+        rows.append({"bucket": int(bucket[i]), "ids": C.squeeze(np.diff(ids[i:j][new], prepend=0)), "counts": C.squeeze(np.diff(np.append(new, j - i)).astype(np.uint32)), "high": high[i:j].tobytes(), "low": low[i:j].tobytes()})
     return pa.RecordBatch.from_pylist(rows, _FIELDS)
 
 
@@ -76,7 +77,13 @@ def _unpack(packed: pa.Table | pa.RecordBatch, high: type, low: type) -> tuple[n
     def joined(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in packed.column(name).to_pylist()] or [np.zeros(0, kind)])
 
-    return np.repeat(joined("ids", np.int64), joined("counts", np.uint32)), joined("high", high), joined("low", low)
+    counts = np.concatenate([C.unsqueeze(x, np.uint32) for x in packed.column("counts").to_pylist()] or [np.zeros(0, np.uint32)])
+    return np.repeat(_ids(packed.column("ids")), counts), joined("high", high), joined("low", low)
+
+
+def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The documents of packed rows, one row after the other."""
+    return np.concatenate([np.cumsum(C.unsqueeze(x, np.int64)) for x in column.to_pylist()] or [np.zeros(0, np.int64)])
 
 
 def _once(ids: np.ndarray, keys: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
@@ -237,10 +244,9 @@ def _whole(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)])
-        yield C.record({"id": np.unique(ids)})
+def _holders(packed: pa.Table) -> pa.Table:
+    """The documents of one place that have a hit."""
+    return pa.table({"id": np.unique(_ids(packed["ids"]))})
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -250,7 +256,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     buckets = C.partitions(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), C.text_of(text).alias("text"))
     hits = C.durable(_anchors(docs, id, text, buckets).groupBy("bucket").applyInArrow(_hits(buckets), _PACKED))
-    holders = C.durable(hits.select("ids").mapInArrow(_holders, "id long").distinct())
+    holders = C.durable(hits.select("bucket", "ids").groupBy("bucket").applyInArrow(_holders, "id long"))
     if holders.count() <= BROADCAST_ROWS:
         some = rows.join(F.broadcast(holders), "id", "left_semi")
         rest = rows.join(F.broadcast(holders), "id", "left_anti")
