@@ -153,10 +153,10 @@ def view_label_check(spark, sf_dir):
     return rows.groupBy(F.col("source").alias("split")).agg(F.count("*").alias("examples"), missing.alias("unlabeled"), (missing == 0).alias("usable"))
 
 
-@query(f"WITH {K.SAMPLES_SQL} SELECT vec_id, channel::INT AS channel, sample::INT AS sample, round((value::FLOAT / 100::FLOAT)::DOUBLE, 7) AS value FROM samples")
+@query(f"WITH {K.SAMPLES_SQL} SELECT vec_id, channel::INT AS channel, sample::INT AS sample, round((value::FLOAT / 100::FLOAT)::DOUBLE, 7) + 0.0 AS value FROM samples")
 def read_scaled_signal(spark, sf_dir):
     rows = K.trials(spark, sf_dir).select("vec_id", F.posexplode(signals.scale(F.col("signal"), F.lit(100.0).cast("float"))).alias("channel", "_v"))
-    return rows.select("vec_id", "channel", F.posexplode("_v").alias("sample", "_x")).select("vec_id", "channel", "sample", F.round(F.col("_x").cast("double"), 7).alias("value"))
+    return rows.select("vec_id", "channel", F.posexplode("_v").alias("sample", "_x")).select("vec_id", "channel", "sample", (F.round(F.col("_x").cast("double"), 7) + 0.0).alias("value"))
 
 
 @query(
