@@ -159,14 +159,27 @@ def record(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """A compressed array; the length of its bytes comes first."""
-    raw = np.ascontiguousarray(x).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
-def unsqueeze(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd"), kind)
+def squeeze(x: np.ndarray, ordered: bool = False) -> bytes:
+    """A compressed array; the length of its bytes comes first.
+
+    Bytes of equal weight are put together, as the high ones of counts and
+    small steps are mostly zero.  ``ordered``: steps are kept, not values.
+    """
+    x = np.ascontiguousarray(x).ravel()
+    if ordered:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unsqueeze(x: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(_ZSTD.decompress(x[8:], int.from_bytes(x[:8], "little")), np.uint8)
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+    return np.cumsum(values, dtype=values.dtype) if ordered else values
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -175,6 +188,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect frames that are no longer used, so that Spark
+    drops their shuffle files now rather than at the next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder.
 
@@ -186,8 +206,7 @@ def durable(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     kept = df.checkpoint()
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    release(df.sparkSession)
     return kept
 
 

@@ -57,14 +57,14 @@ SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_PAIR_FIELDS = ["h", "h_pairs", "w_high", "w_low", "cw", "pair_docs", "docs", "times", "train"]
+_PAIR_FIELDS = ["h", "h_pairs", "w", "cw", "pair_docs", "docs", "times", "train"]
 _INFO_FIELDS = ["ids", "known_id", "held", "n_tokens", "n_known", "base"]
 _PAIRS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), *[(f, pa.binary()) for f in (*_PAIR_FIELDS, *_INFO_FIELDS)]])
 _PART_FIELDS = ["gs", "docs", "sums", "bins", "stats", "u_h", "u_doc", "u_times", "heavy_h", "heavy_stats", "nr"]
 _PARTS = pa.schema([("g", pa.int32()), *[(f, pa.binary()) for f in (*_PART_FIELDS, *_INFO_FIELDS)]])
 _SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 #: Groups of documents to a shuffle partition, and slices of a bucket's work.
-GROUPS, SLICES = 2, 4
+GROUPS, SLICES = 1, 4
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -160,7 +160,7 @@ def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
         g, place = docs["g"][0].as_py(), _bucket(C.mix64(words), buckets)
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-        rows = [{"bucket": b, "g": g, "words": words[order[i:j]].tobytes(), "counts": _pack(counts[order[i:j]])} for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+        rows = [{"bucket": b, "g": g, "words": _pack(words[order[i:j]], True), "counts": _pack(counts[order[i:j]])} for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
         return pa.Table.from_pylist(rows, _WORDS)
 
     return run
@@ -171,15 +171,15 @@ def _sum_words(least: int) -> Callable[[pa.Table], pa.Table]:
     tokens, types and counts of counts; and frequent words with counts."""
 
     def run(packed: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, np.uint64) for x in packed["words"].to_pylist()]
+        words = [_unpack(x, np.uint64, True) for x in packed["words"].to_pylist()]
         counts = np.concatenate([_unpack(x, np.int64) for x in packed["counts"].to_pylist()])
         each, inverse = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(each), np.int64)
         np.add.at(total, inverse, counts)
         cuts, bucket = np.cumsum([0, *map(len, words)]), packed["bucket"][0].as_py()
-        rows = [{"bucket": bucket, "g": g, "words": w.tobytes(), "counts": _pack(total[inverse[i:j]])} for g, w, i, j in zip(packed["g"].to_pylist(), words, cuts, cuts[1:], strict=False)]
+        rows = [{"bucket": bucket, "g": g, "words": _pack(w, True), "counts": _pack(total[inverse[i:j]])} for g, w, i, j in zip(packed["g"].to_pylist(), words, cuts, cuts[1:], strict=False)]
         often = (total >= least) & (total * SHARE >= total.sum())
-        rows.append({"bucket": bucket, "g": -1, "words": each[often].tobytes(), "counts": _pack(np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2], total[often]]).astype(np.int64))})
+        rows.append({"bucket": bucket, "g": -1, "words": _pack(each[often], True), "counts": _pack(np.concatenate([[total.sum(), (total > 0).sum()], np.bincount(np.minimum(total, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2], total[often]]).astype(np.int64))})
         return pa.Table.from_pylist(rows, _WORDS)
 
     return run
@@ -190,7 +190,7 @@ def _send_pairs(buckets: int, uni: Unigrams, heavy: np.ndarray) -> Callable[[pa.
         if not docs.num_rows:
             return _PAIRS.empty_table()
         w, h, doc = _tokens(docs)
-        words = _joined(counted, "words", np.uint64)
+        words = np.concatenate([_unpack(x, np.uint64, True) for x in counted["words"].to_pylist()])
         counts = np.concatenate([_unpack(x, np.int64) for x in counted["counts"].to_pylist()])
         order = np.argsort(words)
         cw = counts[order][np.searchsorted(words, w, sorter=order)]
@@ -219,11 +219,11 @@ def _send_pairs(buckets: int, uni: Unigrams, heavy: np.ndarray) -> Callable[[pa.
         h_pairs = np.diff(np.append(np.searchsorted(pairs, hs), len(pairs))).astype(np.uint32)
         bounds = [np.searchsorted(bucket[x], np.arange(buckets + 1)) for x in (entry, pairs, hs)]
         columns = {"docs": (0, doc[entry].astype(np.uint16 if n <= 1 << 16 else np.uint32)), "times": (0, times)}
-        columns |= {"w_high": (1, (pair[pairs] >> np.uint64(32)).astype(np.uint32)), "w_low": (1, (pair[pairs] >> np.uint64(16)).astype(np.uint16)), "cw": (1, cw[pairs]), "pair_docs": (1, pair_docs)}
+        columns |= {"w": (1, pair[pairs] >> np.uint64(16)), "cw": (1, cw[pairs]), "pair_docs": (1, pair_docs)}
         columns |= {"h": (2, h[hs]), "h_pairs": (2, h_pairs)}
         for b in range(buckets):
             if bounds[0][b + 1] > bounds[0][b]:
-                rows.append({"bucket": b, "g": g, "train": train} | {k: _pack(x[bounds[level][b] : bounds[level][b + 1]]) for k, (level, x) in columns.items()})
+                rows.append({"bucket": b, "g": g, "train": train} | {k: _pack(x[bounds[level][b] : bounds[level][b + 1]], k in ("h", "w")) for k, (level, x) in columns.items()})
         return pa.Table.from_pylist(rows, _PAIRS)
 
     return run
@@ -233,8 +233,8 @@ class _Sent:
     """The pairs and entries of a bucket, of all groups, in compact arrays."""
 
     def __init__(self, rows: pa.Table) -> None:
-        def each(name: str, kind: type) -> list[np.ndarray]:
-            return [_unpack(x, kind) for x in rows[name].to_pylist()]
+        def each(name: str, kind: type, ordered: bool = False) -> list[np.ndarray]:
+            return [_unpack(x, kind, ordered) for x in rows[name].to_pylist()]
 
         trains = each("train", bool)
         self.gs, self.sizes = np.array(rows["g"].to_pylist(), np.int32), np.array([len(x) for x in trains])
@@ -243,8 +243,8 @@ class _Sent:
         self.doc = np.concatenate([_unpack(x, k).astype(np.int32) + np.int32(o) for x, k, o in zip(rows["docs"].to_pylist(), kinds, offset, strict=True)])
         self.times, self.pair_docs = np.concatenate(each("times", np.uint32)), np.concatenate(each("pair_docs", np.uint32))
         self.cw = np.concatenate(each("cw", np.int64))
-        self.h = np.repeat(np.concatenate(each("h", np.uint64)), np.concatenate(each("h_pairs", np.uint32)))
-        self.w = np.concatenate(each("w_high", np.uint32)).astype(np.uint64) << np.uint64(16) | np.concatenate(each("w_low", np.uint16))
+        self.h = np.repeat(np.concatenate(each("h", np.uint64, True)), np.concatenate(each("h_pairs", np.uint32)))
+        self.w = np.concatenate(each("w", np.uint64, True))
 
 
 def _sum_pairs(uni: Unigrams, heavy: np.ndarray, heavy_counts: np.ndarray) -> Callable[[pa.Table], pa.Table]:
@@ -351,7 +351,7 @@ def _finish(d: np.ndarray, heavy_alpha: np.ndarray) -> Callable[[Iterator[pa.Rec
                 order = np.argsort(x["gs"], kind="stable")
                 gs = x["gs"][order]
                 cuts = np.flatnonzero(np.diff(gs, prepend=-1, append=-2))
-                yield pa.RecordBatch.from_pylist([{"g": int(gs[i]), "docs": _pack(x["docs"][order[i:j]].astype(np.uint32)), "sums": _pack(sums[order[i:j]])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)], _PARTS)
+                yield pa.RecordBatch.from_pylist([{"g": int(gs[i]), "docs": _pack(x["docs"][order[i:j]].astype(np.uint32), True), "sums": _pack(sums[order[i:j]])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)], _PARTS)
 
     return run
 
@@ -362,7 +362,7 @@ def _add_up(packed: pa.Table) -> pa.Table:
     score = np.zeros(len(ids))
     for docs, sums in zip(packed["docs"].to_pylist(), packed["sums"].to_pylist(), strict=True):
         if docs is not None:
-            np.add.at(score, _unpack(docs, np.uint32), _unpack(sums, np.float64))
+            np.add.at(score, _unpack(docs, np.uint32, True), _unpack(sums, np.float64))
     return pa.table({"id": pa.array(ids, mask=~_unpack(info["known_id"], bool)), "held_out": pa.array(_unpack(info["held"], bool)), "n_tokens": _unpack(info["n_tokens"], np.int64), "n_known": _unpack(info["n_known"], np.int64), "base_score": _unpack(info["base"], np.float64), "score": score})
 
 
@@ -379,7 +379,8 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
     rows = rows.withColumn("g", F.coalesce(_place_column("id", groups), F.lit(0)))
     dealt = _dealt(rows)
     words = C.durable(dealt.groupBy("g").applyInArrow(_count_words(buckets), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words(least), _ddl(_WORDS)))
-    found = [(np.frombuffer(r.words, np.uint64), _unpack(r.counts, np.int64)) for r in words.filter("g < 0").select("words", "counts").collect()]
+    found = [(_unpack(r.words, np.uint64, True), _unpack(r.counts, np.int64)) for r in words.filter("g < 0").select("words", "counts").collect()]
+    C.release(spark)
     total = np.sum([c[: SMALL + 4] for _, c in found], 0) if found else np.zeros(SMALL + 4, np.int64)
     uni = Unigrams(int(total[0]), int(total[1]), total[2:])
     often = {int(w): int(n) for ws, c in found for w, n in zip(ws, c[SMALL + 4 :], strict=True) if n * SHARE >= total[0]}
