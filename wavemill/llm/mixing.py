@@ -14,8 +14,9 @@ It runs as a reduction tree.  A source's documents are dealt by hash over
 leaves of about ``LEAF`` documents (so a hot source has many leaves); each leaf
 keeps at most one fractional document.  Those meet in groups of ``FAN_IN``
 leaves, level after level, until each source has one, which is drawn with its
-probability.  A source's words are thus off its target by less than one
-document.  All random draws are hashes of the document and a seed, and leaves
+probability; documents settled in that last group make good what the draw is
+off by, as far as they fit.  A source's words are thus off its target by less
+than one document, and mostly by far less.  All random draws are hashes of the document and a seed, and leaves
 depend on counts only, so reruns and other partitionings agree.
 
 Equal rows (id, source and size) are one unit with a multiplicity and get the
@@ -95,7 +96,12 @@ def _draws(uid: np.ndarray, level: int) -> np.ndarray:
 
 
 def _pivot(x: np.ndarray, mass: np.ndarray, draw: np.ndarray, last: bool) -> np.ndarray:
-    """x with all but at most one entry rounded to 0 or 1; ``last``: all."""
+    """x with all but at most one entry rounded to 0 or 1; ``last``: all.
+
+    The last draw adds or drops up to a document.  What it is off by is made
+    good by the largest settled documents that fit into it, one after another.
+    """
+    free = [k for k, p in enumerate(x.tolist()) if 0 < p < 1]
     x, held = x.tolist(), -1
     mass, draw = mass.tolist(), draw.tolist()
     for j in range(len(x)):
@@ -112,7 +118,12 @@ def _pivot(x: np.ndarray, mass: np.ndarray, draw: np.ndarray, last: bool) -> np.
             x[k] = 0.0 if x[k] < 1e-9 else 1.0 if x[k] > 1 - 1e-9 else x[k]
         held = next((k for k in (j, i) if 0 < x[k] < 1), -1)
     if last and held >= 0:
-        x[held] = float(draw[held] < x[held])
+        before, x[held] = x[held], float(draw[held] < x[held])
+        off = mass[held] * (x[held] - before)
+        for k in sorted(free, key=lambda k: -mass[k]):
+            if k != held and x[k] == (off > 0) and mass[k] <= abs(off):
+                x[k] = 1 - x[k]
+                off += mass[k] if x[k] else -mass[k]
     return np.array(x)
 
 
