@@ -9,6 +9,7 @@ and hashes of word n-grams come from whole-array NumPy operations on it.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -188,11 +189,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 1) -> None:
     """Asks the driver to collect frames that are no longer used, so that Spark
-    drops their shuffle files now rather than at the next full collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    drops their shuffle files now rather than at the next full collection.
+
+    What a first round frees may hold more: large stages ask for two.
+    """
+    for k in range(rounds):
+        if k:
+            time.sleep(0.5)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -380,7 +380,7 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
     dealt = _dealt(rows)
     words = C.durable(dealt.groupBy("g").applyInArrow(_count_words(buckets), _ddl(_WORDS)).groupBy("bucket").applyInArrow(_sum_words(least), _ddl(_WORDS)))
     found = [(_unpack(r.words, np.uint64, True), _unpack(r.counts, np.int64)) for r in words.filter("g < 0").select("words", "counts").collect()]
-    C.release(spark)
+    C.release(spark, 3)
     total = np.sum([c[: SMALL + 4] for _, c in found], 0) if found else np.zeros(SMALL + 4, np.int64)
     uni = Unigrams(int(total[0]), int(total[1]), total[2:])
     often = {int(w): int(n) for ws, c in found for w, n in zip(ws, c[SMALL + 4 :], strict=True) if n * SHARE >= total[0]}

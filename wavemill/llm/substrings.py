@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     windows = some.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(buckets), _PACKED)
     repeats = C.durable(windows.groupBy("bucket").applyInArrow(_repeats(buckets), _PACKED))
     del windows, hits
-    C.release(spark)
+    C.release(spark, 2)
     cut = some.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_cut(with_text), _RESULT)
     return cut.unionByName(rest.mapInArrow(_whole(with_text), _RESULT)).withColumnRenamed("id", id)
 
