@@ -363,6 +363,7 @@ def test_multi_index_finds_all_within_the_radius():
         ('<div class="cookie-notice">n</div><p>keep</p><div id=comments><p>c</p></div><form>f</form>', "keep"),
         ("<main><header><h1>T</h1>by me</header><p>x</main>", "T x"),
         ("<article>open", "open"),
+        ('<main class="menu-open"><div class="entry-header"><h1>T</h1>meta</div>x<article class="comment">c</article></main>', "T x"),
         ('<p title="a > b">t</p>', "t"),
     ],
 )
