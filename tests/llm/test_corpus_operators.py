@@ -388,6 +388,24 @@ def test_template_lines_go_and_articles_stay(spark):
     assert html_text.extract(frame).count() == len(pages)
     assert html_text.extract(frame.limit(0)).count() == 0
 
+def test_template_lines_inside_content_go(spark):
+    rng = np.random.default_rng(16)
+    shell = "<main><p>Share this on all networks</p><p>{}</p><p>{}</p><p>Read more of our stories</p></main>"
+    pages = [(k, f"http://h.example/a/{k:03d}", shell.format(prose(rng, 40), prose(rng, 30))) for k in range(30)]
+    quote = "<p>a passage that two documents quote</p>"
+    pages += [(100 + k, f"http://i.example/{k}", f"<article>{quote}<p>{prose(rng, 40)}</p></article>") for k in range(2)]
+    article = f"<article><p>{prose(rng, 40)}</p><p>{prose(rng, 40)}</p><p>tail {{}}</p></article>"
+    pages += [(200 + k, f"http://j.example/{k}", article.format(k)) for k in range(5)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert all("Share" not in out[k] and "Read more" not in out[k] and len(out[k].split()) == 70 for k in range(30))
+        assert all("quote" in out[100 + k] for k in range(2)) and all(len(out[200 + k].split()) == 82 for k in range(5))
+
 
 def test_common_lines_is_longest():
     rng = np.random.default_rng(2)

@@ -8,11 +8,12 @@ neighbours share is the site's template, and is deleted.
 Two things bound what differencing may decide.  Lines that markup declares to
 be no content (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) go even where they differ between neighbours, as rotating adverts and
-menus do.  And lines inside ``<article>`` or ``<main>`` stay even where they
-are shared, as copies of an article and passages that many documents quote
-would otherwise vanish.  For the same reason a pair shares nothing when what
-its pages share outside such elements is most of what either has there.
-Where a page has an ``<article>`` or ``<main>``, only what is in it is content.
+menus do.  And where a page has an ``<article>`` or ``<main>``, only what is in
+it is content; a line there is template only where the alignments carry it
+through three pages in order and neither pair of them are copies (share most of
+the content of either), as copies of an article and passages that two documents
+quote would otherwise vanish.  Elsewhere a shared line goes at once, unless
+what is shared is most of the page's text.
 
 What is sorted and compared is each page's line hashes, not its text.  The sort
 is a range partitioning by (host, path, page), which splits a hot host; the
@@ -29,14 +30,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from html import unescape
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -203,40 +204,60 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[in
     return left, right
 
 
-#: A page as it is compared: hashes and lengths of the lines outside content
-#: elements, and which of them are still open (not dropped by markup).
-_SIGNATURE = "uid long, host string, path string, hashes array<long>, lengths array<int>, open array<int>"
+#: A page as it is compared: hashes and lengths of its lines, which of them are
+#: open (not dropped by markup), and whether those are in content elements.
+_SIGNATURE = "uid long, host string, path string, hashes array<long>, lengths array<int>, open array<int>, inner boolean"
 
 
 def _signatures(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.chunks(batches, 3):
-            hashes, lengths, opened = [], [], []
+            hashes, lengths, opened, inside = [], [], [], []
             for html in part.column(3).to_pylist():
                 found = lines(html)
                 inner = any(x[1] for x in found)
-                found = [x for x in found if not x[1]]
                 hashes.append([xxhash.xxh64_intdigest(x[0]) - (1 << 63) for x in found])
                 lengths.append([len(x[0]) for x in found])
-                opened.append([k for k, x in enumerate(found) if not x[2] and not inner])
-            yield C.record({"uid": part.column(0), "host": part.column(1), "path": part.column(2), "hashes": pa.array(hashes, pa.list_(pa.int64())), "lengths": pa.array(lengths, pa.list_(pa.int32())), "open": pa.array(opened, pa.list_(pa.int32()))})
+                opened.append([k for k, x in enumerate(found) if not x[2] and (x[1] or not inner)])
+                inside.append(inner)
+            yield C.record({"uid": part.column(0), "host": part.column(1), "path": part.column(2), "hashes": pa.array(hashes, pa.list_(pa.int64())), "lengths": pa.array(lengths, pa.list_(pa.int32())), "open": pa.array(opened, pa.list_(pa.int32())), "inner": pa.array(inside, pa.bool_())})
 
     return pages.select("uid", "host", "path", "html").mapInArrow(run, _SIGNATURE)
 
 
-def _shared(a: dict, b: dict) -> Iterator[tuple[int, list[int]]]:
-    """(page, its open lines shared with the other) for both of a pair."""
-    if a["host"] != b["host"] or not (a["open"] or b["open"]):
-        return
-    both = common_lines(a["hashes"], b["hashes"])
-    for page, mine in zip((a, b), both, strict=True):
-        lengths, mine = page["lengths"], set(mine)
-        gone = [k for k in page["open"] if k in mine]
-        if gone and 2 * sum(lengths[k] for k in gone) <= sum(lengths[k] for k in page["open"]):
-            yield page["uid"], gone
-
-
-_PAIRED = "part int, side int, uid long, host string, hashes array<long>, lengths array<int>, open array<int>, gone array<int>"
+def _most(page: dict, gone: Iterable[int]) -> bool:
+    """Whether these lines are more than half of a page's open text."""
+    lengths = page["lengths"]
+    return 2 * sum(lengths[k] for k in gone) > sum(lengths[k] for k in page["open"])
+
+
+def _shared(pages: Iterable[dict]) -> Iterator[tuple[int, list[int]]]:
+    """(page, lines of it that are template) from pages in order of host and path."""
+    x = y = before = None
+    for z in pages:
+        pair = None
+        if y and y["host"] == z["host"] and (y["open"] or z["open"]):
+            left, right = common_lines(y["hashes"], z["hashes"])
+            mine = [[k for k in page["open"] if k in at] for page, at in ((y, set(left)), (z, set(right)))]
+            copies = any(_most(page, gone) for page, gone in zip((y, z), mine, strict=True))
+            pair = (dict(zip(left, right, strict=True)), copies)
+            for page, gone in zip((y, z), mine, strict=True):
+                if gone and not page["inner"] and not _most(page, gone):
+                    yield page["uid"], gone
+        if before and pair:
+            # what goes through three pages
+            back = {j: i for i, j in before[0].items()}
+            through = [(back[k], k, pair[0][k]) for k in back if k in pair[0]]
+            for page, at in zip((x, y, z), map(set, zip(*through, strict=True)) if through else (), strict=bool(through)):
+                gone = [k for k in page["open"] if k in at]
+                if gone and page["inner"] and not (before[1] or pair[1]):
+                    yield page["uid"], gone
+        x, y, before = y, z, pair
+
+
+_PAIRED = "part int, side int, gap boolean, uid long, host string, hashes array<long>, lengths array<int>, open array<int>, inner boolean, gone array<int>"
+_FOUND = pa.schema([("uid", pa.int64()), ("gone", pa.list_(pa.int32()))])
+_EDGE_FIELDS = ["uid", "host", "hashes", "lengths", "open", "inner"]
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
@@ -248,36 +269,43 @@ def template_lines(pages: DataFrame) -> DataFrame:
     order = ["host", "path", "uid"]
     parts = C.partitions(spark)
     ordered = C.durable(_signatures(pages).repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    kinds = pa.schema([("part", pa.int32()), ("side", pa.int32()), ("uid", pa.int64()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("open", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32()))])
+    kinds = pa.schema([("part", pa.int32()), ("side", pa.int32()), ("gap", pa.bool_()), ("uid", pa.int64()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("open", pa.list_(pa.int32())), ("inner", pa.bool_()), ("gone", pa.list_(pa.int32()))])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, first = TaskContext.get().partitionId(), None, None
-        edge = lambda side, x: {"part": part, "side": side, "gone": None} | {k: x[k] for k in ("uid", "host", "hashes", "lengths", "open")}
-        for batch in batches:
-            rows = []
-            for page in batch.to_pylist():
-                if before is None:
-                    first = page
-                else:
-                    rows += [{"part": part, "side": -1, "uid": u, "gone": g} for u, g in _shared(before, page)]
-                before = page
+        part, n, edges = TaskContext.get().partitionId(), 0, []
+
+        def each() -> Iterator[dict]:
+            nonlocal n
+            for batch in batches:
+                for page in batch.to_pylist():
+                    # the first two and the last two pages
+                    edges.append(page)
+                    if len(edges) > 4:
+                        del edges[2]
+                    n += 1
+                    yield page
+
+        found = _shared(each())
+        while rows := [{"part": part, "side": -1, "uid": u, "gone": g} for u, g in islice(found, 1000)]:
             yield pa.RecordBatch.from_pylist(rows, kinds)
-        if before is not None:
-            yield pa.RecordBatch.from_pylist([edge(0, first), edge(1, before)], kinds)
+        if edges:
+            yield pa.RecordBatch.from_pylist([{"part": part, "side": k, "gap": k == 2 and n > 4} | {f: page[f] for f in _EDGE_FIELDS} for k, page in enumerate(edges)], kinds)
 
     found = C.durable(ordered.mapInArrow(within, _PAIRED))
-    # one first and one last page for each partition that has any
-    following = Window.orderBy("part", "side")
-    edges = found.filter("side >= 0")
-    fields = ["uid", "host", "hashes", "lengths", "open"]
-    pairs = edges.withColumn("next", F.lead(F.struct(*fields)).over(following)).filter("side = 1 and next is not null").select(F.struct(*fields).alias("a"), F.col("next").alias("b"))
+    # at most four pages of each partition; those between are a gap
+    edges = found.filter("side >= 0").select("part", "side", "gap", *_EDGE_FIELDS).repartition(1).sortWithinPartitions("part", "side")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run: list[dict] = []
         for batch in batches:
-            rows = [{"uid": u, "gone": g} for pair in batch.to_pylist() for u, g in _shared(pair["a"], pair["b"])]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("uid", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+            for page in batch.to_pylist():
+                if page["gap"]:
+                    yield pa.RecordBatch.from_pylist([{"uid": u, "gone": g} for u, g in _shared(run)], _FOUND)
+                    run = []
+                run.append(page)
+        yield pa.RecordBatch.from_pylist([{"uid": u, "gone": g} for u, g in _shared(run)], _FOUND)
 
-    rows = found.filter("side = -1").select("uid", "gone").unionByName(pairs.mapInArrow(across, "uid long, gone array<int>"))
+    rows = found.filter("side = -1").select("uid", "gone").unionByName(edges.mapInArrow(across, "uid long, gone array<int>"))
     return rows.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
@@ -302,8 +330,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
             for page, drop in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 found, drop = lines(page), set(drop or ())
                 inner = any(x[1] for x in found)
-                outside = np.cumsum([not x[1] for x in found]) - 1 if found else []
-                texts.append(" ".join(x[0] for x, k in zip(found, outside, strict=True) if not x[2] and (x[1] if inner else int(k) not in drop)))
+                texts.append(" ".join(x[0] for k, x in enumerate(found) if not x[2] and (x[1] or not inner) and k not in drop))
             yield C.record({"id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
     kinds = dict(rows.dtypes)
