@@ -420,6 +420,28 @@ def test_common_lines_is_longest():
         assert x == sorted(set(x)) and y == sorted(set(y))
 
 
+def test_common_lines_is_longest_beyond_the_bound(monkeypatch):
+    rng = np.random.default_rng(22)
+    cases = [(rng.integers(0, 4, 60).tolist(), rng.integers(0, 4, 50).tolist()) for _ in range(20)]
+    want = [html_text.common_lines(a, b) for a, b in cases]
+    monkeypatch.setattr(html_text, "MATCHES", 40)
+    for (a, b), (x, y) in zip(cases, want, strict=True):
+        i, j = html_text.common_lines(a, b)
+        assert len(i) == len(x) and [a[k] for k in i] == [b[k] for k in j]
+        assert i == sorted(set(i)) and j == sorted(set(j))
+
+
+def test_long_templates_of_short_articles_go(spark):
+    rng = np.random.default_rng(26)
+    menu = "".join(f"<div>{prose(rng, 20)}</div>" for _ in range(10))
+    pages = [(k, f"http://h.example/{k:02d}", f"{menu}<div>{prose(rng, 15)} own</div>") for k in range(12)]
+    pages += [(100 + k, f"http://i.example/{k}", menu) for k in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert all(len(out[k].split()) == 16 and out[k].endswith("own") for k in range(12))
+    assert all(len(out[100 + k].split()) == 200 for k in range(3))
+
+
 # --- chats -------------------------------------------------------------------
 
 

@@ -13,7 +13,8 @@ it is content; a line there is template only where the alignments carry it
 through three pages in order and neither pair of them are copies (share most of
 the content of either), as copies of an article and passages that two documents
 quote would otherwise vanish.  Elsewhere a shared line goes at once, unless
-what is shared is most of the page's text.
+what is shared is most of the page's text, as in copies; then it goes if it is
+carried through three pages, each of which has text of its own besides.
 
 What is sorted and compared is each page's line hashes, not its text.  The sort
 is a range partitioning by (host, path, page), which splits a hot host; the
@@ -34,6 +35,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from html import unescape
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -44,7 +46,7 @@ from . import common as C
 
 #: Masks up to this many rows are broadcast, others joined by shuffle.
 BROADCAST_ROWS = 20_000
-#: Matching line pairs beyond which equal lines are matched in turn only.
+#: Matching line pairs beyond which pages are halved before they are aligned.
 MATCHES = 2_000_000
 
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -157,36 +159,31 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def common_lines(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-    """Positions in a and in b of a longest common subsequence.
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each head of b."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _longest(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """Positions in a and b of a longest common subsequence.
 
-    Head and tail are stripped, then matching pairs are threaded in order
-    (Hunt-Szymanski).  Where equal lines repeat so often that there are over
-    MATCHES pairs, the k-th of them in a is matched with the k-th in b only.
+    Matching pairs are threaded in order (Hunt-Szymanski).  Over MATCHES of
+    them, a is halved and b cut where the halves have most (Hirschberg).
     """
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    m = 0
-    while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
-        m += 1
     where = defaultdict(list)
-    for j in range(n, len(b) - m):
-        where[b[j]].append(j)
-    counts = defaultdict(int)
-    for i in range(n, len(a) - m):
-        counts[a[i]] += 1
-    many = sum(c * len(where[x]) for x, c in counts.items() if x in where) > MATCHES
-    seen: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        where[x].append(j)
+    if len(a) > 1 and sum(len(where.get(x, ())) for x in a) > MATCHES:
+        half, x, y = len(a) // 2, np.array(a, np.int64), np.array(b, np.int64)
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _longest(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in _longest(a[half:], b[cut:])]
     ends: list[int] = []  # the least end in b of a chain of each length
     links: list[tuple[int, int, object]] = []
-    for i in range(n, len(a) - m):
-        found = where.get(a[i], [])
-        if many:
-            k = seen[a[i]]
-            seen[a[i]] += 1
-            found = found[k : k + 1]
-        for j in reversed(found):
+    for i, x in enumerate(a):
+        for j in reversed(where.get(x, ())):
             k = bisect_left(ends, j)
             link = (i, j, links[k - 1] if k else None)
             if k == len(ends):
@@ -198,9 +195,21 @@ def common_lines(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[in
     while link:
         chain.append(link[:2])
         link = link[2]
-    chain.reverse()
-    left = [*range(n), *(i for i, _ in chain), *range(len(a) - m, len(a))]
-    right = [*range(n), *(j for _, j in chain), *range(len(b) - m, len(b))]
+    return chain[::-1]
+
+
+def common_lines(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
+    """Positions in a and in b of a longest common subsequence, after head and
+    tail are stripped."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    chain = _longest(a[n : len(a) - m], b[n : len(b) - m])
+    left = [*range(n), *(n + i for i, _ in chain), *range(len(a) - m, len(a))]
+    right = [*range(n), *(n + j for _, j in chain), *range(len(b) - m, len(b))]
     return left, right
 
 
@@ -248,10 +257,11 @@ def _shared(pages: Iterable[dict]) -> Iterator[tuple[int, list[int]]]:
             # what goes through three pages
             back = {j: i for i, j in before[0].items()}
             through = [(back[k], k, pair[0][k]) for k in back if k in pair[0]]
-            for page, at in zip((x, y, z), map(set, zip(*through, strict=True)) if through else (), strict=bool(through)):
-                gone = [k for k in page["open"] if k in at]
-                if gone and page["inner"] and not (before[1] or pair[1]):
-                    yield page["uid"], gone
+            gone = [[k for k in page["open"] if k in at] for page, at in zip((x, y, z), map(set, zip(*through, strict=True)), strict=True)] if through else [[]] * 3
+            own = all(len(at) < len(page["open"]) for page, at in zip((x, y, z), gone, strict=True))
+            for page, found in zip((x, y, z), gone, strict=True):
+                if found and (not (before[1] or pair[1]) if page["inner"] else own):
+                    yield page["uid"], found
         x, y, before = y, z, pair
 
 
