@@ -311,6 +311,42 @@ def test_katz(spark, docs, rows, empty, least):
     assert katz.score(empty, held).count() == 0
 
 
+@pytest.mark.parametrize("least", [10_000, 5])
+def test_katz_trigrams(spark, docs, rows, least):
+    from pyspark.sql import functions as F
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(r[0], ["<s>", "<s>", *words((r[1] or "").translate(low)), None]) for r in rows]
+    seen = [defaultdict(Counter) for _ in range(3)]  # by words of history
+    for i, t in tokens:
+        if not is_held(i):
+            for at in range(2, len(t)):
+                for n in range(3):
+                    seen[n][tuple(t[at - n : at])][t[at]] += 1
+    d = [katz.discounts(np.array([0] + [sum(c == r for x in level.values() for c in x.values()) for r in range(1, 7)])) for level in seen]
+    kept = lambda h, w: d[len(h)][c if (c := seen[len(h)][h][w]) <= 5 else 0] * c / seen[len(h)][h].total()
+    unseen = 1 - sum(kept((), w) for w in seen[0][()])
+    alphas = {}
+
+    def p(h, w):
+        if h in seen[len(h)] and w in seen[len(h)][h]:
+            return kept(h, w)
+        if not h:
+            return unseen
+        if h in seen[len(h)] and h not in alphas:
+            follow = list(seen[len(h)][h])
+            alphas[h] = (1 - sum(kept(h, x) for x in follow)) / (1 - sum(p(h[1:], x) for x in follow))
+        return alphas.get(h, 1) * p(h[1:], w)
+
+    want = [(i, len(t) - 2, sum(math.log10(p(tuple(t[at - 2 : at]), t[at])) for at in range(2, len(t)))) for i, t in tokens]
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    found = [(r.doc_id, r.n_tokens, r.score) for r in katz.score(docs, held, least=least, order=katz.ORDER).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
+
+
 # --- decontamination ---------------------------------------------------------
 
 

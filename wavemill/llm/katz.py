@@ -1,37 +1,39 @@
 """LM scoring by Katz backoff.
 
-A bigram model over lower-cased words, with an end token after each text and a
-start history before it.  With r = c(h, w) in the training documents,
+A model of ``order`` words (three in the query) over lower-cased words, with an
+end token after each text and a start history for each order before it.  With
+h = u g a history of k - 1 words, g without its first, r = c(h, w) in training,
 
     p(w | h) = d(r) r / c(h)         for r > 0
-             = alpha(h) p(w)         else (alpha is 1 for an unseen h)
+             = alpha(h) p(w | g)     else (alpha is 1 for an unseen h)
     p(w)     = d1(c) c / N           for c = c(w) > 0
              = what the others leave for all unseen words together
 
-d and d1 are Good-Turing discounts in Katz's form for counts up to ``SMALL``,
-from the counts of counts of bigrams and of words.  Larger counts are
-discounted by ``LARGE`` only, so that every history leaves some mass; where the
-counts of counts are too few for a discount between 0 and 1, half a count is
-taken off.  alpha(h) is exact: what h leaves, divided by the unigram mass of
-the words not seen after h.
+d is the Good-Turing discount of each order in Katz's form for counts up to
+``SMALL``, from the order's counts of counts.  Larger counts are discounted by
+``LARGE`` only, so that every history leaves some mass; where the counts of
+counts are too few for a discount between 0 and 1, half a count is taken off.
+alpha(h) is exact: what h leaves, divided by the mass that the shorter history
+gives to the words not seen after h.
 
 All texts are tokenised whole, over NumPy arrays; what moves is packed.
 
 1. Documents are dealt over groups by id.  Each group sends its words and their
    training counts to buckets by word, which sum them: the unigram table, a row
    for each bucket and group.
-2. Each group gets the counts of its words back, scores the unigram base, and
-   sends each distinct bigram with the documents it is in to a bucket by
-   history: the bigram table.  There r, c(h) and the sums for alpha(h) are
-   known, as all bigrams of a history are together.
-3. Bigram counts of counts are summed, then each bucket finishes its part of
-   every document's score; a document's parts are added up.
+2. For each order from two on, each group sends its distinct n-grams and their
+   training counts, with the count and history's count of each one's shorter
+   n-gram, to a bucket by history.  There r, c(h) and the sums for alpha(h) are
+   known, as all n-grams of a history are together, and go back to the group.
+   A seen n-gram's shorter one is seen too, so its probability needs no backoff.
+3. Counts of counts are summed between orders; at the end each group scores its
+   documents from the answers of all orders.
 
 A history with at least 1/``SHARE`` of all tokens (so at most ``SHARE`` of
-them) and ``LEAST`` occurrences is dealt by bigram instead, so that no bucket
+them) and ``LEAST`` occurrences is dealt by n-gram instead, so that no bucket
 has to take all of "the"; the few sums for its alpha are added over buckets.
 
-Both tables grow with the corpus and are kept as partitioned, checkpointed
+All tables grow with the corpus and are kept as partitioned, checkpointed
 frames; only counts of counts and the frequent histories reach the driver.
 
 A null text is empty: one token, the end.  A row with a null id is scored, and
@@ -54,17 +56,19 @@ from .common import unsqueeze as _unpack
 from .substrings import _place_column
 
 SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
+#: Words of an n-gram in the query.
+ORDER = 3
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_PAIR_FIELDS = ["h", "h_pairs", "w", "cw", "pair_docs", "docs", "times", "train"]
-_INFO_FIELDS = ["ids", "known_id", "held", "n_tokens", "n_known", "base"]
-_PAIRS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), *[(f, pa.binary()) for f in (*_PAIR_FIELDS, *_INFO_FIELDS)]])
-_PART_FIELDS = ["gs", "docs", "sums", "bins", "stats", "u_h", "u_doc", "u_times", "heavy_h", "heavy_stats", "nr"]
-_PARTS = pa.schema([("g", pa.int32()), *[(f, pa.binary()) for f in (*_PART_FIELDS, *_INFO_FIELDS)]])
+_GRAM_FIELDS = ["h", "h_grams", "w", "counts", "lower", "above"]
+_GRAMS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), *[(f, pa.binary()) for f in _GRAM_FIELDS]])
+#: Answers of order k, for each bucket and group (g = -1: statistics).
+_ANSWER_FIELDS = ["words", "counts", "above", "open_h", "stats", "heavy_h", "heavy_stats", "nr", "often"]
+_ANSWERS = pa.schema([("k", pa.int32()), ("bucket", pa.int32()), ("g", pa.int32()), *[(f, pa.binary()) for f in _ANSWER_FIELDS]])
 _SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-#: Groups of documents to a shuffle partition, and slices of a bucket's work.
-GROUPS, SLICES = 1, 4
+#: Groups of documents to a shuffle partition.
+GROUPS = 1
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -129,22 +133,34 @@ def _joined(packed: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def _tokens(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, history and document of every token of a group."""
-    words, before, doc, at = [], [], [], 0
+    """Word and document of every token of a group, and whether it is a first."""
+    words, first, doc, at = [], [], [], 0
     for sizes, text in zip(packed["sizes"].to_pylist(), packed["text"].to_pylist(), strict=True):
         found = C.Words(_unpack(text, np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]))
         counts = found.counts
         n = len(counts)
         w = np.full(len(found.start) + n, END, np.uint64)
         w[np.arange(len(found.start)) + found.doc()] = found.hashes(lower=True)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[found.first[:-1] + np.arange(n)] = START
+        f = np.zeros(len(w), bool)
+        f[found.first[:-1] + np.arange(n)] = True
         words.append(w)
-        before.append(h)
+        first.append(f)
         doc.append((at + np.repeat(np.arange(n), counts + 1)).astype(np.int32))
         at += n
-    return np.concatenate(words), np.concatenate(before), np.concatenate(doc)
+    return np.concatenate(words), np.concatenate(doc), np.concatenate(first)
+
+
+def _start(k: int) -> np.uint64:
+    """The history of a text's first word in order k."""
+    return C.mix64(np.array([START + np.uint64(k)]))[0]
+
+
+def _next(w: np.ndarray, gram: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """History and n-gram of every token in order k, from the n-gram in order k - 1."""
+    h = np.empty_like(gram)
+    h[1:] = gram[:-1]
+    h[first] = _start(k)
+    return h, C.mix64(C.mix64(h) + w)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -153,7 +169,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(docs: pa.Table) -> pa.Table:
-        w, _, doc = _tokens(docs)
+        w, doc, _ = _tokens(docs)
         trains = ~_joined(docs, "held", bool)
         words, inverse = np.unique(w, return_inverse=True)
         counts = np.bincount(inverse, weights=trains[doc], minlength=len(words)).astype(np.int64)
@@ -185,146 +201,134 @@ def _sum_words(least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _send_pairs(buckets: int, uni: Unigrams, heavy: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _PAIRS.empty_table()
-        w, h, doc = _tokens(docs)
+class _Level:
+    """The distinct n-grams of one order in a group, in the order they are sent:
+    by bucket, history and n-gram."""
+
+    def __init__(self, h: np.ndarray, gram: np.ndarray, heavy: np.ndarray, buckets: int) -> None:
+        gram, first, self.of = np.unique(gram, return_index=True, return_inverse=True)
+        h = h[first]
+        bucket = _bucket(np.where(np.isin(h, heavy), gram, C.mix64(h)), buckets)
+        order = np.lexsort((gram, h, bucket))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.of, self.first = place[self.of], first[order]  # of each token; a token of each
+        self.h, self.gram, bucket = h[order], gram[order], bucket[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.h[1:] != self.h[:-1]) | (bucket[1:] != bucket[:-1])
+        self.hs, self.history = np.flatnonzero(new), np.cumsum(new) - 1
+        self.bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+        self.h_bounds = np.searchsorted(self.hs, self.bounds)
+
+
+class _Group:
+    """Tokens of a group with what is known of each in every order so far:
+    count, history's count and log10 of alpha, by token."""
+
+    def __init__(self, docs: pa.Table, answers: pa.Table, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> None:
+        self.w, self.doc, self.begins = _tokens(docs)
+        ks = answers["k"].to_numpy()
+        counted = answers.filter(pa.array(ks == 1))
         words = np.concatenate([_unpack(x, np.uint64, True) for x in counted["words"].to_pylist()])
         counts = np.concatenate([_unpack(x, np.int64) for x in counted["counts"].to_pylist()])
         order = np.argsort(words)
-        cw = counts[order][np.searchsorted(words, w, sorter=order)]
-        g, held = docs["g"][0].as_py(), _joined(docs, "held", bool)
-        n, train = len(held), _pack(~held)
-        per_doc = lambda x=None: np.bincount(doc, weights=x, minlength=n)
-        info = {"ids": _joined(docs, "ids", np.int64), "known_id": _joined(docs, "known_id", bool), "held": held, "n_tokens": per_doc().astype(np.int64), "n_known": per_doc(cw > 0).astype(np.int64), "base": per_doc(uni.base(cw))}
-        rows = [{"bucket": g % buckets, "g": g} | {k: _pack(v) for k, v in info.items()}]
-        del docs, counted, words, counts, order
-
-        pair = C.mix64(C.mix64(h) + w)
-        del w
-        bucket = _bucket(np.where(np.isin(h, heavy), pair, C.mix64(h)), buckets).astype(np.int32)
-        order = np.lexsort((pair, h, bucket))  # documents stay in order within a pair
-        bucket, h, pair, doc, cw = bucket[order], h[order], pair[order], doc[order], cw[order]
-        del order
-        new_h = np.ones(len(h), bool)
-        new_h[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-        new_pair = new_h.copy()
-        new_pair[1:] |= pair[1:] != pair[:-1]
-        new_doc = new_pair.copy()
-        new_doc[1:] |= doc[1:] != doc[:-1]
-        entry, pairs, hs = np.flatnonzero(new_doc), np.flatnonzero(new_pair), np.flatnonzero(new_h)
-        times = np.diff(np.append(entry, len(h))).astype(np.uint32)
-        pair_docs = np.diff(np.append(np.searchsorted(entry, pairs), len(entry))).astype(np.uint32)
-        h_pairs = np.diff(np.append(np.searchsorted(pairs, hs), len(pairs))).astype(np.uint32)
-        bounds = [np.searchsorted(bucket[x], np.arange(buckets + 1)) for x in (entry, pairs, hs)]
-        columns = {"docs": (0, doc[entry].astype(np.uint16 if n <= 1 << 16 else np.uint32)), "times": (0, times)}
-        columns |= {"w": (1, pair[pairs] >> np.uint64(16)), "cw": (1, cw[pairs]), "pair_docs": (1, pair_docs)}
-        columns |= {"h": (2, h[hs]), "h_pairs": (2, h_pairs)}
-        for b in range(buckets):
-            if bounds[0][b + 1] > bounds[0][b]:
-                rows.append({"bucket": b, "g": g, "train": train} | {k: _pack(x[bounds[level][b] : bounds[level][b + 1]], k in ("h", "w")) for k, (level, x) in columns.items()})
-        return pa.Table.from_pylist(rows, _PAIRS)
+        self.cw = self.count = counts[order][np.searchsorted(words, self.w, sorter=order)]
+        self.above = np.full(len(self.w), uni.tokens, np.int64)
+        self.log, self.gram = np.log10(uni.p(self.cw)), self.w
+        for k, heavy, d, heavy_alpha in zip(range(2, len(ds) + 2), heavies, ds, alphas, strict=False):
+            h, self.gram = _next(self.w, self.gram, self.begins, k)
+            level = _Level(h, self.gram, heavy, buckets)
+            r, ch, la = np.zeros(len(level.h), np.int64), np.zeros(len(level.hs), np.int64), np.zeros(len(level.hs))
+            for x in answers.filter(pa.array(ks == k)).to_pylist():
+                b = x["bucket"]
+                low = level.h_bounds[b]
+                r[level.bounds[b] : level.bounds[b + 1]] = _unpack(x["counts"], np.int64)
+                ch[low : level.h_bounds[b + 1]] = _unpack(x["above"], np.int64)
+                la[low + _unpack(x["open_h"], np.int32)] = np.log10(alpha(_unpack(x["stats"], np.float64).reshape(-1, SMALL + 3), d))
+            if len(heavy):
+                hs = level.h[level.hs]
+                often = np.isin(hs, heavy)
+                la[often] = heavy_alpha[np.searchsorted(heavy, hs[often])]
+            history = level.history[level.of]
+            self.count, self.above = r[level.of], ch[history]
+            seen = self.count > 0
+            own = np.log10(d[np.where(self.count > SMALL, 0, self.count)] * np.maximum(self.count, 1) / np.maximum(self.above, 1))
+            self.log = np.where(seen, own, np.where(self.above > 0, la[history], 0) + self.log)
+
+
+def _send(k: int, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The n-grams of order k of a group, to the buckets."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _GRAMS.empty_table()
+        group = _Group(docs, answers, buckets, uni, heavies, ds, alphas)
+        h, gram = _next(group.w, group.gram, group.begins, k)
+        level = _Level(h, gram, heavies[k - 2], buckets)
+        trains = ~_joined(docs, "held", bool)
+        counts = np.bincount(level.of, weights=trains[group.doc], minlength=len(level.h)).astype(np.uint32)
+        lower, above = group.count[level.first], group.above[level.first][level.hs]
+        g, h_grams = docs["g"][0].as_py(), np.diff(np.append(level.hs, len(level.h))).astype(np.uint32)
+        hs, w = level.h[level.hs], level.gram
+        rows = []
+        for b, (i, j, p, q) in enumerate(zip(level.bounds, level.bounds[1:], level.h_bounds, level.h_bounds[1:], strict=False)):
+            if j > i:
+                rows.append({"bucket": b, "g": g, "h": _pack(hs[p:q], True), "h_grams": _pack(h_grams[p:q]), "w": _pack(w[i:j], True), "counts": _pack(counts[i:j]), "lower": _pack(lower[i:j]), "above": _pack(above[p:q])})
+        return pa.Table.from_pylist(rows, _GRAMS)
 
     return run
 
 
-class _Sent:
-    """The pairs and entries of a bucket, of all groups, in compact arrays."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        def each(name: str, kind: type, ordered: bool = False) -> list[np.ndarray]:
-            return [_unpack(x, kind, ordered) for x in rows[name].to_pylist()]
-
-        trains = each("train", bool)
-        self.gs, self.sizes = np.array(rows["g"].to_pylist(), np.int32), np.array([len(x) for x in trains])
-        self.train, offset = np.concatenate(trains), np.cumsum(self.sizes) - self.sizes
-        kinds = [np.uint16 if n <= 1 << 16 else np.uint32 for n in self.sizes]
-        self.doc = np.concatenate([_unpack(x, k).astype(np.int32) + np.int32(o) for x, k, o in zip(rows["docs"].to_pylist(), kinds, offset, strict=True)])
-        self.times, self.pair_docs = np.concatenate(each("times", np.uint32)), np.concatenate(each("pair_docs", np.uint32))
-        self.cw = np.concatenate(each("cw", np.int64))
-        self.h = np.repeat(np.concatenate(each("h", np.uint64, True)), np.concatenate(each("h_pairs", np.uint32)))
-        self.w = np.concatenate(each("w", np.uint64, True))
+def _sum_grams(k: int, uni: Unigrams, d: np.ndarray | None, heavy: np.ndarray, heavy_counts: np.ndarray, least: int) -> Callable[[pa.Table], pa.Table]:
+    """The answers to each group, and one row (g = -1) of statistics.
 
-
-def _sum_pairs(uni: Unigrams, heavy: np.ndarray, heavy_counts: np.ndarray) -> Callable[[pa.Table], pa.Table]:
-    """Rows of the bucket, and the info rows passed on.
-
-    Per document: sums of log10 of what is known without the discounts of
-    bigrams, and how many of its tokens had r = 1..SMALL or more (bin 0).  Per
-    history with an unseen bigram: what alpha needs.  A bucket is worked off in
-    SLICES by history, to hold less at once.
+    An answer has r of each n-gram sent, c(h) of each history, and what alpha
+    needs for each history with an unseen n-gram of that group.
     """
 
-    def one_slice(sent: _Sent, pairs: np.ndarray, entries: np.ndarray, sums: np.ndarray, bins: np.ndarray) -> dict[str, np.ndarray]:
-        h, w, cw, pair_docs = sent.h[pairs], sent.w[pairs], sent.cw[pairs], sent.pair_docs[pairs]
-        doc, times = sent.doc[entries], sent.times[entries].astype(np.int64)
+    def run(packed: pa.Table) -> pa.Table:
+        each = lambda name, kind, ordered=False: [_unpack(x, kind, ordered) for x in packed[name].to_pylist()]
+        hs, h_grams, ws = each("h", np.uint64, True), each("h_grams", np.uint32), each("w", np.uint64, True)
+        h, w = np.repeat(np.concatenate(hs), np.concatenate(h_grams)), np.concatenate(ws)
         order = np.lexsort((w, h))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[order][1:] != h[order][:-1]
         new = new_h.copy()
         new[1:] |= w[order][1:] != w[order][:-1]
-        name = np.empty(len(h), np.int64)  # of each sent pair: its bigram
-        name[order] = np.cumsum(new) - 1
-        history = (np.cumsum(new_h) - 1)[new]  # of each bigram
-        bigram = np.repeat(name, pair_docs)
-        r = np.bincount(bigram, weights=times * sent.train[doc], minlength=int(new.sum())).astype(np.int64)
-        hs = h[order][new_h]
-        ch = np.bincount(history, weights=r, minlength=len(hs)).astype(np.int64)
-        is_heavy = np.isin(hs, heavy)
-        ch[is_heavy] = heavy_counts[np.searchsorted(heavy, hs[is_heavy])]
-        p1 = uni.p(cw[order][new])
-
-        stats = np.zeros((len(hs), SMALL + 3))  # c(h), p of seen words, larger counts, types with r = 1..SMALL
+        name = np.empty(len(h), np.int32)  # of each sent n-gram
+        name[order] = np.cumsum(new, dtype=np.int32) - 1
+        one, history, keys = order[new], (np.cumsum(new_h, dtype=np.int32) - 1)[new], h[order][new_h]
+        grams = w[one]
+        del h, w, ws, order
+        r = np.bincount(name, weights=np.concatenate(each("counts", np.uint32)), minlength=len(one)).astype(np.int64)
+        lower = np.concatenate(each("lower", np.int64))[one]
+        above = np.repeat(np.concatenate(each("above", np.int64)), np.concatenate(h_grams))[one]
+        p = uni.p(lower) if d is None else d[np.where(lower > SMALL, 0, lower)] * lower / np.maximum(above, 1)
+        del lower, above
+        ch = np.bincount(history, weights=r, minlength=len(keys)).astype(np.int64)
+        is_heavy = np.isin(keys, heavy)
+        ch[is_heavy] = heavy_counts[np.searchsorted(heavy, keys[is_heavy])]
+
+        stats = np.zeros((len(keys), SMALL + 3))  # c(h), p of seen words, larger counts, types with r = 1..SMALL
         stats[:, 0] = ch
-        stats[:, 1] = np.bincount(history, weights=p1 * (r > 0), minlength=len(hs))
-        stats[:, 2] = np.bincount(history, weights=r * (r > SMALL), minlength=len(hs))
-        for k in range(1, SMALL + 1):
-            stats[:, 2 + k] = np.bincount(history, weights=r == k, minlength=len(hs))
-
-        er, eh = r[bigram], history[bigram]
-        seen = er > 0
-        log = np.where(seen, np.log10(np.maximum(er, 1)) - np.log10(np.maximum(ch[eh], 1)), np.log10(p1[bigram]))
-        sums += np.bincount(doc, weights=times * log, minlength=len(sums))
-        bins += np.bincount(doc[seen].astype(np.int64) * (SMALL + 1) + np.where(er > SMALL, 0, er)[seen], weights=times[seen], minlength=bins.size).reshape(bins.shape).astype(np.int64)
-        open_ = ~seen & (ch[eh] > 0)
-        used, u_h = np.unique(eh[open_], return_inverse=True)
-        return {
-            "stats": stats[used],
-            "u_h": np.where(is_heavy[used][u_h], -1 - np.searchsorted(heavy, hs[used][u_h]), u_h).astype(np.int32),
-            "u_doc": doc[open_],
-            "u_times": times[open_].astype(np.uint32),
-            "heavy_h": hs[is_heavy],
-            "heavy_stats": stats[is_heavy],
-            "nr": np.bincount(np.minimum(r, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2].astype(np.int64),
-        }
-
-    def run(packed: pa.Table) -> pa.Table:
-        out = [r for r in packed.select(["g", *_INFO_FIELDS]).to_pylist() if r["ids"] is not None]
-        rows = packed.filter(pa.compute.is_valid(packed["h"]))
-        del packed
-        if not rows.num_rows:
-            return pa.Table.from_pylist(out, _PARTS)
-        sent = _Sent(rows)
-        del rows
-        sums, bins = np.zeros(len(sent.train)), np.zeros((len(sent.train), SMALL + 1), np.int64)
-        place = (C.mix64(sent.h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)) % np.uint64(SLICES)
-        found = []
-        for k in range(SLICES):
-            pairs = place == k
-            if pairs.any():
-                found.append(one_slice(sent, pairs, np.repeat(pairs, sent.pair_docs), sums, bins))
-        shift = np.cumsum([0, *(len(x["stats"]) for x in found)])
-        for x, low in zip(found, shift, strict=False):
-            x["u_h"] = np.where(x["u_h"] < 0, x["u_h"], x["u_h"] + np.int32(low))
-        merged = {k: np.concatenate([x[k] for x in found]) for k in found[0] if k != "nr"} | {"nr": np.sum([x["nr"] for x in found], 0)}
-        # only documents with an entry here have a part
-        used = np.unique(sent.doc)
-        group = np.repeat(np.arange(len(sent.sizes)), sent.sizes)[used]
-        local = used - (np.cumsum(sent.sizes) - sent.sizes)[group]
-        merged |= {"gs": sent.gs[group], "docs": local.astype(np.int64), "sums": sums[used], "bins": bins[used].astype(np.uint32), "u_doc": np.searchsorted(used, merged["u_doc"]).astype(np.int64)}
-        out.append({"g": -1} | {k: _pack(v) for k, v in merged.items()})
-        return pa.Table.from_pylist(out, _PARTS)
+        stats[:, 1] = np.bincount(history, weights=p * (r > 0), minlength=len(keys))
+        stats[:, 2] = np.bincount(history, weights=r * (r > SMALL), minlength=len(keys))
+        for i in range(1, SMALL + 1):
+            stats[:, 2 + i] = np.bincount(history, weights=r == i, minlength=len(keys))
+
+        bucket, rows, at = packed["bucket"][0].as_py(), [], 0
+        for g, own, n in zip(packed["g"].to_pylist(), hs, h_grams, strict=True):
+            mine = name[at : at + int(n.sum())]
+            at += len(mine)
+            found, of = np.searchsorted(keys, own), np.repeat(np.arange(len(own)), n)
+            open_ = np.zeros(len(own), bool)
+            open_[of[r[mine] == 0]] = True
+            open_ = np.flatnonzero(open_ & (ch[found] > 0) & ~is_heavy[found]).astype(np.int32)
+            rows.append({"k": k, "bucket": bucket, "g": g, "counts": _pack(r[mine]), "above": _pack(ch[found]), "open_h": _pack(open_), "stats": _pack(stats[found[open_]])})
+        rows.append({"k": k, "bucket": bucket, "g": -1, "heavy_h": _pack(keys[is_heavy]), "heavy_stats": _pack(stats[is_heavy]), "nr": _pack(np.bincount(np.minimum(r, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2].astype(np.int64))})
+        often = np.flatnonzero((r >= least) & (r * SHARE >= uni.tokens))
+        rows[-1]["often"] = _pack(np.stack([grams[often], r[often].astype(np.uint64)]))
+        return pa.Table.from_pylist(rows, _ANSWERS)
 
     return run
 
@@ -335,38 +339,21 @@ def alpha(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (1 - kept / stats[:, 0]) / (1 - stats[:, 1])
 
 
-def _finish(d: np.ndarray, heavy_alpha: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The parts of each group's documents, as rows of the group."""
+def _finish(buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of a group's documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["g"] >= 0:
-                    yield pa.RecordBatch.from_pylist([{"g": row["g"]} | {k: row[k] for k in _INFO_FIELDS}], _PARTS)
-                    continue
-                x = {k: _unpack(row[k], kind) for k, kind in (("gs", np.int32), ("docs", np.int64), ("sums", np.float64), ("bins", np.uint32), ("stats", np.float64), ("u_h", np.int32), ("u_doc", np.int64), ("u_times", np.uint32))}
-                light = np.log10(alpha(x["stats"].reshape(-1, SMALL + 3), d))
-                logs = np.where(x["u_h"] < 0, np.append(heavy_alpha, 0)[np.where(x["u_h"] < 0, -1 - x["u_h"], 0)], np.append(light, 0)[np.maximum(x["u_h"], 0)])
-                sums = x["sums"] + x["bins"].reshape(-1, SMALL + 1) @ np.log10(d) + np.bincount(x["u_doc"], weights=logs * x["u_times"], minlength=len(x["sums"]))
-                order = np.argsort(x["gs"], kind="stable")
-                gs = x["gs"][order]
-                cuts = np.flatnonzero(np.diff(gs, prepend=-1, append=-2))
-                yield pa.RecordBatch.from_pylist([{"g": int(gs[i]), "docs": _pack(x["docs"][order[i:j]].astype(np.uint32), True), "sums": _pack(sums[order[i:j]])} for i, j in zip(cuts[:-1], cuts[1:], strict=True)], _PARTS)
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        group, held = _Group(docs, answers, buckets, uni, heavies, ds, alphas), _joined(docs, "held", bool)
+        per_doc = lambda x=None: np.bincount(group.doc, weights=x, minlength=len(held))
+        ids = pa.array(_joined(docs, "ids", np.int64), mask=~_joined(docs, "known_id", bool))
+        return pa.table({"id": ids, "held_out": pa.array(held), "n_tokens": per_doc().astype(np.int64), "n_known": per_doc(group.cw > 0).astype(np.int64), "base_score": per_doc(uni.base(group.cw)), "score": per_doc(group.log)})
 
     return run
 
 
-def _add_up(packed: pa.Table) -> pa.Table:
-    info = next(r for r in packed.select(_INFO_FIELDS).to_pylist() if r["ids"] is not None)
-    ids = _unpack(info["ids"], np.int64)
-    score = np.zeros(len(ids))
-    for docs, sums in zip(packed["docs"].to_pylist(), packed["sums"].to_pylist(), strict=True):
-        if docs is not None:
-            np.add.at(score, _unpack(docs, np.uint32, True), _unpack(sums, np.float64))
-    return pa.table({"id": pa.array(ids, mask=~_unpack(info["known_id"], bool)), "held_out": pa.array(_unpack(info["held"], bool)), "n_tokens": _unpack(info["n_tokens"], np.int64), "n_known": _unpack(info["n_known"], np.int64), "base_score": _unpack(info["base"], np.float64), "score": score})
-
-
-def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", least: int = LEAST, order: int = 2) -> DataFrame:
     """``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` (log10 of the text's probability) of every row.
 
@@ -383,24 +370,33 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
     C.release(spark, 3)
     total = np.sum([c[: SMALL + 4] for _, c in found], 0) if found else np.zeros(SMALL + 4, np.int64)
     uni = Unigrams(int(total[0]), int(total[1]), total[2:])
+    texts = sum(int(c[SMALL + 4 :][ws == END].sum()) for ws, c in found)  # that train, if they are many
     often = {int(w): int(n) for ws, c in found for w, n in zip(ws, c[SMALL + 4 :], strict=True) if n * SHARE >= total[0]}
-    if int(END) in often:
-        often[int(START)] = often[int(END)]  # as many starts as ends
-    heavy = np.array(sorted(often), np.uint64)
-    heavy_counts = np.array([often[int(k)] for k in heavy], np.int64)
-    pairs = dealt.groupBy("g").cogroup(words.filter("g >= 0").groupBy("g")).applyInArrow(_send_pairs(buckets, uni, heavy), _ddl(_PAIRS))
-    parts = C.durable(pairs.groupBy("bucket").applyInArrow(_sum_pairs(uni, heavy, heavy_counts), _ddl(_PARTS)))
-    nr, stats = np.zeros(SMALL + 2, np.int64), np.zeros((len(heavy), SMALL + 3))
-    for r in parts.filter("g < 0").select("nr", "heavy_h", "heavy_stats").toLocalIterator():
-        nr = nr + _unpack(r.nr, np.int64)
-        at = np.searchsorted(heavy, _unpack(r.heavy_h, np.uint64))
-        np.add.at(stats, at, _unpack(r.heavy_stats, np.float64).reshape(-1, SMALL + 3))
-    stats[:, 0] = heavy_counts
-    d = discounts(nr)
-    heavy_alpha = np.log10(alpha(stats, d)) if len(heavy) else np.zeros(0)
-    scored = parts.mapInArrow(_finish(d, heavy_alpha), _ddl(_PARTS)).groupBy("g").applyInArrow(_add_up, _SCORED)
+    answers = words.filter("g >= 0").select(F.lit(1).alias("k"), "bucket", "g", "words", "counts", *[F.lit(None).cast("binary").alias(f) for f in _ANSWER_FIELDS[2:]])
+    heavies, ds, alphas = [], [], []
+    for k in range(2, order + 1):
+        if texts >= least and texts * SHARE >= uni.tokens:
+            often[int(_start(k))] = texts  # as many starts as ends
+        heavies.append(np.array(sorted(often), np.uint64))
+        heavy, heavy_counts = heavies[-1], np.array([often[x] for x in sorted(often)], np.int64)
+        sent = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send(k, buckets, uni, heavies, ds, alphas), _ddl(_GRAMS))
+        parts = C.durable(sent.groupBy("bucket").applyInArrow(_sum_grams(k, uni, ds[-1] if ds else None, heavy, heavy_counts, least), _ddl(_ANSWERS)))
+        del sent
+        C.release(spark, 3)
+        nr, stats, often = np.zeros(SMALL + 2, np.int64), np.zeros((len(heavy), SMALL + 3)), {}
+        for r in parts.filter("g < 0").select("nr", "heavy_h", "heavy_stats", "often").toLocalIterator():
+            nr = nr + _unpack(r.nr, np.int64)
+            np.add.at(stats, np.searchsorted(heavy, _unpack(r.heavy_h, np.uint64)), _unpack(r.heavy_stats, np.float64).reshape(-1, SMALL + 3))
+            grams, counts = _unpack(r.often, np.uint64).reshape(2, -1)
+            often |= dict(zip(grams.tolist(), counts.tolist(), strict=True))
+        stats[:, 0] = heavy_counts
+        ds.append(discounts(nr))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            alphas.append(np.log10(alpha(stats, ds[-1])) if len(heavy) else np.zeros(0))
+        answers = answers.unionByName(parts.filter("g >= 0"))
+    scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_finish(buckets, uni, heavies, ds, alphas), _SCORED)
     return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_katz_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(C.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    return score(C.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, order=ORDER)
