@@ -374,6 +374,21 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_slices(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    common = prose(rng, 14, 3000)
+    items = [(k, f"{common} {prose(rng, 40, 3000)}") for k in range(24)]
+    # a word of what all items share is another in most documents
+    other = " ".join("x" if k == 7 else w for k, w in enumerate(common.split()))
+    texts = [f"{prose(rng, 20)} {t.replace(common, other)}" for _, t in items] + [f"{prose(rng, 9)} {t}" for _, t in items[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, benchmark).collect()))
+    assert len(want) >= 29
+    monkeypatch.setattr(decontaminate, "ITEM_ROWS", 2)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, benchmark).collect())) == want
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(8)
     index = decontaminate.indexes([(k, prose(rng, 30, 5000)) for k in range(80)])[0]

@@ -22,7 +22,9 @@ that insertions and deletions before it are allowed for.
 
 The benchmark is a stated query set: its table is counted, and up to
 ``ITEM_ROWS`` items are broadcast as one index; a larger one is worked off in
-slices of that many items, each against all documents.
+slices of that many items, each against all documents.  Weights are those of
+the whole benchmark: for slices, the 5-grams of several items are counted first
+and sent with each (all others weigh 1).
 
 Null or wordless texts and items match nothing.  Repeated documents are judged
 one by one; repeated items each give a row.
@@ -36,7 +38,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -78,7 +81,7 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 class Index:
     """The items of a benchmark whose grams have ``gram`` words, to be probed."""
 
-    def __init__(self, gram: int, kept: Sequence[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, gram: int, kept: Sequence[tuple[int, np.ndarray]], counts: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.gram, self.ids = gram, [i for i, _ in kept]
         grams = [g for _, g in kept]
         self.sizes = np.array([len(g) for g in grams], np.int64)
@@ -90,7 +93,8 @@ class Index:
             for offset, h in enumerate(g.tolist()):
                 where[h].append((k, offset))
         self.keys = np.array(sorted(where), np.uint64)
-        self.weights = np.array([1 / seen[h] for h in self.keys.tolist()], np.float32)
+        known, times = counts or (self.keys, np.array([seen[h] for h in self.keys.tolist()], np.int64))
+        self.weighed, self.weights = known, (1 / times).astype(np.float32)
         self.where = [where[h] for h in self.keys.tolist()]
         self.bags = [self._bag(g) for g in grams]
         self.prints = np.array([_pack((_bits(g) * self.weight(g)[:, None]).sum(0)) for g in grams], np.uint8).reshape(len(grams), 8)
@@ -104,8 +108,10 @@ class Index:
 
     def weight(self, grams: np.ndarray) -> np.ndarray:
         """The benchmark weight of each gram; 1 for those it doesn't hold."""
-        at = np.minimum(np.searchsorted(self.keys, grams), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[at] == grams, self.weights[at], np.float32(1))
+        if not len(self.weighed):
+            return np.ones(len(grams), np.float32)
+        at = np.minimum(np.searchsorted(self.weighed, grams), len(self.weighed) - 1)
+        return np.where(self.weighed[at] == grams, self.weights[at], np.float32(1))
 
     def _bag(self, grams: np.ndarray) -> dict[int, float]:
         bag: dict[int, float] = defaultdict(float)
@@ -150,44 +156,73 @@ class Index:
         return best
 
 
-def indexes(items: Sequence[tuple[int, str]]) -> list[Index]:
-    """One index for each number of words to a gram (GRAM, unless items are shorter)."""
+#: Counts of grams that several items hold, by words to a gram: sorted grams, counts.
+Counts = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _grams_by_size(items: Sequence[tuple[int, str]]) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """Items with their grams, by words to a gram (GRAM, unless items are shorter)."""
     words = words_in(pa.array([t for _, t in items], pa.string()))
     hashes, kept = words.hashes(), defaultdict(list)
     for k, (i, _) in enumerate(items):
         own = hashes[words.first[k] : words.first[k + 1]]
         if len(own):
             kept[min(GRAM, len(own))].append((i, C.grams(own, min(GRAM, len(own)))))
-    return [Index(n, x) for n, x in sorted(kept.items())]
+    return kept
+
+
+def indexes(items: Sequence[tuple[int, str]], counts: Counts | None = None) -> list[Index]:
+    """One index for each number of words to a gram."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return [Index(n, x, None if counts is None else counts.get(n, none)) for n, x in sorted(_grams_by_size(items).items())]
+
+
+def _counts(items: DataFrame) -> Counts:
+    """How many items of the whole benchmark hold each gram that several hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.chunks(batches):
+            for n, kept in _grams_by_size(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))).items():
+                found = np.concatenate([np.unique(g) for _, g in kept]).view(np.int64)
+                yield C.record({"n": pa.array(np.full(len(found), n, np.int32)), "h": pa.array(found)})
+
+    several = items.filter("t is not null").mapInArrow(run, "n int, h long").groupBy("n", "h").count().filter("count > 1").toArrow()
+    n, h, times = (several.column(k).to_numpy() for k in range(3))
+    h = np.ascontiguousarray(h, np.int64).view(np.uint64)
+    order = np.argsort(h)
+    n, h, times = n[order], h[order], times[order]
+    return {int(k): (h[n == k], times[n == k]) for k in np.unique(n)}
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it leaks: ``id``, ``item_id``, similarity
     (of the best window), first_word and n_words of that window."""
     spark = docs.sparkSession
-    out = None
-    for items in _slices(spark, benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))):
-        part = _probe(docs, items, id, text)
+    out, chosen = None, benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    n = -(-chosen.count() // ITEM_ROWS)
+    counts = _counts(chosen) if n > 1 else None
+    shared = spark.sparkContext.broadcast(counts)
+    for items in _slices(chosen, n):
+        part = _probe(docs, items, shared, id, text)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else _probe(docs, [], id, text)
+    return out if out is not None else _probe(docs, [], shared, id, text)
 
 
-def _slices(spark: SparkSession, items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of at most about ITEM_ROWS rows."""
-    n = -(-items.count() // ITEM_ROWS)
+def _slices(items: DataFrame, n: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in n lists of about ITEM_ROWS rows."""
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield sorted((r.i, r.t) for r in part.filter("t is not null").collect())
 
 
-def _probe(docs: DataFrame, items: list[tuple[int, str]], id: str, text: str) -> DataFrame:
+def _probe(docs: DataFrame, items: list[tuple[int, str]], counts: Broadcast, id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
     rows = docs.select(F.col(id), C.text_of(text).alias("_text"))
     kind = dict(rows.dtypes)[id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_in = indexes(shared.value)
+        found_in = indexes(shared.value, counts.value)
         for part in C.chunks(batches):
             words = words_in(part.column(1))
             hashes, doc, found = words.hashes(), words.doc(), []
