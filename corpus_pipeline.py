@@ -7,7 +7,8 @@ the last return the columns of ``documents``; the last adds what mixing takes.
 
 Null texts and ids are handled as each operator says: a document without a
 text is judged by its metadata, is nobody's copy, leaks and hides nothing, and
-has size 0.  Rows without an id stay in the stages that drop by id.
+has size 0.  Rows are dropped by a hash of all their columns, not by their id,
+which may be null or that of several texts.
 """
 
 from __future__ import annotations
@@ -28,10 +29,20 @@ BROADCAST_ROWS = 1_000_000
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``ids`` (one column, doc_id)."""
-    ids = C.durable(ids.filter("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with ``_key``, a hash of all columns: rows share it only if they are equal."""
+    return docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, kept, and broadcast up to BROADCAST_ROWS."""
+    rows = C.durable(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keyed documents whose key is not in ``keys`` (one column, _key)."""
+    return keyed.join(_few(keys.distinct()), "_key", "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +54,27 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each near-duplicate class.
 
-    Rows of one id and text are one document.
+    Rows of one id and text are one document, and so are equal rows with words
+    but no id.  A document without an id goes before none that has one.
     """
-    found = near_duplicates.near_duplicates(docs)
-    repeats = docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1 and doc_id is not null")
-    kept = _without(docs, found.filter("class_id <> doc_id").select("doc_id"))
-    return kept if repeats.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    keyed = _keyed(docs)
+    found = C.durable(near_duplicates.near_duplicates(keyed, "_key").filter("n_links > 0").select("_key", "class_id").distinct())
+    # columns are hashed once more here, but no text is moved
+    members = C.durable(keyed.select("_key", "doc_id").join(_few(found), "_key").distinct())
+    least = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("least"))
+    kept = _without(keyed, members.join(_few(least), "class_id").filter("_key <> least._key").select("_key"))
+    one = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).when(F.col("text").rlike(r"\S"), F.col("_key"))
+    if not keyed.groupBy(one.alias("one")).count().filter("count > 1 and one is not null").isEmpty():
+        named, words = F.col("doc_id").isNotNull(), F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+        kept = kept.filter(~named & ~words).unionByName(kept.filter(~named & words).dropDuplicates(["_key"])).unionByName(kept.filter(named).dropDuplicates(["doc_id", "text"]))
+    return kept.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate.find_leaks(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = _keyed(docs)
+    leaks = decontaminate.find_leaks(keyed, C.table(spark, sf_dir, "benchmark"), "_key")
+    return _without(keyed, leaks.select("_key")).select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import corpus_pipeline
 from wavemill.llm.entries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,27 @@ def test_query(spark, name):
     assert columns == sorted(found.columns)
     place = {c[0]: k for k, c in enumerate(result.description)}
     assert sorted(str([r[c] for c in columns]) for r in rows) == sorted(str([r[place[c]] for c in columns]) for r in result.fetchall())
+
+
+def test_pipeline_drops_rows_and_not_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [
+        (None, text(1), "a"),
+        (None, text(1), "b"),
+        (None, text(1), "b"),
+        (5, text(1) + " tail", "a"),
+        (None, text(2), "a"),
+        (None, text(2), "b"),
+        (7, text(3), "a"),
+        (7, text(4), "a"),
+        (6, text(4), "a"),
+        (None, None, "a"),
+        (None, None, "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted([(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()], key=str)
+    assert kept == sorted([(5, text(1) + " tail"), (None, text(2)), (7, text(3)), (6, text(4)), (None, None), (None, None)], key=str)
+
+    spark.createDataFrame([(1, text(2)), (2, text(4))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = sorted([(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()], key=str)
+    assert clean == sorted([r[:2] for r in rows if r[1] not in (text(2), text(4))], key=str)
