@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.llm import chat, decontaminate, html_text, katz, mixing, near_duplicates, quality_classifier, quality_rules, secrets, substrings
 
@@ -261,9 +262,49 @@ def test_near_duplicates(spark, docs, rows, empty, block, monkeypatch):
         assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_forest_depth_reaches_its_recall():
-    d = near_duplicates.depth(0.8)
-    assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= near_duplicates.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
+def edited(rng, text, n):
+    """The text with n of its words replaced."""
+    w = text.split()
+    for k in rng.choice(len(w), n, replace=False):
+        w[k] = f"new{rng.integers(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_of_one_large_group_and_at_the_threshold(spark, block, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "PAIRS", 100)
+    rng = np.random.default_rng(12)
+    base = prose(rng, 300, 10**6)
+    texts = [edited(rng, base, int(rng.integers(0, 5))) for _ in range(60)]
+    for _ in range(60):
+        t = prose(rng, 200, 10**6)
+        texts += [t, edited(rng, t, int(rng.integers(3, 6)))]
+    rows = list(enumerate(texts))
+    found = sorted(tuple(r)[:2] + (r.n_links,) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted(jaccard_by_hand(rows))
+    assert sum(r[2] for r in found) > 1000
+
+
+def test_prefixes_are_shortened_until_the_recall_is_measured(spark):
+    rng = np.random.default_rng(13)
+
+    def follow(edits, recall):
+        texts = []
+        for _ in range(40):
+            t = prose(rng, 200, 10**6)
+            texts += [t, edited(rng, t, edits)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = near_duplicates.sketch(docs)
+        classes = rows.groupBy("node", "check", "n").agg(F.min("id").alias("copy_id"), F.count("*").alias("weight"), F.first("labels").alias("labels"))
+        found, depth, measured = near_duplicates.links(docs, classes, recall=recall)
+        return depth, measured, found.agg(F.sum("pairs")).first()[0]
+
+    assert follow(1, 0.999) == (near_duplicates.DEEPEST, pytest.approx(1, abs=1e-3), 40)
+    assert follow(4, 0.99999)[0] < near_duplicates.DEEPEST
+    # nothing found measures nothing: followed to where the threshold itself is found
+    depth, measured, _ = follow(100, 0.9999)
+    assert measured == 0 and near_duplicates.reach(0.8, depth) >= 0.9999 > near_duplicates.reach(0.8, depth + 1)
 
 
 def test_connected(spark):
@@ -273,6 +314,13 @@ def test_connected(spark):
     assert near_duplicates.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_connected_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 0)
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 320)]
+    found = {r.node: r.label for r in near_duplicates.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 0 for k in range(200)} | {k: 300 for k in range(300, 321)}
+
+
 # --- LM scoring --------------------------------------------------------------
 
 
