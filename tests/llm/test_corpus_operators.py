@@ -437,15 +437,70 @@ def test_leaks_do_not_depend_on_slices(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(docs, benchmark).collect())) == want
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("items", [80, 6000])
+def test_multi_index_finds_all_within_the_radius(items):
     rng = np.random.default_rng(8)
-    index = decontaminate.indexes([(k, prose(rng, 30, 5000)) for k in range(80)])[0]
-    for _ in range(300):
-        probe = index.prints[rng.integers(80)].copy()
+    index = decontaminate.indexes([(k, prose(rng, 30, 5000)) for k in range(items)])[0]
+    probes = index.prints[rng.integers(0, items, 300)].copy()
+    for k in range(300):
         for bit in rng.integers(0, 64, rng.integers(0, 40)):
-            probe[bit // 8] ^= 1 << (bit % 8)
-        near = decontaminate._ONES[index.prints ^ probe].sum(1) <= decontaminate.RADIUS
-        assert index.near(probe).tolist() == np.flatnonzero(near).tolist()
+            probes[k] ^= np.uint64(1) << np.uint64(bit)
+    near = np.bitwise_count(index.prints[None, :] ^ probes[:, None]) <= decontaminate.RADIUS
+    assert sorted(zip(*(x.tolist() for x in index.near(probes)), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
+def leaks_by_hand(texts, items):
+    """(document, item) -> similarity and first word, over all windows."""
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    found = {}
+    for n in range(1, 6):
+        bags = {i: grams(split(t), n) for i, t in items if split(t) and min(5, len(split(t))) == n}
+        holds = Counter(g for b in bags.values() for g in set(b))
+        weight = lambda bag: Counter({g: c / holds.get(g, 1) for g, c in Counter(bag).items()})  # noqa: E731, B023
+        for d, t in enumerate(texts):
+            own = grams(split(t), n)
+            for i, bag in bags.items():
+                size, want = min(len(bag), len(own)), weight(bag)
+                for start in range(len(own) - size + 1) if own else ():
+                    have = weight(own[start : start + size])
+                    both = sum((have & want).values())
+                    score = both / (sum(have.values()) + sum(want.values()) - both)
+                    if score >= 0.8 - 1e-12 and score > found.get((d, i), (0, 0))[0] + 1e-9:
+                        found[d, i] = (score, start)
+    return found
+
+
+def test_leaks_are_those_of_all_windows(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    shared = prose(rng, 12, 3000)
+    items = [(k, f"{shared if k % 3 == 0 else ''} {prose(rng, int(rng.integers(1, 60)), 3000)}") for k in range(40)]
+    texts = []
+    for k in range(120):
+        w = items[k % 40][1].split()
+        for _ in range(int(rng.integers(0, 4))):  # words in, out and changed, in runs of up to eight
+            at, n = int(rng.integers(0, len(w) + 1)), int(rng.integers(1, 9))
+            w[at : at + int(rng.integers(0, 2))] = prose(rng, n, 3000).split() if rng.integers(2) else []
+        texts.append(f"{prose(rng, int(rng.integers(0, 30)), 3000)} {' '.join(w)} {prose(rng, int(rng.integers(0, 30)), 3000)}")
+    texts.append(" ".join(t for _, t in items[:9]))
+    want = leaks_by_hand(texts, items)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for rows in (20_000, 7):
+        monkeypatch.setattr(decontaminate, "ITEM_ROWS", rows)
+        found = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+        assert found.keys() == want.keys()
+        assert all(found[k][0] == pytest.approx(want[k][0]) and found[k][1] == want[k][1] for k in want)
+    assert len(want) > 50
+
+
+def test_leaks_with_ids_that_are_null_or_text(spark):
+    rng = np.random.default_rng(22)
+    texts = [prose(rng, 40, 3000) for _ in range(3)]
+    docs = spark.createDataFrame([("a", texts[0]), (None, texts[1]), ("c", texts[2]), ("c", None)], "doc_id string, text string")
+    benchmark = spark.createDataFrame([("i", texts[0]), (None, texts[1]), (None, None), ("k", prose(rng, 30, 3000)), ("i", texts[0])], "item_id string, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()]
+    assert sorted(found, key=str) == sorted([("a", "i"), ("a", "i"), (None, None)], key=str)
 
 
 # --- pages -------------------------------------------------------------------

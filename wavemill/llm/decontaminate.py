@@ -2,38 +2,46 @@
 
 Words are runs of ASCII letters and digits and of other characters but general
 punctuation, lower-cased, so that case, punctuation and line breaks do not hide
-a passage.  A benchmark item of n words is compared
-with windows of n words of a document.  Items and windows are bags of word
-5-grams (of all their words, if they have fewer), each weighted by the inverse
-of how often it occurs in the benchmark, and have a 64-bit SimHash over them.
-
-The fingerprints of the items are indexed by ``BLOCKS`` blocks of 8 bits.  If
-two fingerprints differ in at most ``RADIUS`` bits, then some block of theirs
-differs in at most RADIUS // BLOCKS, so probing every block with all values
-within that distance finds every item within the radius (multi-index hashing).
-What it finds is verified by the exact weighted Jaccard similarity of the two
-bags; ``SIMILARITY`` or more is a leak.
-
-Only windows that hold a 5-gram of some item are fingerprinted: a window
-without one has similarity 0 to all.  Around each such 5-gram, the windows of
-the sizes of the items that hold it are taken, at every start that keeps the
-5-gram inside at the item's own offset or one of ``SLACK`` words beside it, so
-that insertions and deletions before it are allowed for.
-
-The benchmark is a stated query set: its table is counted, and up to
-``ITEM_ROWS`` items are broadcast as one index; a larger one is worked off in
-slices of that many items, each against all documents.  Weights are those of
+a passage.  A benchmark item of n words is compared with windows of n words of
+a document (the whole document, if it is shorter).  Items and windows are bags
+of word 5-grams (of all their words, if they have fewer), each weighted by the
+inverse of how many items of the benchmark hold it, and have a 64-bit SimHash
+over them.
+
+The fingerprints of the items are indexed by ``BLOCKS`` blocks of 16 bits with
+radii that add up to RADIUS + 1 - BLOCKS.  If two fingerprints differ in at
+most ``RADIUS`` bits, some block of theirs differs in at most its radius, so
+probing every block with all values within its radius finds every item within
+RADIUS (multi-index hashing, general pigeonhole).  Where a block has fewer
+values than a probe would try, the values are compared instead.  What is found
+and has the window's size is verified by the exact weighted Jaccard similarity
+of the two bags; ``SIMILARITY`` or more is a leak.  At a similarity of just 0.8
+two sets have a cosine of 0.89, and fingerprints differ in 9.7 bits give or
+take 2.9, so RADIUS misses 1 in 500 there and next to nothing above.
+
+Every item-sized window counts, at whatever offset.  Those that cannot reach
+SIMILARITY are told by an exact bound before they are fingerprinted: the weight
+of a window's 5-grams that the item holds is at least what both share, and must
+be SIMILARITY of the item's.  So a row depends on its document and its item
+alone.
+
+The benchmark is a stated query set: its rows and bytes are counted, and up to
+``ITEM_ROWS`` items of ``ITEM_BYTES`` are indexed once and broadcast; a larger
+one is worked off in slices, each against all documents.  Weights are those of
 the whole benchmark: for slices, the 5-grams of several items are counted first
 and sent with each (all others weigh 1).
 
-Null or wordless texts and items match nothing.  Repeated documents are judged
-one by one; repeated items each give a row.
+Null or wordless texts and items match nothing, and an empty table on either
+side gives no rows.  Ids may be of any type; a null id, of a document or an
+item, comes out as null.  Repeated documents are judged one by one; repeated
+items each give a row.  Very long texts are handled one window after another.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +52,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-GRAM, SIMILARITY, RADIUS, BLOCKS, SLACK, ITEM_ROWS = 5, 0.8, 23, 8, 3, 20_000
+GRAM, SIMILARITY, RADIUS, BLOCKS, ITEM_ROWS, ITEM_BYTES = 5, 0.8, 18, 4, 20_000, 32 << 20
+#: Windows that are fingerprinted together.
+WINDOWS = 2048
 
 _KEEP = np.zeros(256, bool)
 _KEEP[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
@@ -67,100 +77,163 @@ def words_in(column: pa.Array) -> C.Words:
 def _bits(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of the 64 bits of each hash."""
     bytes_ = C.mix64(hashes + np.uint64(1)).view(np.uint8).reshape(-1, 8)
-    return np.unpackbits(bytes_, axis=1).astype(np.float32) * 2 - 1
+    return np.unpackbits(bytes_, axis=1).astype(float) * 2 - 1
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=-1)
+    """The fingerprints of rows of 64 sums."""
+    return np.packbits(sums > 0, axis=-1).view(np.uint64).ravel()
 
 
-#: All byte values in order of their bits set, to probe blocks near a value.
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: The radius of each block; with one more each they add up to RADIUS + 1.
+RADII = [(RADIUS + 1 + k) // BLOCKS - 1 for k in range(BLOCKS)]
+
+
+def _flips(radius: int) -> np.ndarray:
+    """All 16-bit values with at most ``radius`` bits set."""
+    every = np.arange(1 << 16, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= radius]
 
 
 class Index:
     """The items of a benchmark whose grams have ``gram`` words, to be probed."""
 
-    def __init__(self, gram: int, kept: Sequence[tuple[int, np.ndarray]], counts: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, gram: int, kept: Sequence[tuple[Any, np.ndarray]], counts: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.gram, self.ids = gram, [i for i, _ in kept]
-        grams = [g for _, g in kept]
-        self.sizes = np.array([len(g) for g in grams], np.int64)
-        seen: dict[int, int] = defaultdict(int)
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, g in enumerate(grams):
-            for h in set(g.tolist()):
-                seen[h] += 1
-            for offset, h in enumerate(g.tolist()):
-                where[h].append((k, offset))
-        self.keys = np.array(sorted(where), np.uint64)
-        known, times = counts or (self.keys, np.array([seen[h] for h in self.keys.tolist()], np.int64))
-        self.weighed, self.weights = known, (1 / times).astype(np.float32)
-        self.where = [where[h] for h in self.keys.tolist()]
-        self.bags = [self._bag(g) for g in grams]
-        self.prints = np.array([_pack((_bits(g) * self.weight(g)[:, None]).sum(0)) for g in grams], np.uint8).reshape(len(grams), 8)
-        self.table: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for k, p in enumerate(self.prints.tolist()):
-            for b in range(BLOCKS):
-                self.table[b][p[b]].append(k)
-        near = [np.flatnonzero(_ONES == d) for d in range(RADIUS // BLOCKS + 1)]
-        flips = np.concatenate(near)
-        self.probe = [[np.array(sorted({k for f in flips for k in self.table[b].get(v ^ int(f), ())}), np.int64) for v in range(256)] for b in range(BLOCKS)]
+        self.sizes = np.array([len(g) for _, g in kept], np.int64)
+        every, owner = np.concatenate([g for _, g in kept]), np.repeat(np.arange(len(kept)), self.sizes)
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(new)
+        #: Each gram of each item once, by gram: which item, how often.
+        self.holder, self.times = owner[at], np.diff(np.append(at, len(every)))
+        self.keys, self.first = np.unique(every[at], return_index=True)
+        self.first = np.append(self.first, len(at))
+        self.weighed, held = counts or (self.keys, np.diff(self.first))
+        self.weights = 1 / held
+        self.key_weights = self.weight(self.keys)
+        self.total = np.bincount(self.holder, np.repeat(self.key_weights, np.diff(self.first)) * self.times, len(kept))
+        self.prints = np.concatenate([_pack((_bits(g) * self.weight(g)[:, None]).sum(0)[None]) for _, g in kept])
+        self.blocks = [self._block(b) for b in range(BLOCKS)]
+
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values of a block in order, where each begins, and the items."""
+        values = self.prints.view(np.uint16).reshape(-1, 4)[:, b]
+        order = np.argsort(values, kind="stable")
+        found, first = np.unique(values[order], return_index=True)
+        return found, np.append(first, len(order)), order
 
     def weight(self, grams: np.ndarray) -> np.ndarray:
         """The benchmark weight of each gram; 1 for those it doesn't hold."""
         if not len(self.weighed):
-            return np.ones(len(grams), np.float32)
+            return np.ones(len(grams))
         at = np.minimum(np.searchsorted(self.weighed, grams), len(self.weighed) - 1)
-        return np.where(self.weighed[at] == grams, self.weights[at], np.float32(1))
-
-    def _bag(self, grams: np.ndarray) -> dict[int, float]:
-        bag: dict[int, float] = defaultdict(float)
-        for h, w in zip(grams.tolist(), self.weight(grams).tolist(), strict=True):
-            bag[h] += w
-        return dict(bag)
-
-    def near(self, print_: np.ndarray) -> np.ndarray:
-        """Items whose fingerprints are within RADIUS of this one."""
-        found = np.unique(np.concatenate([self.probe[b][v] for b, v in enumerate(print_.tolist())]))
-        return found[_ONES[self.prints[found] ^ print_].sum(1) <= RADIUS]
-
-    def similarity(self, grams: np.ndarray, item: int) -> float:
-        """Exact weighted Jaccard of a window's bag and an item's."""
-        bag, other = self._bag(grams), self.bags[item]
-        common = sum(min(w, other[h]) for h, w in bag.items() if h in other)
-        return common / (sum(bag.values()) + sum(other.values()) - common)
+        return np.where(self.weighed[at] == grams, self.weights[at], 1.0)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) of all that differ in at most RADIUS bits."""
+        pairs = []
+        for b, (values, first, items) in enumerate(self.blocks):
+            asked, of = np.unique(prints.view(np.uint16).reshape(-1, 4)[:, b], return_inverse=True)
+            flips = _FLIPS[RADII[b]]
+            if len(values) <= len(flips):
+                q, v = np.nonzero(np.bitwise_count(asked[:, None] ^ values[None, :]) <= RADII[b])
+            else:
+                probes = asked[:, None] ^ flips[None, :]
+                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+                q, k = np.nonzero(values[at] == probes)
+                v = at[q, k]
+            n = first[v + 1] - first[v]
+            held = np.repeat(q, n) * len(self.ids) + items[np.repeat(first[v], n) + C.runs(n)]
+            # from distinct block values back to the fingerprints that have them
+            order = np.argsort(of, kind="stable")
+            begin = np.searchsorted(of[order], np.arange(len(asked) + 1))
+            q, item = held // len(self.ids), held % len(self.ids)
+            n = begin[q + 1] - begin[q]
+            pairs.append(order[np.repeat(begin[q], n) + C.runs(n)] * len(self.ids) + np.repeat(item, n))
+        found = np.unique(np.concatenate(pairs))
+        at, item = found // len(self.ids), found % len(self.ids)
+        close = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
+        return at[close], item[close]
 
     def leaks(self, grams: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """item -> (similarity, first word, words) of its best window."""
+        """item -> (similarity, first word, words) of its best window; of equal
+        ones the first."""
         best: dict[int, tuple[float, int, int]] = {}
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        windows: set[tuple[int, int]] = set()
-        for pos in np.flatnonzero(self.keys[at] == grams).tolist():
-            for item, offset in self.where[at[pos]]:
-                size = int(self.sizes[item])
-                for start in range(pos - offset - SLACK, pos - offset + SLACK + 1):
-                    start = max(0, min(start, len(grams) - size))
-                    if start <= pos < start + size:
-                        windows.add((start, min(size, len(grams))))
-        if not windows:
+        pos = np.flatnonzero(self.keys[at] == grams)
+        if not len(pos):
             return best
-        low, high = min(w[0] for w in windows), max(w[0] + w[1] for w in windows)
-        span = grams[low:high]
-        sums = np.zeros((len(span) + 1, 64), np.float32)
-        np.cumsum(_bits(span) * self.weight(span)[:, None], axis=0, out=sums[1:])
-        for start, size in sorted(windows):
-            for item in self.near(_pack(sums[start + size - low] - sums[start - low])).tolist():
-                score = self.similarity(grams[start : start + size], item)
-                if score >= SIMILARITY and score > best.get(item, (0,))[0]:
-                    best[item] = (score, start, size)
+        key = at[pos]
+        n = self.first[key + 1] - self.first[key]
+        entry = np.repeat(self.first[key], n) + C.runs(n)
+        item, pos, key = self.holder[entry], np.repeat(pos, n), np.repeat(key, n)
+        enough = SIMILARITY * self.total - 1e-9
+        possible = (np.bincount(item, self.key_weights[key], len(self.ids)) >= enough)[item]
+        order = np.flatnonzero(possible)[np.argsort(item[possible], kind="stable")]
+        item, pos, key, entry = item[order], pos[order], key[order], entry[order]
+        cuts = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+        mine = {int(item[i]): (pos[i:j], key[i:j], entry[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        weights = np.concatenate([[0.0], np.cumsum(self.weight(grams))])
+        held, starts = {}, defaultdict(list)
+        for k, (p, h, _) in mine.items():
+            size = min(int(self.sizes[k]), len(grams))
+            # sums over windows from the first that has an anchor to the last
+            low, high = max(0, int(p[0]) - size + 1), min(int(p[-1]), len(grams) - size)
+            total = np.zeros(high - low + size + 1)
+            np.add.at(total, p - low + 1, self.key_weights[h])
+            total = np.cumsum(total)
+            shared = total[size:] - total[:-size]
+            good = np.flatnonzero(shared >= enough[k])
+            if len(good):
+                held[k] = dict(zip((good + low).tolist(), shared[good].tolist(), strict=True))
+                starts[size].append(good + low)
+        for size, chosen in starts.items():
+            bounds = []
+            for start, k in self._close(grams, np.unique(np.concatenate(chosen)), size):
+                if min(int(self.sizes[k]), len(grams)) == size and start in held.get(k, ()):
+                    own = held[k][start]
+                    bounds.append((-own / (weights[start + size] - weights[start] + self.total[k] - own), start, k))
+            for bound, start, k in sorted(bounds):
+                score = best.get(k, (0.0, 0, 0))
+                if -bound < max(SIMILARITY, score[0]) - 1e-9:
+                    continue
+                exact = self._similarity(mine[k], start, size, k, weights)
+                if exact >= SIMILARITY - 1e-12 and (exact > score[0] + 1e-12 or exact > score[0] - 1e-12 and start < score[1]):
+                    best[k] = (exact, start, size)
         return best
 
+    def _close(self, grams: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+        """(start, item) of windows whose fingerprint is near an item's."""
+        i = 0
+        while i < len(starts):
+            j = int(np.searchsorted(starts, starts[i] + WINDOWS))
+            low, part = int(starts[i]), starts[i:j]
+            span = grams[low : int(part[-1]) + size]
+            sums = np.zeros((len(span) + 1, 64))
+            np.cumsum(_bits(span) * self.weight(span)[:, None], axis=0, out=sums[1:])
+            at, item = self.near(_pack(sums[part - low + size] - sums[part - low]))
+            yield from zip(part[at].tolist(), item.tolist(), strict=True)
+            i = j
+
+    def _similarity(self, mine: tuple[np.ndarray, np.ndarray, np.ndarray], start: int, size: int, item: int, weights: np.ndarray) -> float:
+        """Exact weighted Jaccard of a window's bag and an item's."""
+        i, j = np.searchsorted(mine[0], (start, start + size))
+        entry, times = np.unique(mine[2][i:j], return_counts=True)
+        key = np.searchsorted(self.first, entry, "right") - 1
+        common = float((np.minimum(times, self.times[entry]) * self.key_weights[key]).sum())
+        return common / (weights[start + size] - weights[start] + self.total[item] - common)
+
+
+_FLIPS = {r: _flips(r) for r in set(RADII)}
 
 #: Counts of grams that several items hold, by words to a gram: sorted grams, counts.
 Counts = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _grams_by_size(items: Sequence[tuple[int, str]]) -> dict[int, list[tuple[int, np.ndarray]]]:
+def _grams_by_size(items: Sequence[tuple[Any, str]]) -> dict[int, list[tuple[Any, np.ndarray]]]:
     """Items with their grams, by words to a gram (GRAM, unless items are shorter)."""
     words = words_in(pa.array([t for _, t in items], pa.string()))
     hashes, kept = words.hashes(), defaultdict(list)
@@ -171,7 +244,7 @@ def _grams_by_size(items: Sequence[tuple[int, str]]) -> dict[int, list[tuple[int
     return kept
 
 
-def indexes(items: Sequence[tuple[int, str]], counts: Counts | None = None) -> list[Index]:
+def indexes(items: Sequence[tuple[Any, str]], counts: Counts | None = None) -> list[Index]:
     """One index for each number of words to a gram."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return [Index(n, x, None if counts is None else counts.get(n, none)) for n, x in sorted(_grams_by_size(items).items())]
@@ -181,12 +254,12 @@ def _counts(items: DataFrame) -> Counts:
     """How many items of the whole benchmark hold each gram that several hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in C.chunks(batches):
-            for n, kept in _grams_by_size(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))).items():
+        for part in C.chunks(batches, 0):
+            for n, kept in _grams_by_size([(None, t) for t in part.column(0).to_pylist()]).items():
                 found = np.concatenate([np.unique(g) for _, g in kept]).view(np.int64)
                 yield C.record({"n": pa.array(np.full(len(found), n, np.int32)), "h": pa.array(found)})
 
-    several = items.filter("t is not null").mapInArrow(run, "n int, h long").groupBy("n", "h").count().filter("count > 1").toArrow()
+    several = items.select("t").mapInArrow(run, "n int, h long").groupBy("n", "h").count().filter("count > 1").toArrow()
     n, h, times = (several.column(k).to_numpy() for k in range(3))
     h = np.ascontiguousarray(h, np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -197,45 +270,43 @@ def _counts(items: DataFrame) -> Counts:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it leaks: ``id``, ``item_id``, similarity
     (of the best window), first_word and n_words of that window."""
-    spark = docs.sparkSession
-    out, chosen = None, benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    n = -(-chosen.count() // ITEM_ROWS)
-    counts = _counts(chosen) if n > 1 else None
-    shared = spark.sparkContext.broadcast(counts)
-    for items in _slices(chosen, n):
-        part = _probe(docs, items, shared, id, text)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _probe(docs, [], shared, id, text)
-
-
-def _slices(items: DataFrame, n: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in n lists of about ITEM_ROWS rows."""
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+    size = items.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    n = max(-(-size.rows // ITEM_ROWS), -(-size.bytes // ITEM_BYTES), 1)
+    counts = _counts(items) if n > 1 else None
+    out = None
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted((r.i, r.t) for r in part.filter("t is not null").collect())
+        chosen = sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, str(x[0]), x[1]))  # a slice
+        found = _probe(docs, docs.sparkSession.sparkContext.broadcast(indexes(chosen, counts)), id, text, dict(items.dtypes)["i"])
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("i", item_id)
 
 
-def _probe(docs: DataFrame, items: list[tuple[int, str]], counts: Broadcast, id: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    rows = docs.select(F.col(id), C.text_of(text).alias("_text"))
-    kind = dict(rows.dtypes)[id]
+def _probe(docs: DataFrame, shared: Broadcast, id: str, text: str, item_kind: str) -> DataFrame:
+    rows = docs.select(F.col(id).alias("id"), C.text_of(text).alias("_text"))
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_in = indexes(shared.value, counts.value)
         for part in C.chunks(batches):
             words = words_in(part.column(1))
             hashes, doc, found = words.hashes(), words.doc(), []
-            for index in found_in:
+            for index in shared.value:
                 grams, at = C.grams(hashes, index.gram), C.gram_starts(words.first, index.gram)
                 for i in np.unique(doc[at[np.isin(grams[at], index.keys)]]).tolist():
                     own = grams[words.first[i] : words.first[i + 1] - index.gram + 1]
                     found += [(i, index.ids[k], score, start, size + index.gram - 1) for k, (score, start, size) in sorted(index.leaks(own).items())]
             if found:
                 rows_, items_, score, start, size = zip(*found, strict=True)
-                yield C.record({"id": part.column(0).take(pa.array(rows_)), "item_id": pa.array(items_, pa.int64()), "similarity": pa.array(score, pa.float64()), "first_word": pa.array(start, pa.int64()), "n_words": pa.array(size, pa.int64())})
+                yield C.record({"id": part.column(0).take(pa.array(rows_)), "i": _column(items_, item_kind), "similarity": pa.array(score, pa.float64()), "first_word": pa.array(start, pa.int64()), "n_words": pa.array(size, pa.int64())})
+
+    return rows.mapInArrow(run, f"id {kind}, i {item_kind}, similarity double, first_word long, n_words long").withColumnRenamed("id", id)
+
 
-    return rows.mapInArrow(run, f"id {kind}, item_id long, similarity double, first_word long, n_words long").withColumnRenamed("id", id)
+def _column(values: Sequence[Any], kind: str) -> pa.Array:
+    """Item ids as Spark hands over their type."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "date": pa.date32()}
+    return pa.array(values, kinds.get(kind))
 
 
 def op10_benchmark_leaks(spark, sf_dir: str) -> DataFrame:
