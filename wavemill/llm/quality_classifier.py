@@ -3,23 +3,37 @@
 A document is good when its label says quality 1 and toxic 0 (the worst label
 counts, if it has several).  One view sees the words of the text, the other the
 metadata of the page: source, language and layout counts.  Each is a logistic
-regression.  In each round each view labels the unlabelled sample; what it is
-sure of, and the other view is not against, goes to the other view's training
-set, and both are fitted again.  (The metadata cannot see a toxic word, and is
-sure of many documents that have one.)  At the end each view is calibrated (Platt scaling) on labelled documents that no
-fit has seen, and a stacked logistic regression of the two calibrated log-odds
-gives the score.
-
-Fitting uses a bounded sample: ``labelled`` labelled and ``unlabelled``
-unlabelled documents, those of the least hashed ids, whose sparse features go
-to the driver.  Everything else covers all documents: every one is scored over
-its whole text, in one pass, with two weight vectors of fixed size.
+regression, first fitted on labelled documents alone.
+
+In each round both views label every unlabelled document of the corpus, in one
+distributed pass.  What a view is sure of, and the other is not against, counts
+for the other view: how many such documents of each class there are, and how
+many of them hold each feature, are summed over the corpus.  These counts, with
+those of the labelled documents, give each feature a log ratio, and the view is
+fitted again with its weights drawn towards the ratios (the naive-Bayes prior
+of co-training, with a discriminative fit on top).  Together pseudo-labels weigh
+at most as much as labels, and a view takes a new fit only if it explains the
+labelled documents that no fit has seen no worse than the one before.  (The
+metadata cannot see a toxic word, and is sure of many documents that have one;
+so what the other view is against is not passed on.  ``against=0`` is
+co-training without that.)
+
+At the end each view is calibrated (Platt scaling) on labelled documents that
+no fit has seen, and a stacked logistic regression of the two calibrated
+log-odds gives the score.
+
+Only the labelled sample is bounded: ``labelled`` documents, those of the least
+hashed ids, of up to ``LABELLED_BYTES`` of packed features, which go to the
+driver; beyond it, only tables of fixed size do (two counts a feature).  Every
+unlabelled document takes part in every round, and every document is scored
+over its whole text, however long, with two weight vectors of fixed size.
 
 Null or empty texts have no words and are scored by their metadata.  Labels
 whose quality and toxic are both null, or of no document, are not used; a null
-in one counts as unknown there and the other decides.  With fewer than ten
-good or ten bad labelled documents nothing can be learnt: the score is 0.5 and
-all are kept.  Repeated rows are scored alike.
+in one counts as unknown there and the other decides.  Documents with a null id
+are unlabelled.  With fewer than ten good or ten bad labelled documents nothing
+can be learnt: the score is 0.5 and all are kept.  Repeated rows are scored
+alike.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +51,11 @@ from .decontaminate import words_in
 
 WORD_BITS, META_BITS = 18, 10
 SEED = 7
-LABELLED, UNLABELLED = 6000, 4000
-ROUNDS, SURE, AGAINST, MOST_NEW = 3, 0.98, 0.4, 1000
+LABELLED, LABELLED_BYTES = 6000, 48 << 20
+#: AGAINST: p of a class below which a view is against it.
+ROUNDS, SURE, AGAINST = 3, 0.98, 0.4
+#: Labels up to this many rows are broadcast, others joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>~^=+{}[]\\@_")] = True
@@ -124,41 +141,70 @@ def features(docs: DataFrame, id: str, text: str, source: str, lang: str) -> Dat
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)[id]}, word binary, meta binary")
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+@dataclass
+class Counts:
+    """Documents of each class, and those that hold each feature."""
+
+    good: np.ndarray
+    bad: np.ndarray
+    n_good: float
+    n_bad: float
+
+
 class _View:
     """Rows of one view; fits by batch gradient steps (Adam)."""
 
-    def __init__(self, packed: Sequence[bytes], bits: int, least: int, z: float) -> None:
-        self.z = z
+    def __init__(self, packed: Sequence[bytes], bits: int, least: int, z: float, decay: float) -> None:
+        self.least, self.z, self.decay = least, z, decay
         arrays = [np.frombuffer(x, np.int32) for x in packed]
         self.row = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
         self.col = np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int64)
         self.n, self.size = len(arrays), 1 << bits
-        common = np.bincount(self.col, minlength=self.size) >= least
-        keep = common[self.col]
-        self.row, self.col = self.row[keep], self.col[keep]
+
+    def _tells(self, x: Counts) -> np.ndarray:
+        """Features whose share of good and of bad documents differs by ``z``
+        standard errors."""
+        share = (x.good + x.bad) / (x.n_good + x.n_bad)
+        gap = np.abs(x.good / x.n_good - x.bad / x.n_bad) / np.sqrt(np.maximum(share * (1 - share) * (1 / x.n_good + 1 / x.n_bad), 1e-12))
+        return (gap >= self.z) & (x.good + x.bad >= self.least)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n) + w[-1]
 
-    def fit(self, target: np.ndarray, weight: np.ndarray, start: np.ndarray | None, decay: float, steps: int) -> np.ndarray:
+    def fit(self, target: np.ndarray, weight: np.ndarray, pseudo: Counts | None, steps: int) -> np.ndarray:
         """Weights (the last is the intercept) for rows of positive weight.
 
-        Only features whose share of good and of bad rows differs by ``z``
-        standard errors take part: rare words would otherwise fit each row.
+        Only features that tell take part: rare words would otherwise fit each
+        row.  ``pseudo``: counts of pseudo-labels; with them more features may
+        tell, and weights start from the log ratios and are drawn to them.
         """
-        w = np.zeros(self.size + 1) if start is None else start.copy()
         good, bad = weight * target, weight * (1 - target)
         g, b = (np.bincount(self.col, weights=x[self.row], minlength=self.size) for x in (good, bad))
-        share = (g + b) / weight.sum()
-        gap = np.abs(g / good.sum() - b / bad.sum()) / np.sqrt(np.maximum(share * (1 - share) * (1 / good.sum() + 1 / bad.sum()), 1e-12))
-        w[:-1][gap < self.z] = 0
-        used = (weight[self.row] > 0) & (gap >= self.z)[self.col]
+        own = Counts(g, b, good.sum(), bad.sum())
+        tells, w = self._tells(own), np.zeros(self.size + 1)
+        if pseudo and min(pseudo.n_good, pseudo.n_bad) > 0:
+            # together pseudo-labels weigh as much as labels do
+            part = min(1.0, (own.n_good + own.n_bad) / (pseudo.n_good + pseudo.n_bad))
+            both = Counts(g + part * pseudo.good, b + part * pseudo.bad, own.n_good + part * pseudo.n_good, own.n_bad + part * pseudo.n_bad)
+            told = self._tells(both)
+            ratio = np.where(told, np.log((both.good + 0.5) / (both.n_good + 1)) - np.log((both.bad + 0.5) / (both.n_bad + 1)), 0)
+            rows = weight > 0
+            a, slope = _platt(self.scores(np.append(ratio, 0.0))[rows, None], target[rows], np.array([0.0, 0.1]))
+            w, tells = np.append(slope * ratio, a), tells | told
+        prior = w.copy()
+        prior[-1] = 0
+        used = (weight[self.row] > 0) & tells[self.col]
         row, col = self.row[used], self.col[used]
         m, v, total = np.zeros_like(w), np.zeros_like(w), weight.sum()
         for step in range(1, steps + 1):
-            z = np.bincount(row, weights=w[col], minlength=self.n) + w[-1]
-            error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / total
-            grad = np.append(np.bincount(col, weights=error[row], minlength=self.size), error.sum()) + decay * w * np.append(np.ones(self.size), 0)
+            error = weight * (_sigmoid(np.bincount(row, weights=w[col], minlength=self.n) + w[-1]) - target) / total
+            pull = self.decay * (w - prior)
+            pull[-1] = 0
+            grad = np.append(np.bincount(col, weights=error[row], minlength=self.size), error.sum()) + pull
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             w -= 0.1 / (1 + step / 150) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return w
@@ -176,55 +222,98 @@ def _platt(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(word: Sequence[bytes], meta: Sequence[bytes], label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """A model from packed features; label is 1, 0 or -1 (unlabelled)."""
-    held = (np.arange(len(label)) % 4 == 0) & (label >= 0)
-    known = (label >= 0) & ~held
-    if min((label[known] == 1).sum(), (label[known] == 0).sum(), (label[held] == 1).sum(), (label[held] == 0).sum()) < 2 or min((label == 1).sum(), (label == 0).sum()) < 10:
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of every entry of a column of packed features."""
+    buf, offs = C.text_bytes(column)
+    return np.repeat(np.arange(len(offs) - 1), np.diff(offs) // 4), np.frombuffer(buf.tobytes(), np.int32)
+
+
+def _loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Log loss of scores after their calibration."""
+    a, b = _platt(x[:, None], y, np.array([0.0, 1.0]))
+    p = _sigmoid(a + b * x)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def exchange(rows: DataFrame, fits: Sequence[np.ndarray], against: float = AGAINST) -> list[Counts]:
+    """For each view, the counts of what the other view is sure of.
+
+    ``rows`` are packed features of unlabelled documents.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast([f.astype(np.float32) for f in fits])  # vectors of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        # by view and class (bad, good); the last entry counts documents
+        counts = [np.zeros((2, len(w)), np.int64) for w in weights]
+        for part in batches:
+            views = [_unpacked(part.column(k)) for k in (0, 1)]
+            p = [_sigmoid(np.bincount(row, weights=w[col], minlength=part.num_rows) + w[-1]) for (row, col), w in zip(views, weights, strict=True)]
+            for k, (row, col) in enumerate(views):
+                for value in (0, 1):
+                    of = [x if value else 1 - x for x in p]
+                    passed = (of[1 - k] >= SURE) & (of[k] > against)
+                    counts[k][value, -1] += passed.sum()
+                    counts[k][value, :-1] += np.bincount(col[passed[row]], minlength=counts[k].shape[1] - 1)
+        for k, both in enumerate(counts):
+            some = np.flatnonzero(both.any(0))
+            yield C.record({"view": np.full(len(some), k, np.int32), "feature": some, "bad": both[0, some], "good": both[1, some]})
+
+    summed = rows.select("word", "meta").mapInArrow(run, "view int, feature long, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    view, feature, bad, good = (summed.column(k).to_numpy() for k in range(4))
+    out = []
+    for k, w in enumerate(fits):
+        both = np.zeros((2, len(w)))
+        both[0, feature[view == k]], both[1, feature[view == k]] = bad[view == k], good[view == k]
+        out.append(Counts(both[1, :-1], both[0, :-1], float(both[1, -1]), float(both[0, -1])))
+    return out
+
+
+def co_train(word: Sequence[bytes], meta: Sequence[bytes], label: np.ndarray, unlabelled: DataFrame | None, rounds: int = ROUNDS, against: float = AGAINST) -> Model | None:
+    """A model from packed features of labelled rows (label 1 or 0) and a frame
+    of those of unlabelled ones."""
+    held = np.arange(len(label)) % 4 == 0
+    if min((label[~held] == 1).sum(), (label[~held] == 0).sum(), (label[held] == 1).sum(), (label[held] == 0).sum()) < 2 or min((label == 1).sum(), (label == 0).sum()) < 10:
         return None
-    views = (_View(word, WORD_BITS, 3, 5.0), _View(meta, META_BITS, 1, 2.0))
-    decay = (2e-5, 1e-4)
-    targets = [np.where(known, label, 0).astype(float) for _ in views]
-    weights = [known.astype(float) for _ in views]
-    fits = [view.fit(t, w, None, d, 400) for view, t, w, d in zip(views, targets, weights, decay, strict=True)]
-    for _ in range(rounds):
-        p = [1 / (1 + np.exp(-np.clip(view.scores(f), -30, 30))) for view, f in zip(views, fits, strict=True)]
-        for k in (0, 1):
-            pool = np.flatnonzero((label < 0) & (weights[1 - k] == 0))
-            for value in (1, 0):
-                # what the other view is against is no news to it
-                sure, open_ = np.abs(1 - value - p[k][pool]), np.abs(1 - value - p[1 - k][pool]) > AGAINST
-                new = pool[open_][np.argsort(-sure[open_], kind="stable")][: int(min(MOST_NEW, (sure[open_] >= SURE).sum()))]
-                targets[1 - k][new], weights[1 - k][new] = value, 0.5
-        fits = [view.fit(t, w, f, d, 150) for view, t, w, f, d in zip(views, targets, weights, fits, decay, strict=True)]
+    views = (_View(word, WORD_BITS, 3, 5.0, 2e-5), _View(meta, META_BITS, 1, 2.0, 1e-4))
+    target, weight = label.astype(float), (~held).astype(float)
+    fits = [view.fit(target, weight, None, 400) for view in views]
+    best = [_loss(view.scores(f)[held], target[held]) for view, f in zip(views, fits, strict=True)]
+    for _ in range(rounds if unlabelled is not None else 0):
+        for k, counts in enumerate(exchange(unlabelled, fits, against)):
+            new = views[k].fit(target, weight, counts, 300)
+            loss = _loss(views[k].scores(new)[held], target[held])
+            if loss <= best[k]:
+                fits[k], best[k] = new, loss
     raw = [view.scores(f)[held] for view, f in zip(views, fits, strict=True)]
-    y = label[held].astype(float)
+    y = target[held]
     each = [_platt(r[:, None], y, np.array([0.0, 1.0])) for r in raw]
     odds = np.column_stack([np.clip(c[0] + c[1] * r, -12, 12) for c, r in zip(each, raw, strict=True)])
     stacked = _platt(odds, y, np.array([0.0, 1.0, 1.0]))
     return Model(fits[0].astype(np.float32), fits[1].astype(np.float32), np.array([*each[0], *each[1], *stacked]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model from the bounded sample; None where labels are too few."""
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", labelled: int = LABELLED, rounds: int = ROUNDS, against: float = AGAINST) -> Model | None:
+    """A model from a bounded labelled sample and all unlabelled documents;
+    None where labels are too few."""
     good = F.when((F.col("quality") == 0) | (F.col("toxic") > 0), 0).when((F.col("quality") == 1) | (F.col("toxic") == 0), 1)
-    known = labels.select(F.col(id).alias("lid"), good.alias("good")).filter("good is not null and lid is not null").groupBy("lid").agg(F.min("good").alias("good"))
-    ids = docs.select(F.col(id).alias("did")).filter("did is not null").distinct().join(known, F.col("did") == F.col("lid"), "left").select("did", F.coalesce("good", F.lit(-1)).alias("good"))
-    order = [F.xxhash64("did", F.lit(SEED)), F.col("did")]
-    chosen = ids.filter("good >= 0").orderBy(*order).limit(labelled).unionByName(ids.filter("good < 0").orderBy(*order).limit(unlabelled))
-    chosen = chosen.collect()  # at most labelled + unlabelled ids
-    if not chosen:
+    known = labels.select(F.col(id).alias("id"), good.alias("good")).filter("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"))
+    known = C.durable(known)
+    joined = features(docs, id, text, source, lang).join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "id", "left")
+    rows = C.durable(joined.withColumn("place", F.xxhash64("id", F.lit(SEED))))
+    # one row of an id, ids in hashed order, up to both bounds
+    order = rows.filter("good is not null").groupBy("place").agg(F.max(F.octet_length("word") + F.octet_length("meta")).alias("bytes")).orderBy("place").limit(labelled).collect()
+    total, last = 0, None
+    for r in order:
+        total += r.bytes
+        if total > LABELLED_BYTES:
+            break
+        last = r.place
+    if last is None:
         return None
-    wanted = docs.sparkSession.createDataFrame(chosen, chosen_schema(docs, id))
-    rows = docs.join(F.broadcast(wanted), F.col(id) == F.col("did"))
-    packed = features(rows, id, text, source, lang).dropDuplicates(["id"]).collect()  # bounded as the sample is
-    packed.sort(key=lambda r: str(r.id))
-    label = dict(chosen)
-    return co_train([r.word for r in packed], [r.meta for r in packed], np.array([label[r.id] for r in packed]))
-
-
-def chosen_schema(docs: DataFrame, id: str) -> str:
-    return f"did {dict(docs.dtypes)[id]}, good int"
+    sample = rows.filter((F.col("good").isNotNull()) & (F.col("place") <= last)).dropDuplicates(["place"]).collect()
+    sample.sort(key=lambda r: r.place)
+    return co_train([r.word for r in sample], [r.meta for r in sample], np.array([r.good for r in sample]), rows.filter("good is null"), rounds, against)
 
 
 def score(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", threshold: float = 0.5, carry: bool = False, prefix: str = "") -> DataFrame:
