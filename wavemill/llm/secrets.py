@@ -1,21 +1,28 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.
 
 Three patterns give the base spans.  Beyond them, every run of 16 or more
-characters of the base64 alphabets that holds letters and digits is a
-candidate.  Its encoding is inferred from its characters (hex, single-case
-alphanumeric or base64), and three tests ask whether it could be uniform over
-that alphabet: chi-squared, runs above and below the middle of the alphabet,
-and lag-1 serial correlation.  Their Bonferroni-combined p-value is small for
-words, names and counters and uniform for keys.
+characters of the base64 alphabets that holds letters and digits, or letters of
+both cases, is a candidate.  Its encoding is inferred from its characters (hex,
+single-case alphanumeric or base64), and three tests ask whether it could be
+uniform over that alphabet: chi-squared, runs above and below the middle of the
+alphabet, and lag-1 serial correlation.  Chi-squared is taken twice, over the
+characters and over their kinds (digits, symbols, vowels and other letters, of
+each case), as the first tells little of short runs.  The
+Bonferroni-combined p-value is small for words, names and counters and uniform
+for keys.
 
 How small is too small depends on length: short pieces of ordinary text pass
-such tests often.  So false discoveries are controlled in strata of length
-against decoys: the letters of all texts, but those of candidates, cut into
-pieces of each stratum's length and scored alike.  In each stratum the threshold is the lowest p at
-which (share of decoys that pass) x (candidates) / (candidates that pass) is at
-most ``FALSE_SHARE``; a stratum without such a threshold adds nothing.  Counts
-come from all documents; what reaches the driver is one row per stratum and
-grid point, whatever the corpus.
+such tests often, and text with numbers passes as single-case more often than as
+base64.  So false discoveries are controlled in strata of encoding (single case
+or base64) and length against decoys of the candidates' own kind: the words, names, numbers and dates
+of a document, but no candidates, run together and cut into pieces of each
+length in turn; a piece without a digit has its last one to four characters made
+digits, as names with numbers have.  In each stratum the threshold is the lowest p at which (share of decoys that pass)
+x (candidates) / (candidates that pass) is at most ``FALSE_SHARE``; a stratum
+without such a threshold adds nothing.  Decoys never reach over the end of a
+document, so thresholds do not depend on how rows are batched.  Counts come
+from all documents; what reaches the driver is one row per stratum and grid
+point, whatever the corpus.
 
 The corpus is read twice, once for the counts and once for the spans.  Nothing
 but the counts is shuffled, and no state is kept between tasks.
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +53,29 @@ _HEX = re.compile(rb"[0-9a-f]+")
 #: Every assignment holds one of these, in lower case.
 _STEMS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
-#: Lower bounds of the length strata, and the p-values tried as thresholds.
-STRATA = (16, 20, 24, 32, 40, 64, 128)
-GRID = (1e-6, 1e-5, 1e-4, 1e-3, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+#: Lower bounds of the lengths of strata, of which there are as many for either
+#: encoding, and the p-values tried as thresholds.
+LENGTHS = (16, 20, 24, 32, 40, 64, 128)
+STRATA = 2 * len(LENGTHS)
+GRID = (0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 FALSE_SHARE = 0.01
+#: Decoys of both encodings that count beside a stratum's own.
+POOLED = 100
 
 _INDEX = np.full(256, -1, np.int64)
 for _i, _c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
     _INDEX[_c] = _i
 _INDEX[ord("-")], _INDEX[ord("_")] = 62, 63
 _RUN = _INDEX >= 0
+#: The kind of each character: digit, symbol, vowel and other letter, by case.
+_KIND = np.zeros(256, np.int64)
+_KIND[list(b"-_+/")] = 1
+for _base, _letters in ((2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (4, b"abcdefghijklmnopqrstuvwxyz")):
+    for _c in _letters:
+        _KIND[_c] = _base + (bytes([_c | 32]) not in b"aeiou")
+#: Characters of each kind in hex, single-case alphanumeric and base64; in the
+#: first two, letters of either case count alike.
+_KINDS_OF = {16: (10, 0, 2, 4, 0, 0), 36: (10, 0, 5, 21, 0, 0), 64: (10, 2, 5, 21, 5, 21)}
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -65,8 +86,8 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * poly
 
 
-def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run: whether it holds letters and digits, and its p-value."""
+def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run: whether it is a candidate, its p-value and its stratum."""
     n, lengths = len(start), end - start
     owner = np.repeat(np.arange(n), lengths)
     chars = buf[np.repeat(start, lengths) + C.runs(lengths)]
@@ -78,9 +99,9 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     digit = (chars >= 48) & (chars <= 57)
     u, l, d, other = has(upper), has(lower), has(digit), has(~(upper | lower | digit))
     beyond_hex = has((upper & (chars > 70)) | (lower & (chars > 102)))
-    candidate = d & (u | l)
+    candidate = d & (u | l) | u & l
     single = ~other & ~(u & l)
-    hexed = single & candidate & ~beyond_hex
+    hexed = single & d & (u | l) & ~beyond_hex
     size = np.where(hexed, 16, np.where(single, 36, 64))
     index = _INDEX[chars]
     # letters of either case first, digits after them, when the case is single
@@ -93,6 +114,17 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     z_chi = (chi - (size - 1)) / spread
     p_chi = np.where(z_chi > 0, _normal_tail(np.abs(z_chi)), 1 - _normal_tail(np.abs(z_chi)))
 
+    kind = _KIND[chars]
+    kind = np.where((size == 64)[owner] | (kind < 4), kind, kind - 2)
+    seen = np.bincount(owner * 6 + kind, minlength=6 * n).reshape(n, 6)
+    share = np.array([_KINDS_OF[k] for k in (16, 36, 64)], float)[np.searchsorted((16, 36, 64), size)] / size[:, None]
+    expected = np.maximum(share * lengths[:, None], 1e-9)
+    free = (share > 0).sum(1) - 1
+    chi = ((seen - expected) ** 2 / expected).sum(1)
+    # Wilson and Hilferty's cube root
+    z_kind = (np.cbrt(chi / free) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free))
+    p_kind = np.where(z_kind > 0, _normal_tail(np.abs(z_kind)), 1 - _normal_tail(np.abs(z_kind)))
+
     high = index >= (size // 2)[owner]
     n1 = np.bincount(owner, weights=high, minlength=n)
     n0 = lengths - n1
@@ -111,7 +143,8 @@ def battery(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     lag = np.zeros(len(owner))
     lag[1:] = centred[1:] * centred[:-1] * inner[1:]
     p_serial = 2 * _normal_tail(np.abs(np.bincount(owner, weights=lag, minlength=n) / power) * np.sqrt(lengths))
-    return candidate, np.minimum(1.0, 3 * np.minimum(np.minimum(p_chi, p_runs), p_serial))
+    stratum = np.where(size == 64, len(LENGTHS), 0) + np.maximum(np.searchsorted(LENGTHS, lengths, "right") - 1, 0)
+    return candidate, np.minimum(1.0, 4 * np.minimum(np.minimum(p_chi, p_kind), np.minimum(p_runs, p_serial))), stratum
 
 
 def _long_runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,30 +183,59 @@ def _base(raw: bytes, offs: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.n
     return [sorted(x) for x in found]
 
 
+def _decoys(buf: np.ndarray, offs: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of words and numbers that are not taken, and where decoys
+    begin and end in them; each lies within one document."""
+    plain = np.flatnonzero(_RUN[buf] & ~taken)
+    first = np.searchsorted(plain, offs)
+    starts, ends, turns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, size in zip(first[:-1].tolist(), np.diff(first).tolist(), strict=True):
+        if size >= LENGTHS[0]:
+            cuts = _cut(size % len(LENGTHS), size)
+            starts.append(low + cuts[:-1])
+            ends.append(low + cuts[1:])
+            turns.append(np.arange(len(cuts) - 1) + size)
+    chars, start, end, turn = buf[plain], np.concatenate(starts), np.concatenate(ends), np.concatenate(turns)
+    digits = np.concatenate([[0], np.cumsum((chars >= 48) & (chars <= 57))])
+    bare = digits[end] == digits[start]
+    many = (1 + turn % 4)[bare]
+    at = np.repeat(end[bare] - many, many) + C.runs(many)
+    chars[at] = 48 + C.mix64(chars[at] + np.repeat(turn[bare] * 256, many).astype(np.uint64)) % np.uint64(10)
+    return chars, start, end
+
+
+@lru_cache(maxsize=64)
+def _cuts(turn: int, bits: int) -> np.ndarray:
+    """Ends of pieces of all strata's lengths in turn, up to 2**bits and more."""
+    lengths = np.roll(LENGTHS, -turn)
+    return np.concatenate([[0], np.cumsum(np.tile(lengths, (1 << bits) // sum(LENGTHS) + 1))])
+
+
+def _cut(turn: int, size: int) -> np.ndarray:
+    cuts = _cuts(turn, size.bit_length())
+    return cuts[: np.searchsorted(cuts, size, "right")]
+
+
 def survey(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts per stratum and grid point: candidates and decoys with p above it."""
 
-    def add(counts: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> None:
-        np.add.at(counts, (np.searchsorted(STRATA, lengths, "right") - 1, np.searchsorted(GRID, p, "left")), 1)
+    def add(counts: np.ndarray, counted: np.ndarray, p: np.ndarray, stratum: np.ndarray) -> None:
+        np.add.at(counts, (stratum[counted], np.searchsorted(GRID, p[counted], "left")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(STRATA), len(GRID) + 1), np.int64)
+        total = np.zeros((2, STRATA, len(GRID) + 1), np.int64)
         for part in C.chunks(batches, 0):
             buf, offs = C.text_bytes(part.column(0))
             start, end, _ = _long_runs(buf, offs)
-            plain = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+            inside = np.zeros(len(buf) + 1, np.int32)
             if len(start):
-                candidate, p = battery(buf, start, end)
-                add(total[0], (end - start)[candidate], p[candidate])
-                inside = np.zeros(len(buf) + 1, np.int32)
+                candidate, p, stratum = battery(buf, start, end)
+                add(total[0], candidate, p, stratum)
                 np.add.at(inside, start[candidate], 1)
                 np.add.at(inside, end[candidate], -1)
-                plain &= np.cumsum(inside[:-1]) == 0
-            letters = buf[plain]
-            cuts = np.cumsum(np.tile(STRATA, len(letters) // sum(STRATA) + 1))
-            cuts = np.concatenate([[0], cuts[cuts <= len(letters)]])
-            if len(cuts) > 1:
-                add(total[1], np.diff(cuts), battery(letters, cuts[:-1], cuts[1:])[1])
+            chars, start, end = _decoys(buf, offs, np.cumsum(inside[:-1]) > 0)
+            if len(start):
+                add(total[1], *battery(chars, start, end))
         s, g = np.indices(total.shape[1:])
         yield C.record({"stratum": s.ravel().astype(np.int32), "above": g.ravel().astype(np.int32), "candidates": total[0].ravel(), "decoys": total[1].ravel()})
 
@@ -183,18 +245,17 @@ def survey(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def thresholds(docs: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) -> list[float]:
     """The p-value from which a candidate counts, per stratum (2: none does)."""
-    counts = np.zeros((2, len(STRATA), len(GRID) + 1))
-    for r in survey(docs, text).collect():  # at most len(STRATA) * (len(GRID) + 1) rows
+    counts = np.zeros((2, STRATA, len(GRID) + 1))
+    for r in survey(docs, text).collect():  # at most STRATA * (len(GRID) + 1) rows
         counts[:, r.stratum, r.above] = r.candidates, r.decoys
-    out = []
-    for candidates, decoys in zip(*counts, strict=True):
-        level = 2.0
-        for g, p in enumerate(GRID):
-            passing, false = candidates[g + 1 :].sum(), decoys[g + 1 :].sum()
-            if passing and (false + 1) / (decoys.sum() + 1) * candidates.sum() / passing <= false_share:
-                level = p
-                break
-        out.append(level)
+    passing = counts[:, :, ::-1].cumsum(2)[:, :, ::-1][:, :, 1:]
+    of = counts.sum(2)
+    # the share of decoys that pass, drawn to that of both encodings
+    both = lambda x: np.tile(x.reshape(2, len(LENGTHS), -1).sum(0), (2, 1))
+    pooled = (both(passing[1]) + 1) / (both(of[1]) + 1)
+    share = (passing[1] + POOLED * pooled) / (of[1][:, None] + POOLED)
+    good = (passing[0] > 0) & (share * of[0][:, None] <= false_share * passing[0])
+    out = [GRID[int(np.argmax(x))] if x.any() else 2.0 for x in good]
     return out
 
 
@@ -203,8 +264,8 @@ def _spans(part: pa.Array, levels: Sequence[float]) -> tuple[np.ndarray, np.ndar
     found = _base(buf.tobytes(), offs, runs := _long_runs(buf, offs))
     start, end, doc = runs
     if len(start):
-        candidate, p = battery(buf, start, end)
-        hit = candidate & (p > np.asarray(levels)[np.searchsorted(STRATA, end - start, "right") - 1])
+        candidate, p, stratum = battery(buf, start, end)
+        hit = candidate & (p > np.asarray(levels)[stratum])
         for s, e, i in zip(start[hit].tolist(), end[hit].tolist(), doc[hit].tolist(), strict=True):
             if not any(s < y and x < e for x, _, y in found[i]):
                 found[i].append((s, 3, e))
