@@ -105,7 +105,7 @@ def base_spans(text):
 
 
 def test_secret_base_spans(spark, docs, rows, empty):
-    found = secrets.scan(docs, [2.0] * len(secrets.STRATA)).collect()
+    found = secrets.scan(docs, [2.0] * secrets.STRATA).collect()
     key = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
     assert sorted([(r.doc_id, [tuple(s) for s in r.spans]) for r in found], key=key) == sorted([(r[0], base_spans(r[1])) for r in rows], key=key)
     assert secrets.scan(empty, secrets.thresholds(empty)).count() == 0
@@ -127,8 +127,46 @@ def test_secret_battery_tells_keys_from_words(spark):
     assert all(r.text == texts[r.doc_id] for r in clean if r.doc_id not in hit)
 
 
+def test_secret_scan_finds_keys_of_all_lengths(spark):
+    rng = np.random.default_rng(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base64 = letters + letters.upper() + "0123456789+/"
+    word = lambda: "".join(rng.choice(list("aeioutnsrlhdcm"), int(rng.integers(2, 9)))) + str(rng.choice(["ing", "er", "tion", "ed"]))
+    lookalike = [
+        lambda: f"{word()}_{word()}_{rng.integers(1990, 2030)}_{word()}",
+        lambda: f"{word()}/{word()}/{rng.integers(2000, 2030)}/{rng.integers(1, 13):02d}/{word()}",
+        lambda: "".join(word().capitalize() for _ in range(3)),
+        lambda: f"{word()}-{word()}-v{rng.integers(10)}-final",
+    ]
+    lengths, texts, planted = (16, 20, 24, 32, 64), [], {}
+    for k in range(1500):
+        prose = [word() if rng.integers(12) else str(rng.integers(3000)) for _ in range(300)]
+        if k % 3 == 0:
+            planted[k] = "".join(rng.choice(list(base64), lengths[k // 3 % 5]))
+            prose.insert(30, planted[k])
+        if k % 3 == 1:
+            prose.insert(30, lookalike[k // 3 % 4]())
+        texts.append((k, " ".join(prose)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    levels = [secrets.thresholds(frame.repartition(n)) for n in (1, 5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        levels.append(secrets.thresholds(frame))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert levels[0] == levels[1] == levels[2]
+    found, false = Counter(), 0
+    for r in secrets.scan(frame, levels[0]).collect():
+        spans = [texts[r.doc_id][1][x.start : x.end] for x in r.spans if x.kind == 3]
+        found[len(planted[r.doc_id]) if r.doc_id in planted else 0] += planted.get(r.doc_id) in spans
+        false += len([x for x in spans if x != planted.get(r.doc_id)])
+    assert found[32] >= 90 and found[64] >= 95 and found[24] >= 50, found
+    assert false <= 0.02 * sum(found.values())
+    assert false <= 0.05 * 500
+
+
 def test_redact_keeps_columns(spark, docs):
-    out = secrets.redact(docs, [2.0] * len(secrets.STRATA))
+    out = secrets.redact(docs, [2.0] * secrets.STRATA)
     assert out.schema == docs.schema and out.count() == docs.count()
     assert out.filter("text like '%hunter2%' or text like '%AKIA%'").count() == 0
 
@@ -607,6 +645,9 @@ def test_chat_collapse(spark):
     chats[60], chats[61], chats[None] = [(None, None)], [("", "x"), (None, None)], [("user", "nameless")]
     rows = [(c, t, role, text, 1, "z") for c, turns in chats.items() for t, (role, text) in enumerate(turns)]
     rows += rows[:5]
+    # turns of one number, and of none: by role, then text
+    rows += [(70, 1, "user", t, 1, "z") for t in ("zz", "aa", "zz")] + [(70, None, "user", "first", 1, "z"), (71, 1, "user", "b", 1, "z"), (71, 1, "assistant", "c", 1, "z")]
+    chats[70], chats[71] = [("user", "first"), ("user", "aa"), ("user", "zz")], [("assistant", "c"), ("user", "b")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int, id string")
     plain = {c: tuple((r or "", t or "") for r, t in turns) for c, turns in chats.items()}
     proper = {x[:k] for x in plain.values() for k in range(1, len(x))}

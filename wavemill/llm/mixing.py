@@ -54,16 +54,16 @@ def sizes(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str
     return rows.mapInArrow(run, f"id {kinds[id]}, source {kinds[source]}, size long")
 
 
-def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents and ``_size``, the number of words of each."""
+def with_sizes(docs: DataFrame, text: str = "text", name: str = "_size") -> DataFrame:
+    """The documents and, as ``name``, the number of words of each."""
     at, kinds = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.chunks(batches, at):
             size = C.Words(*C.text_bytes(part.column(at))).counts.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size)], names=[*part.schema.names, "_size"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size)], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["_size long"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + [f"`{name}` long"]))
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:

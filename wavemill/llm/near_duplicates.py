@@ -50,7 +50,7 @@ GRAM, THRESHOLD, TREES, DEEPEST, RECALL, ALIKE = 5, (4, 5), 32, 8, 0.9999, 0.68
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
 #: Pairs of classes looked at together.
 PAIRS = 1 << 15
-BROADCAST_ROWS, SALTS = 2_000_000, 8
+BROADCAST_ROWS, SALTS = 500_000, 8
 
 
 def reach(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
