@@ -29,9 +29,18 @@ BROADCAST_ROWS = 1_000_000
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with ``_key``, a hash of all columns: rows share it only if they are equal."""
-    return docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+def _fresh(name: str, docs: DataFrame) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a hash of all columns, and its name: rows share it only if they are equal."""
+    key = _fresh("_key", docs)
+    return docs.withColumn(key, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])), key
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -40,15 +49,16 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keyed documents whose key is not in ``keys`` (one column, _key)."""
-    return keyed.join(_few(keys.distinct()), "_key", "left_anti")
+def _without(keyed: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The keyed documents whose key is not in ``keys`` (one column, the key)."""
+    return keyed.join(_few(keys.distinct()), key, "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects."""
     model = quality_classifier.train(docs, C.table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, carry=True, prefix="_qc_").filter("_qc_kept").select(docs.columns)
+    prefix = _fresh("_qc_kept", docs).removesuffix("kept")
+    return quality_classifier.score(docs, model, carry=True, prefix=prefix).filter(F.col(f"{prefix}kept")).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,24 +67,24 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id and text are one document, and so are equal rows with words
     but no id.  A document without an id goes before none that has one.
     """
-    keyed = _keyed(docs)
-    found = C.durable(near_duplicates.near_duplicates(keyed, "_key").filter("n_links > 0").select("_key", "class_id").distinct())
+    keyed, key = _keyed(docs)
+    found = C.durable(near_duplicates.near_duplicates(keyed, key).filter("n_links > 0").select(key, "class_id").distinct())
     # columns are hashed once more here, but no text is moved
-    members = C.durable(keyed.select("_key", "doc_id").join(_few(found), "_key").distinct())
-    least = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("least"))
-    kept = _without(keyed, members.join(_few(least), "class_id").filter("_key <> least._key").select("_key"))
-    one = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).when(F.col("text").rlike(r"\S"), F.col("_key"))
+    members = C.durable(keyed.select(key, "doc_id").join(_few(found), key).distinct())
+    least = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("key"))).alias("least"))
+    kept = _without(keyed, members.join(_few(least), "class_id").filter(F.col(key) != F.col("least.key")).select(key), key)
+    one = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).when(F.col("text").rlike(r"\S"), F.col(key))
     if not keyed.groupBy(one.alias("one")).count().filter("count > 1 and one is not null").isEmpty():
         named, words = F.col("doc_id").isNotNull(), F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-        kept = kept.filter(~named & ~words).unionByName(kept.filter(~named & words).dropDuplicates(["_key"])).unionByName(kept.filter(named).dropDuplicates(["doc_id", "text"]))
+        kept = kept.filter(~named & ~words).unionByName(kept.filter(~named & words).dropDuplicates([key])).unionByName(kept.filter(named).dropDuplicates(["doc_id", "text"]))
     return kept.select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    keyed = _keyed(docs)
-    leaks = decontaminate.find_leaks(keyed, C.table(spark, sf_dir, "benchmark"), "_key")
-    return _without(keyed, leaks.select("_key")).select(docs.columns)
+    keyed, key = _keyed(docs)
+    leaks = decontaminate.find_leaks(keyed, C.table(spark, sf_dir, "benchmark"), key, item_id="item_id")
+    return _without(keyed, leaks.select(key), key).select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,13 +94,16 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies`` (how often), ``size``,
-    ``taken``, ``source_size`` and ``target`` (in words)."""
+    ``taken``, ``source_size`` and ``target`` (in words); columns of these
+    names in the input are replaced."""
     decided = mixing.mix(docs).filter("copies > 0")
-    named = decided.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_units"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "copies")])
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_units"))
-    new = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size")}
-    rows = mixing.with_sizes(docs).join(named, on)
-    return rows.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    size = _fresh("_size", docs)
+    named = decided.select(*[F.col(c).alias(_fresh(f"_mix_{c}", docs)) for c in decided.columns])
+    by = dict(zip(decided.columns, named.columns, strict=True))
+    rows = mixing.with_sizes(docs, name=size)
+    on = F.col("doc_id").eqNullSafe(F.col(by["id"])) & F.col("source").eqNullSafe(F.col(by["source"])) & (F.col(size) == F.col(by["size"]))
+    new = {"size": F.col(size), "source_size": F.col(by["source_size"]), "target": F.col(by["target"]), "copies": F.col(by["copies"]), "taken": F.col(by["copies"]) * F.col(size)}
+    return rows.join(named, on).select(*[c for c in docs.columns if c.lower() not in new], *[v.alias(k) for k, v in new.items()])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -102,11 +115,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.  A stage's table is deleted
+    once the next one's is there; the last one's stays for the result."""
     folder = f"{C.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
