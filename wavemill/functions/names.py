@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 # Entity keys of file names, and the subjects of each split.
 ENTITIES = ("sub", "ses", "task", "run", "acq", "recording")
+#: Module names of released checkpoints and what they are called here, in the
+#: order in which they are replaced.
+CHECKPOINT_KEYS = (
+    ("patch_embedding.proj_in.", "patch_embedding.time_projection."),
+    ("patch_embedding.spectral_proj.", "patch_embedding.spectral_projection."),
+    ("patch_embedding.positional_encoding.0.", "patch_embedding.positional_encoding."),
+    ("encoder.layers.", "encoder."),
+    (".self_attn_s.", ".spatial_attention."),
+    (".self_attn_t.", ".temporal_attention."),
+    ("proj_out.0.", "proj_out."),
+)
 SPLIT_SUBJECTS = {"train": (1, 15), "val": (16, 20), "test": (21, 25)}
 
 
@@ -101,3 +112,10 @@ def split_or_unspecified(split: Column) -> Column:
 def sorted_json(entries: Column) -> Column:
     """A map as JSON with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def checkpoint_key(name: Column) -> Column:
+    """A parameter's name with its modules called as they are here."""
+    for old, new in CHECKPOINT_KEYS:
+        name = F.replace(name, F.lit(old), F.lit(new))
+    return name

@@ -54,7 +54,7 @@ def zscore(values: Column, eps: float = 1e-8) -> Column:
 def select_channels(signal: Column, names: Column, requested: Column) -> Column:
     """Requested channels in their order; those missing are rows of zeros."""
     lower = F.transform(names, lambda n: F.lower(n))
-    zeros = F.transform(signal[0], lambda v: F.lit(0.0).cast("float"))
+    zeros = F.transform(F.get(signal, F.lit(0)), lambda v: F.lit(0.0).cast("float"))
     return F.transform(requested, lambda r: F.coalesce(F.get(signal, F.array_position(lower, F.lower(r)).cast("int") - 1), zeros))
 
 
@@ -109,6 +109,31 @@ def resample(original: float, target: float):
     return run
 
 
+def _resampled(values: pd.Series, original: pd.Series, target: pd.Series) -> pd.Series:
+    out: list = [None] * len(values)
+    alike: dict[tuple, list[int]] = {}
+    for k, (signal, a, b) in enumerate(zip(values, original, target, strict=True)):
+        if signal is not None and len(signal):
+            alike.setdefault((len(signal), len(signal[0]), float(a), float(b)), []).append(k)
+    for (channels, points, a, b), rows in alike.items():
+        x = np.stack([np.stack(values.iloc[k]) for k in rows]).astype(np.float64)
+        if not np.isclose(a, b):
+            # one product for all signals of one shape and rate
+            x = x.reshape(-1, points) @ resample_kernel(points, target_points(points, a, b)).T
+        for k, y in zip(rows, x.reshape(len(rows), channels, -1).astype(np.float32), strict=True):
+            out[k] = list(y)
+    return pd.Series(out)
+
+
+def resample_to(signal: Column | str, original: Column | str, target: Column | str) -> Column:
+    """Signals resampled by FFT from one rate to another, both columns."""
+    rate = F.col(target) if isinstance(target, str) else target
+    checked = F.when(rate > 0, rate).otherwise(F.raise_error(F.lit("sampling rates must be positive")).cast("double"))
+    have = F.col(signal) if isinstance(signal, str) else signal
+    run = F.pandas_udf(_resampled, "array<array<float>>")
+    return run(have, F.coalesce(F.col(original) if isinstance(original, str) else original, F.lit(1.0)).cast("double"), F.when(have.isNull(), 1.0).otherwise(checked).cast("double"))
+
+
 def spectrum():
     """A UDF for amplitudes of the real FFT divided by the length."""
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import names
 
+# What a publication reports of its data.
+PAPER_EXAMPLES, PAPER_CHANNELS, PAPER_POINTS = 11_988, 32, 800
+
 
 def manifest_summary(manifest: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts over a manifest, in one aggregation."""
@@ -53,6 +57,81 @@ def protocol_audit(manifest: DataFrame, subject: str = "subject_id", expected: d
     return rows.select("split", *counts, "subjects", "missing", "foreign", ok.alias("ok"))
 
 
+def protocol_report(manifest: DataFrame, dataset: str | None = "shu-mi", strict: bool = False, classes_first: bool = False) -> dict[str, Any]:
+    """The audit of a whole manifest, with its warnings in order.
+
+    Errors: no rows, another dataset, ids that occur twice, several shapes,
+    subjects of another split, labels that are not binary, rows of no split,
+    and with ``strict`` a protocol that is not met.  ``classes_first`` warns of
+    missing classes before missing subjects, as the preprocessed table does.
+    """
+    shape = F.struct("num_channels", "num_samples")
+    all_ = manifest.agg(
+        F.count("*").alias("examples"),
+        F.count_if(~F.col("dataset_id").eqNullSafe(dataset) if dataset else F.lit(False)).alias("elsewhere"),
+        F.min(shape).alias("least"),
+        F.max(shape).alias("most"),
+        F.count_if(~F.coalesce(F.col("split").isin(*names.SPLIT_SUBJECTS), F.lit(False))).alias("no_split"),
+    ).first()
+    if not all_.examples:
+        raise ValueError("the manifest is empty")
+    if all_.elsewhere:
+        raise ValueError(f"{all_.elsewhere} examples are not of dataset {dataset}")
+    if not manifest.groupBy("sample_id").count().filter("count > 1").isEmpty():
+        raise ValueError("sample ids occur twice")
+    if all_.least != all_.most:
+        raise ValueError(f"examples differ in shape: {tuple(all_.least)} to {tuple(all_.most)}")
+    channels, points = all_.least
+    by = {r.split: r for r in protocol_audit(manifest).collect()}  # one row for each expected split
+    warnings: list[str] = []
+    for split in names.SPLIT_SUBJECTS:
+        r = by[split]
+        if r.foreign:
+            raise ValueError(f"subjects {r.foreign} in {split} belong elsewhere")
+        if r.not_binary:
+            raise ValueError(f"split {split} has labels that are not binary")
+        found = [f"Split {split} is missing subjects [{r.missing.replace(',', ', ')}]"] if r.missing else []
+        classes = [f"Split {split} does not contain both classes"] if r.examples and not (r.negatives and r.positives) else []
+        warnings += classes + found if classes_first else found + classes
+    if all_.no_split:
+        raise ValueError(f"{all_.no_split} examples have no valid split")
+    expected = ((all_.examples, PAPER_EXAMPLES, "examples"), (channels, PAPER_CHANNELS, "channels"), (points, PAPER_POINTS, "points"))
+    warnings += [f"the protocol has {want:,} {what}; the manifest has {have}" for have, want, what in expected if have != want]
+    complete = all(not r.missing for r in by.values())
+    ready = complete and all(have == want for have, want, _ in expected) and all(r.negatives and r.positives for r in by.values())
+    if strict and not ready:
+        raise ValueError("the protocol is not met: " + "; ".join(warnings))
+    return {
+        "dataset": dataset,
+        "examples": all_.examples,
+        "channels": channels,
+        "points": points,
+        "split_examples": {s: by[s].examples for s in by},
+        "split_subjects": {s: by[s].subjects for s in by},
+        "split_class_counts": {s: {"0": by[s].negatives, "1": by[s].positives} for s in by},
+        "subjects_complete": complete,
+        "paper_ready": bool(ready),
+        "warnings": warnings,
+    }
+
+
+def integrity(manifest: DataFrame, shards: DataFrame, key: Sequence[str] = ("shard_path", "record_batch", "row_in_batch")) -> DataFrame:
+    """Manifest rows and stored windows that do not agree, and how.
+
+    Both have ``sample_id`` and the key; the manifest has ``num_channels`` and
+    ``num_samples`` and the shards ``num_values``, how many they store.
+    """
+    left = manifest.select(*key, F.col("sample_id").alias("stated_id"), (F.col("num_channels") * F.col("num_samples")).alias("_expected"))
+    right = shards.select(*key, F.col("sample_id").alias("stored_id"), F.col("num_values").alias("_stored"))
+    wrong = (
+        F.when(F.col("_stored").isNull(), "no window is stored here")
+        .when(F.col("_expected").isNull(), "no manifest row is for this window")
+        .when(F.col("stated_id") != F.col("stored_id"), "another window is stored here")
+        .when(F.col("_expected") != F.col("_stored"), "the payload has another size")
+    )
+    return left.join(right, list(key), "full_outer").select(*key, "stated_id", "stored_id", wrong.alias("error")).filter("error is not null")
+
+
 def leakage(manifest: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys in more than one split."""
     found = manifest.groupBy(key).agg(F.countDistinct(split).alias("splits"), F.count("*").alias("examples"))

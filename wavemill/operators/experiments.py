@@ -75,3 +75,28 @@ def latency_summary(times: DataFrame, seconds: str, batch: str) -> DataFrame:
         F.percentile(seconds, 0.95).alias("p95_seconds"),
         (F.first(batch) / F.avg(seconds)).alias("examples_per_second"),
     )
+
+
+def parameter_counts(parameters: DataFrame, by: Sequence[str] = (), size: str = "size", item: str = "item_bytes", trainable: str = "trainable") -> DataFrame:
+    """Parameters, trainable ones and state bytes of models, a row a tensor."""
+    return parameters.groupBy(*by).agg(
+        F.sum(size).cast("long").alias("parameters"),
+        F.coalesce(F.sum(F.when(F.col(trainable), F.col(size))), F.lit(0)).cast("long").alias("trainable_parameters"),
+        F.sum(F.col(size) * F.col(item)).cast("long").alias("state_bytes"),
+    )
+
+
+def best_epoch_summary(best: DataFrame, by: Sequence[str], epoch: str = "best_epoch") -> DataFrame:
+    """Mean, median and sample std of the epochs at which runs were best.
+
+    One row a run, so the exact median is over few values.
+    """
+    return best.groupBy(*by).agg(F.avg(epoch).alias("mean"), F.percentile(epoch, 0.5).alias("median"), F.coalesce(F.stddev_samp(epoch), F.lit(0.0)).alias("std"))
+
+
+def generalisation_gap(runs: DataFrame, value: str, by: Sequence[str], split: str = "split") -> DataFrame:
+    """Mean of splits val and test, the gap between them, and its percentage."""
+    mean = lambda s: F.avg(F.when(F.col(split) == s, F.col(value)))
+    rows = runs.groupBy(*by).agg(mean("val").alias("val_mean"), mean("test").alias("test_mean"), F.stddev_pop(value).alias("std_pop"))
+    gap = F.col("val_mean") - F.col("test_mean")
+    return rows.withColumn("gap", gap).withColumn("deficit_pct", 100 * F.try_divide(gap, F.col("val_mean")))

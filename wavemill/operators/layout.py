@@ -6,10 +6,14 @@ and key: a seeded permutation that needs no state.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shard_layout(windows: DataFrame, bundle: str, order: Sequence[str], rows_per_batch: int, batches_per_shard: int) -> DataFrame:
@@ -129,3 +133,44 @@ def imbalance(loads: DataFrame, worker: str = "worker", load: str = "bytes") ->
     """Largest worker load over the smallest (at least 1)."""
     per = loads.groupBy(worker).agg(F.sum(load).alias("_load"), F.sum("examples").alias("_examples"))
     return per.agg(F.count("*").alias("workers"), F.max("_load").alias("most"), F.min("_load").alias("least"), (F.max("_load") / F.greatest(F.lit(1), F.min("_load"))).alias("imbalance"), F.sum("_examples").alias("examples"))
+
+
+def sources_per_shard(windows: DataFrame, shard: str = "shard_path", source: str = "source_uri") -> DataFrame:
+    """The most sources that meet in one shard."""
+    return windows.groupBy(shard).agg(F.countDistinct(source).alias("_n")).agg(F.max("_n").alias("most_sources"))
+
+
+def bounded_shuffle(rows: DataFrame, seed: int, epoch: int, size: int) -> DataFrame:
+    """Each partition's rows through a buffer of ``size``, with ``position``.
+
+    A row of the stream takes the place of one in the buffer, which goes out;
+    at the end the buffer goes out in a random order.  Every row goes out once,
+    and no more than ``size`` are held.  Draws are by seed, epoch and partition.
+    """
+    if size < 1:
+        raise ValueError("the buffer must hold at least one row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, epoch, part])
+        held, at = None, 0
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            place = pa.array(np.arange(at, at + table.num_rows, dtype=np.int64))
+            at += table.num_rows
+            yield from table.append_column("position", place).combine_chunks().to_batches()
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                block = pa.Table.from_batches([batch.slice(low, size)])
+                both = block if held is None else pa.concat_tables([held, block])
+                goes = max(0, both.num_rows - size)
+                order = rng.permutation(both.num_rows)
+                yield from out(both.take(order[:goes]))
+                held = both.take(order[goes:])
+        if held is not None:
+            yield from out(held.take(rng.permutation(held.num_rows)))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("position", T.LongType())])
+    return rows.mapInArrow(run, schema)

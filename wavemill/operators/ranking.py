@@ -44,6 +44,19 @@ def balanced_accuracy() -> Column:
     return (recall + specificity) / 2
 
 
+def rates(counts: DataFrame) -> DataFrame:
+    """Adds the rates of a frame of ``confusion``: predicted positives, true
+    positives among positives, true negatives among negatives."""
+    total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return counts.withColumns(
+        {
+            "predicted_positive_rate": F.try_divide(F.col("tp") + F.col("fp"), total),
+            "true_positive_rate": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")),
+            "true_negative_rate": F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")),
+        }
+    )
+
+
 def curve(rows: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> DataFrame:
     """One row for each score, from the top: tp, fp, precision, recall, and the
     point before it (precision 1 and recall 0 before the first)."""

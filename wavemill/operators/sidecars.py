@@ -46,6 +46,21 @@ def normalize_events(events: DataFrame) -> DataFrame:
     )
 
 
+def event_structs(rows: Column) -> Column:
+    """The same for rows of an event file, as an array of structs."""
+    number = lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))
+    known = lambda x: F.when(~F.lower(F.trim(x)).isin("nan", "n/a", ""), x)
+    return F.transform(
+        rows,
+        lambda e: F.struct(
+            number(e.getItem("onset")).alias("onset_seconds"),
+            F.greatest(F.lit(0.0), number(e.getItem("duration"))).alias("duration_seconds"),
+            F.coalesce(e.getItem("trial_type"), known(e.getItem("value")), F.lit("event")).alias("event_type"),
+            known(e.getItem("value")).alias("value"),
+        ),
+    )
+
+
 def channel_kinds(channels: DataFrame, sidecar_rows: DataFrame, by: str = "recording_id") -> DataFrame:
     """Channels with the kind their sidecar states (eeg if none) and ``picked``:
     of kind eeg and not marked bad."""
