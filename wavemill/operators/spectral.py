@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,39 @@ def rms_and_peak(samples: DataFrame, value: str, by: Sequence[str]) -> DataFrame
 def channel_correlation(samples: DataFrame, key: Sequence[str], channel: str, value: str) -> DataFrame:
     """Pearson correlation of every two channels, sample by sample.
 
-    The samples of one instant (one row a channel) are gathered, so channels
-    meet within a row and no join of samples with themselves is needed.
+    The samples of one instant (one row a channel) are gathered; each task adds
+    up products of channels over its instants, as matrices, and only these sums
+    (a row for two channels) are shuffled.
     """
-    instants = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(value).alias("v")))).alias("_all"))
-    pairs = instants.select(F.explode("_all").alias("_a"), "_all").select("_a", F.explode(F.filter("_all", lambda b: b["c"] >= F.col("_a.c"))).alias("_b"))
-    return pairs.groupBy(F.col("_a.c").alias("channel_a"), F.col("_b.c").alias("channel_b")).agg(F.corr("_a.v", "_b.v").alias("correlation"))
+    kind = dict(samples.dtypes)[channel]
+    instants = samples.groupBy(*key).agg(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(value).cast("double").alias("v"))).alias("_all"))
+    sums = ["n", "a", "b", "aa", "bb", "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[object, int] = {}
+        total = np.zeros((6, 0, 0))
+        for batch in batches:
+            every = batch.column(0)
+            flat = every.flatten()
+            rows = np.repeat(np.arange(len(every)), np.diff(every.offsets.to_numpy()))
+            columns = np.array([place.setdefault(c, len(place)) for c in flat.field("c").to_pylist()], np.int64)
+            v = flat.field("v").to_numpy(zero_copy_only=False)
+            m = len(place)
+            total = np.pad(total, ((0, 0), (0, m - total.shape[1]), (0, m - total.shape[1])))
+            there = ~np.isnan(v)
+            x, mask = np.zeros((len(every), m)), np.zeros((len(every), m))
+            x[rows[there], columns[there]], mask[rows[there], columns[there]] = v[there], 1
+            total += np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, mask.T @ (x * x), x.T @ x])
+        if not place:
+            return
+        names = pa.array(list(place), flat.field("c").type)
+        i, j = (k.ravel() for k in np.indices((len(names), len(names))))
+        yield pa.RecordBatch.from_pydict({"channel_a": names.take(pa.array(i)), "channel_b": names.take(pa.array(j))} | {s: total[k].ravel() for k, s in enumerate(sums)})
+
+    found = instants.select("_all").mapInArrow(run, f"channel_a {kind}, channel_b {kind}, " + ", ".join(f"{s} double" for s in sums))
+    found = found.filter("channel_a <= channel_b").groupBy("channel_a", "channel_b").agg(*[F.sum(s).alias(s) for s in sums])
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.expr("n * aa - a * a"))) * F.sqrt(F.greatest(F.lit(0.0), F.expr("n * bb - b * b")))
+    return found.select("channel_a", "channel_b", F.try_divide(F.expr("n * ab - a * b"), spread).alias("correlation"))
 
 
 def band_power(density: DataFrame, by: Sequence[str], frequency: str = "frequency", power: str = "power", bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:

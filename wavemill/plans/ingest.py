@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -156,9 +155,26 @@ def stream_ingest_available_now(spark, sf_dir):
     Streams are not for SQL: the rows are checked in tests.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/ingest-{os.urandom(8).hex()}" if shared else tempfile.mkdtemp()
+    folder = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/ingest-{os.urandom(8).hex()}"
     rows = K.windows(spark, sf_dir).select(F.col("sample_id").alias("recording_id"), *[f.name for f in schema.RECORDING if f.name != "recording_id"])
     rows.write.parquet(f"{folder}/inbox")
     ingest.ingest(spark, f"{folder}/inbox", f"{folder}/out", f"{folder}/checkpoint", 2.0, 1.0).awaitTermination()
     found = spark.read.parquet(f"{folder}/out/windows")
     return found.groupBy("subject_id").agg(F.count("*").alias("windows"), F.max("num_samples").alias("num_samples"))
+
+
+@query("SELECT user_id, count(*) AS seen, 0::BIGINT AS repeated, max(event_id) AS highest, max(value) AS top FROM events GROUP BY 1")
+def stream_running_progress(spark, sf_dir):
+    """A stateful stream over the events of the users, in order of file."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/progress-{os.urandom(8).hex()}"
+    events = K.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+
+    def append(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    progress = ingest.running_progress(source, "user_id", "event_id", "value")
+    progress.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("repeated").alias("repeated"), F.max("highest").alias("highest"), F.max("top").alias("top"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import names, signals
-from wavemill.operators import audit, layout
+from wavemill.operators import audit, experiments, layout
 
 from . import carriers as K
 from .registry import query
@@ -107,7 +107,7 @@ def shape_counts(spark, sf_dir):
 
 _PROTOCOL_SQL = f"""WITH {_PLAIN_SQL}, want AS (SELECT * FROM (VALUES ('train', 1, 15), ('val', 16, 20), ('test', 21, 25)) t(split, low, high)),
 have AS (SELECT split, count(*) AS examples, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives, list(DISTINCT subject) AS s
-  FROM manifest WHERE subject <> 7 GROUP BY split)
+  FROM manifest GROUP BY split)
 SELECT split, examples, negatives, positives, 0::BIGINT AS not_binary, len(s)::INT AS subjects,
   array_to_string(list_filter(range(low, high + 1), lambda k: NOT list_contains(s, k::INT)), ',') AS missing, '' AS "foreign",
   len(list_filter(range(low, high + 1), lambda k: NOT list_contains(s, k::INT))) = 0 AND negatives > 0 AND positives > 0 AS ok
@@ -116,7 +116,7 @@ FROM want JOIN have USING (split)"""
 
 @query(_PROTOCOL_SQL)
 def protocol_audit(spark, sf_dir):
-    return audit.protocol_audit(K.windows(spark, sf_dir).filter("subject_id <> 'sub-07'"))
+    return audit.protocol_audit(K.windows(spark, sf_dir))
 
 
 @query("SELECT user_id AS subject FROM (SELECT unnest(range(0, 2000)) AS user_id) WHERE user_id NOT IN (SELECT user_id FROM events)")
@@ -126,9 +126,9 @@ def missing_subjects(spark, sf_dir):
     return expected.join(found, "subject", "left_anti")
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_returnflag) AS splits, count(*) AS examples FROM lineitem WHERE l_quantity < 3 GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+@query("SELECT l_suppkey, count(DISTINCT l_returnflag) AS splits, count(*) AS examples FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
 def split_leakage(spark, sf_dir):
-    return audit.leakage(K.table(spark, sf_dir, "lineitem").filter("l_quantity < 3"), "l_suppkey", "l_returnflag")
+    return audit.leakage(K.table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
 
 
 @query(
@@ -258,7 +258,7 @@ def block_shuffle(spark, sf_dir):
 
 
 @query(f"WITH {_PLAIN_SQL} SELECT shard_path, sample_id, row_number() OVER (PARTITION BY shard_path ORDER BY md5(concat_ws(':', '9', '0', sample_id)), sample_id) - 1 AS position FROM manifest")
-def bounded_shuffle_permutation(spark, sf_dir):
+def keyed_shuffle(spark, sf_dir):
     rows = K.windows(spark, sf_dir)
     order = Window.partitionBy("shard_path").orderBy(layout.shuffle_key(9, 0, "sample_id"), "sample_id")
     return rows.select("shard_path", "sample_id", (F.row_number().over(order) - 1).cast("long").alias("position"))
@@ -270,13 +270,27 @@ def batch_ids(spark, sf_dir):
     return rows.groupBy("user_id", "batch").agg(F.count("*").alias("examples"), F.min("event_id").alias("first_event"))
 
 
-@query(f"WITH {_SHARDS_SQL} SELECT 8 AS world, sum(examples)::BIGINT AS expected, sum(examples)::BIGINT AS observed, ceil(sum(examples) / 8)::BIGINT AS per_rank, true AS complete FROM s")
+@query(
+    """SELECT 8 AS world, (SELECT count(*) FROM lineitem) AS expected, (SELECT count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) FROM lineitem) AS "distinct", (SELECT count(*) FROM lineitem) AS observed,
+  ceil((SELECT count(*) FROM lineitem) / 8)::BIGINT AS per_rank, true AS complete"""
+)
 def epoch_accounting(spark, sf_dir):
-    shards = _shards(spark, sf_dir)
-    seen = layout.assign_workers(shards, 17, 3, 8, "shard").groupBy("worker").agg(F.sum("examples").alias("_n")).agg(F.sum("_n").alias("observed"))
-    whole = shards.agg(F.sum("examples").alias("expected"))
-    both = whole.crossJoin(F.broadcast(seen))  # one row each
-    return both.select(F.lit(8).alias("world"), "expected", "observed", F.ceil(F.col("expected") / 8).alias("per_rank"), (F.col("expected") == F.col("observed")).alias("complete"))
+    """What eight workers yield of an epoch, row by row: each example once."""
+    rows = K.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_orderkey") % 97).alias("shard"))
+    workers = layout.assign_workers(_shards(spark, sf_dir), 17, 3, 8, "shard").select("shard", "worker")
+    yielded = layout.bounded_shuffle(rows.join(F.broadcast(workers), "shard").repartition(8, "worker"), 17, 3, 1024)  # 97 shards
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    times = yielded.groupBy(*key).agg(F.count("*").alias("times"))
+    wanted = rows.groupBy(*key).agg(F.count("*").alias("want"))
+    both = wanted.join(times, key, "full_outer")
+    return both.agg(
+        F.lit(8).alias("world"),
+        F.sum("want").alias("expected"),
+        F.count("times").alias("distinct"),
+        F.sum("times").alias("observed"),
+        F.ceil(F.sum("want") / 8).alias("per_rank"),
+        F.bool_and(F.col("want").eqNullSafe(F.col("times"))).alias("complete"),
+    )
 
 
 @query(
@@ -324,3 +338,86 @@ def inventory_by_split(spark, sf_dir):
     wanted = spark.createDataFrame([(s,) for s in ("train", "val", "test", "extra")], "split string")
     found = K.trials(spark, sf_dir).groupBy("split").agg(F.countDistinct("subject").alias("subjects"), F.count("sample_id").alias("examples"), F.sum("label").alias("positives"))
     return F.broadcast(wanted).join(found, "split", "left").fillna(0)
+
+
+@query("SELECT shard, n, n AS places, 0::BIGINT AS first, (n - 1)::BIGINT AS last, true AS moved FROM (SELECT (l_orderkey % 16)::INT AS shard, count(*) AS n FROM lineitem GROUP BY 1)")
+def bounded_shuffle_permutation(spark, sf_dir):
+    """A bounded buffer over each shard: every row once, in another order."""
+    rows = K.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).cast("int").alias("shard"), "l_orderkey", "l_linenumber")
+    rows = rows.repartition(64, "shard").sortWithinPartitions("shard", "l_orderkey", "l_linenumber")
+    out = layout.bounded_shuffle(rows, 9, 0, 256)
+    # the shards of a partition follow each other; places count within a shard
+    order = Window.partitionBy("shard").orderBy("position")
+    placed = out.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.lag("l_orderkey").over(order))
+    return placed.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.min("place").cast("long").alias("first"), F.max("place").cast("long").alias("last"), F.bool_or(F.col("before") > F.col("l_orderkey")).alias("moved"))
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey % 97 AS shard_path, l_linenumber AS record_batch, l_orderkey AS row_in_batch, l_partkey AS id, l_quantity::INT AS n FROM lineitem WHERE l_orderkey % 101 <> 0),
+s AS (SELECT l_orderkey % 97 AS shard_path, l_linenumber AS record_batch, l_orderkey AS row_in_batch, l_partkey + CASE WHEN l_orderkey % 103 = 0 THEN 1 ELSE 0 END AS id, l_quantity::INT * 4 + CASE WHEN l_orderkey % 107 = 0 THEN 1 ELSE 0 END AS n FROM lineitem WHERE l_orderkey % 109 <> 0),
+e AS (SELECT CASE WHEN s.id IS NULL THEN 'no window is stored here' WHEN m.id IS NULL THEN 'no manifest row is for this window' WHEN m.id <> s.id THEN 'another window is stored here' WHEN m.n * 4 <> s.n THEN 'the payload has another size' END AS error
+  FROM m FULL JOIN s USING (shard_path, record_batch, row_in_batch))
+SELECT error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY 1"""
+)
+def manifest_integrity(spark, sf_dir):
+    k = F.col("l_orderkey")
+    place = [(k % 97).alias("shard_path"), F.col("l_linenumber").alias("record_batch"), k.alias("row_in_batch")]
+    rows = K.table(spark, sf_dir, "lineitem")
+    size = F.col("l_quantity").cast("int")
+    manifest = rows.filter(k % 101 != 0).select(*place, F.col("l_partkey").alias("sample_id"), F.lit(4).alias("num_channels"), size.alias("num_samples"))
+    stored = rows.filter(k % 109 != 0).select(*place, (F.col("l_partkey") + F.when(k % 103 == 0, 1).otherwise(0)).alias("sample_id"), (size * 4 + F.when(k % 107 == 0, 1).otherwise(0)).alias("num_values"))
+    return audit.integrity(manifest, stored).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT max(n) AS most_sources FROM (SELECT l_orderkey % 97 AS shard, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)")
+def sources_per_shard(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("shard"), "l_suppkey")
+    return layout.sources_per_shard(rows, "shard", "l_suppkey")
+
+
+_KEYS = "concat(CASE event_id % 3 WHEN 0 THEN 'patch_embedding.proj_in.' WHEN 1 THEN 'encoder.layers.' ELSE 'proj_out.0.' END, event_id % 12, CASE event_id % 2 WHEN 0 THEN '.self_attn_s.' ELSE '.self_attn_t.' END, 'weight')"
+
+
+@query(
+    f"""SELECT event_id, replace(replace(replace(replace(replace({_KEYS}, 'patch_embedding.proj_in.', 'patch_embedding.time_projection.'), 'encoder.layers.', 'encoder.'),
+  '.self_attn_s.', '.spatial_attention.'), '.self_attn_t.', '.temporal_attention.'), 'proj_out.0.', 'proj_out.') AS key FROM events"""
+)
+def checkpoint_key_remap(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "events").select("event_id", F.expr(_KEYS).alias("key"))
+    return rows.select("event_id", names.checkpoint_key(F.col("key")).alias("key"))
+
+
+@query(
+    """SELECT o_orderpriority AS model, sum(o_custkey)::BIGINT AS parameters, coalesce(sum(o_custkey) FILTER (o_orderstatus = 'O'), 0)::BIGINT AS trainable_parameters, sum(o_custkey * (CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 2 END))::BIGINT AS state_bytes
+FROM orders GROUP BY 1"""
+)
+def parameter_counts(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("size"), F.when(F.col("o_orderkey") % 2 == 0, 4).otherwise(2).alias("item_bytes"), (F.col("o_orderstatus") == "O").alias("trainable"))
+    return experiments.parameter_counts(rows, ["model"])
+
+
+@query("SELECT o_orderpriority AS model, round(avg(e), 6) AS mean, median(e) AS median, round(stddev_samp(e), 6) AS std FROM (SELECT o_orderpriority, (o_orderkey % 50)::INT AS e FROM orders) GROUP BY 1")
+def best_epoch_stats(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), (F.col("o_orderkey") % 50).cast("int").alias("best_epoch"))
+    return experiments.best_epoch_summary(rows, ["model"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(
+    """WITH g AS (SELECT o_orderpriority AS metric, avg(v) FILTER (s = 'val') AS val_mean, avg(v) FILTER (s = 'test') AS test_mean, stddev_pop(v) AS std_pop
+  FROM (SELECT o_orderpriority, o_totalprice / 1000000 AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'val' ELSE 'test' END AS s FROM orders) GROUP BY 1)
+SELECT metric, round(val_mean, 9) AS val_mean, round(test_mean, 9) AS test_mean, round(std_pop, 9) AS std_pop, round(val_mean - test_mean, 9) AS gap, round(100 * (val_mean - test_mean) / val_mean, 6) AS deficit_pct FROM g"""
+)
+def generalisation_gap(spark, sf_dir):
+    rows = K.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), (F.col("o_totalprice") / 1000000).alias("value"), F.when(F.col("o_orderkey") % 2 == 0, "val").otherwise("test").alias("split"))
+    out = experiments.generalisation_gap(rows, "value", ["metric"])
+    return out.withColumns({c: F.round(c, 6 if c == "deficit_pct" else 9) for c in ("val_mean", "test_mean", "std_pop", "gap", "deficit_pct")})
+
+
+@query(
+    """SELECT 'train' AS split, coalesce((SELECT string_agg(DISTINCT s::VARCHAR, ',') FROM (SELECT unnest(range(1, 16)) AS s) WHERE s NOT IN (SELECT user_id % 30 FROM events)), '') AS missing,
+  coalesce((SELECT string_agg(s::VARCHAR, ',' ORDER BY s) FROM (SELECT DISTINCT user_id % 30 AS s FROM events) WHERE s NOT BETWEEN 1 AND 15), '') AS "foreign" """
+)
+def protocol_foreign_subjects(spark, sf_dir):
+    """Subjects that belong to another split, as the audit lists them."""
+    rows = K.table(spark, sf_dir, "events").select((F.col("user_id") % 30).cast("string").alias("subject_id"), F.lit("train").alias("split"), F.lit(1).alias("label"))
+    return audit.protocol_audit(rows).filter("split = 'train'").select("split", "missing", "foreign")
