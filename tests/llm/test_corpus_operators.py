@@ -433,6 +433,26 @@ def test_katz_trigrams(spark, docs, rows, least):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
 
 
+def test_katz_does_not_depend_on_groups_or_kind_of_id(spark, docs, monkeypatch):
+    held = F.col("doc_id") % 7 == 2
+    key = lambda r: (str(r[0]), r[2], r[6])
+    want = sorted((tuple(r) for r in katz.score(docs, held, least=5, order=3).collect()), key=key)
+    monkeypatch.setattr(katz, "GROUP_BYTES", 4000)
+    found = sorted((tuple(r) for r in katz.score(docs.withColumn("name", F.concat(F.lit("n"), "doc_id")), held, id="name", least=5, order=3).collect()), key=lambda r: ((str(r[0]).removeprefix("n") if r[0] else "None"), r[2], r[6]))
+    assert len(found) == len(want)
+    for a, b in zip(found, want, strict=True):
+        assert a[1:5] == b[1:5] and a[5:] == pytest.approx(b[5:], abs=1e-9) and (a[0] or "nNone") == f"n{b[0]}"
+
+
+def test_katz_orders_keys_that_differ_in_low_bits():
+    rng = np.random.default_rng(33)
+    for n in (0, 1, 5, 3000):
+        keys = rng.integers(0, 8, n, np.uint64) << np.uint64(61) | rng.integers(0, 4, n, np.uint64)
+        assert katz._order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        at, of = katz._distinct(keys)
+        assert keys[at].tolist() == np.unique(keys).tolist() and (keys[at][of] == keys).all()
+
+
 # --- decontamination ---------------------------------------------------------
 
 
