@@ -4,6 +4,7 @@ holds nulls, empty and long texts, copies, ties, repeated rows and odd columns."
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -577,6 +578,9 @@ def test_leaks_with_ids_that_are_null_or_text(spark):
         ("<article>open", "open"),
         ('<main class="menu-open"><div class="entry-header"><h1>T</h1>meta</div>x<article class="comment">c</article></main>', "T x"),
         ('<p title="a > b">t</p>', "t"),
+        ('<p title="a > b>t</p><b>u', "b>t u"),
+        ('<article><p class="share-price">9 euro</p><div class="entry post-comments-open">x</div><div class="post-comments">c</div><div id="shareBar">s</div></article>', "9 euro x"),
+        ("<article>a <math><mi>x</mi></math> <object>o</object></article>", "a x o"),
     ],
 )
 def test_page_text(html, text):
@@ -619,6 +623,16 @@ def test_template_lines_inside_content_go(spark):
         assert all("quote" in out[100 + k] for k in range(2)) and all(len(out[200 + k].split()) == 82 for k in range(5))
 
 
+def test_pages_with_unclosed_quotes_are_read_in_linear_time():
+    took = []
+    for n in (2000, 16_000):
+        page = "<article>" + "<p class='a\">word " * n + "</article>"
+        began = time.perf_counter()
+        assert html_text.lines(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
 def test_common_lines_is_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):

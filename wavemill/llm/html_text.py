@@ -52,11 +52,13 @@ MATCHES = 2_000_000
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it ends at their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object".split())
-DROP = frozenset("nav footer aside form button select textarea script style title head iframe noscript noembed noframes template svg math object menu dialog label input".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+DROP = frozenset("nav footer aside form button select textarea script style title head iframe noscript noembed noframes template svg menu dialog label input".split())
 CONTENT = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Parts of a class, id or role that declare an element to be no content.
+#: Parts of a class, id or role that declare an element to be no content, if
+#: nothing else is in that name but these and NEUTRAL ones: a "share-price" is
+#: none, nor is "post-comments-open".
 DROP_PARTS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices overlay paywall popup promo promoted promotion related reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
@@ -64,7 +66,13 @@ DROP_PARTS = frozenset(
 #: more of the page around it.
 CONTENT_PARTS = frozenset("ad ads advert advertisement comment comments promo promoted related reply sponsored".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
+NEUTRAL = frozenset(
+    "area article articles bar bars block blocks bottom box boxes button buttons col column container entry global group icon icons inner item items left link links list lists media outer page post posts primary right row secondary section sections signup site slot stories story top unit wrap wrapper zone".split()
+)
+_KNOWN = DROP_PARTS | NEUTRAL | {"header"}
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -72,8 +80,32 @@ _CLOSES_P = BLOCK - {"br", "option", "legend"}
 
 
 def _named(attributes: str) -> set[str]:
-    """The parts of an element's class, id and role, in lower case."""
-    return {x.lower() for m in _NAMED.finditer(attributes) for x in _PARTS.findall(m[2] or m[3] or m[4] or "")}
+    """The parts of those names in an element's class, id and role, in lower
+    case, of which all parts are known."""
+    out: set[str] = set()
+    for m in _NAMED.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = {x.lower() for x in _PARTS.findall(name)}
+            if parts <= _KNOWN:
+                out |= parts
+    return out
+
+
+def _attributes(html: str, at: int) -> tuple[str, int]:
+    """The attributes of a tag from ``at`` on, and where the tag ends.
+
+    A > in quotes is no end, unless the quote is never closed.
+    """
+    i = at
+    while m := _STOP.search(html, i):
+        if m[0] == ">":
+            return html[at : m.start()], m.end()
+        close = html.find(m[0], m.end())
+        if close < 0:
+            end = html.find(">", at)
+            return (html[at:end], end + 1) if end >= 0 else (html[at:], len(html))
+        i = close + 1
+    return html[at:], len(html)
 
 
 def _declared(tag: str, attributes: str) -> bool:
@@ -127,17 +159,17 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
+        attributes, at = _attributes(html, at)
         if tag in BLOCK:
             flush()
-        if m[1] or m[4]:
+        if m[1]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if k >= 0:
                 pop(k)
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else len(html)
