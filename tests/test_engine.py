@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill import schema
+from wavemill import config, schema
 from wavemill.functions import names, signals
 from wavemill.operators import audit, experiments, layout, ranking, sidecars, spectral, windows
 
@@ -217,3 +217,118 @@ def test_validation(spark):
     assert errors[1].startswith("channel mask") and errors[2] == "signal has no samples" and errors[5] == "split is unknown" and errors[7] == "signal is not finite"
     with pytest.raises(Exception, match="split is unknown"):
         schema.validate(frame.filter("k = 5"), strict=True).collect()
+
+
+def test_leakage_and_missing_subjects(spark):
+    rows = spark.createDataFrame([("a", "train"), ("a", "train"), ("b", "train"), ("b", "test"), (None, "val"), ("c", None)], "k string, split string")
+    assert [tuple(r) for r in audit.leakage(rows, "k").collect()] == [("b", 2, 2)]
+    manifest = [(f"sub-{k:02d}", "train" if k <= 15 else "val" if k <= 20 else "test", k % 2) for k in range(1, 26) if k != 7] + [("sub-03", "val", 2)]
+    found = {r.split: r for r in audit.protocol_audit(spark.createDataFrame(manifest, "subject_id string, split string, label int")).collect()}
+    assert (found["train"].missing, found["train"].foreign, found["train"].ok) == ("7", "", False)
+    assert (found["val"].missing, found["val"].foreign, found["val"].not_binary) == ("", "3", 1) and found["test"].ok
+
+
+def manifest_rows(spark, change=lambda k, row: row):
+    rows = []
+    for k in range(50):
+        s = k % 25 + 1
+        row = {"sample_id": f"w{k}", "dataset_id": "shu-mi", "subject_id": f"sub-{s:03d}", "split": "train" if s <= 15 else "val" if s <= 20 else "test", "label": k // 25, "num_channels": 32, "num_samples": 800}
+        row = change(k, row)
+        if row:
+            rows.append(tuple(row.values()))
+    return spark.createDataFrame(rows, "sample_id string, dataset_id string, subject_id string, split string, label int, num_channels int, num_samples int")
+
+
+def test_protocol_report(spark, monkeypatch):
+    found = audit.protocol_report(manifest_rows(spark))
+    assert found["warnings"] == ["the protocol has 11,988 examples; the manifest has 50"] and found["subjects_complete"] and not found["paper_ready"]
+    monkeypatch.setattr(audit, "PAPER_EXAMPLES", 50)
+    assert audit.protocol_report(manifest_rows(spark), strict=True)["paper_ready"]
+    partly = manifest_rows(spark, lambda k, r: None if r["subject_id"] == "sub-016" else r | {"label": 0 if r["split"] == "val" else r["label"]})
+    one = ["Split val is missing subjects [16]", "Split val does not contain both classes"]
+    assert audit.protocol_report(partly)["warnings"][:2] == one and audit.protocol_report(partly, classes_first=True)["warnings"][:2] == one[::-1]
+    for what, change in (
+        ("not of dataset", {"dataset_id": "x"}),
+        ("occur twice", {"sample_id": "w1"}),
+        ("differ in shape", {"num_samples": 3}),
+        ("belong elsewhere", {"subject_id": "sub-025"}),
+        ("not binary", {"label": None}),
+        ("no valid split", {"split": "dev"}),
+    ):
+        with pytest.raises(ValueError, match=what):
+            audit.protocol_report(manifest_rows(spark, lambda k, r, c=change: r | c if k == 0 else r))
+    with pytest.raises(ValueError, match="empty"):
+        audit.protocol_report(manifest_rows(spark).limit(0))
+    with pytest.raises(ValueError, match="not met"):
+        audit.protocol_report(partly, strict=True)
+
+
+def test_configuration_rules(spark, tmp_path):
+    good = {"data": {"backend": "arrow"}, "model": {"name": "m", "width": 3}, "training": {}}
+    assert config.from_mapping(good).model.options == {"width": 3} and len(config.RULES) == 17
+    for section, change in (
+        ("model", {"num_classes": 3}),
+        ("data", {"backend": "csv"}),
+        ("data", {"batch_size": 0}),
+        ("training", {"epochs": 0}),
+        ("training", {"patience": 0}),
+        ("training", {"lr": 0}),
+        ("training", {"head_lr": -1}),
+        ("training", {"label_smoothing": 1}),
+        ("training", {"weight_decay": -1}),
+        ("training", {"optimizer": "sgd"}),
+        ("training", {"scheduler": "x"}),
+        ("training", {"scheduler_interval": "x"}),
+        ("training", {"min_lr": -1}),
+        ("training", {"lr_decay_epoch": 0}),
+        ("training", {"lr_decay_gamma": 0}),
+        ("model", {"window_seconds": 0.0033}),
+        ("model", {"patches": True, "window_seconds": 0.5}),
+    ):
+        with pytest.raises(ValueError):
+            config.from_mapping(good | {section: good[section] | change})
+    with pytest.raises(ValueError, match="mapping"):
+        config.from_mapping([])
+
+
+def test_bounded_shuffle_yields_each_row_once(spark):
+    rows = spark.range(0, 1000, 1, 3)
+    for size in (1, 7, 5000):
+        out = layout.bounded_shuffle(rows, 1, 0, size).withColumn("part", F.spark_partition_id()).collect()
+        assert sorted(r.id for r in out) == list(range(1000))
+        for part in range(3):
+            own = sorted((r.position, r.id) for r in out if r.part == part)
+            assert [p for p, _ in own] == list(range(len(own)))
+            assert ([i for _, i in own] == sorted(i for _, i in own)) == (size == 1)
+    again = layout.bounded_shuffle(rows, 1, 0, 7)
+    assert again.collect() == layout.bounded_shuffle(rows, 1, 0, 7).collect() != layout.bounded_shuffle(rows, 1, 1, 7).collect()
+
+
+@pytest.mark.parametrize("bins", [1, 4, 1024])
+def test_ranking_metrics_over_bins(spark, bins, monkeypatch):
+    monkeypatch.setattr(ranking, "BINS", bins)
+    rng = np.random.default_rng(6)
+    rows = [("g" if k % 3 else None, float(np.round(rng.normal(), 1)), int(rng.integers(2))) for k in range(300)]
+    out = {r.by: r for r in ranking.ranking_metrics(spark.createDataFrame(rows, "by string, score double, label int"), "score", "label", ["by"]).collect()}
+    for by in ("g", None):
+        own = [(s, y) for b, s, y in rows if b == by]
+        ones, zeros = [s for s, y in own if y], [s for s, y in own if not y]
+        assert out[by].auroc == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros]))
+        precision, recall, points = [1.0], [0.0], sorted({s for s, _ in own}, reverse=True)
+        for at in points:
+            tp = sum(s >= at for s in ones)
+            precision.append(tp / sum(s >= at for s, _ in own))
+            recall.append(tp / len(ones))
+        assert out[by].average_precision == pytest.approx(sum((r - q) * p for p, r, q in zip(precision[1:], recall[1:], recall, strict=False)))
+        assert out[by].auprc == pytest.approx(np.trapezoid(precision, recall))
+
+
+def test_correlations_with_gaps(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 3)) + rng.normal(size=(200, 1))
+    rows = [(k, c, float(x[k, c])) for k in range(200) for c in range(3) if (k + c) % 5]
+    out = {(r.channel_a, r.channel_b): r.correlation for r in spectral.channel_correlation(spark.createDataFrame(rows, "k long, c int, v double").repartition(5), ["k"], "c", "v").collect()}
+    assert len(out) == 6
+    for (a, b), value in out.items():
+        both = [k for k in range(200) if (k + a) % 5 and (k + b) % 5]
+        assert value == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1])

@@ -145,7 +145,7 @@ def bounded_shuffle(rows: DataFrame, seed: int, epoch: int, size: int) -> DataFr
 
     A row of the stream takes the place of one in the buffer, which goes out;
     at the end the buffer goes out in a random order.  Every row goes out once,
-    and no more than ``size`` are held.  Draws are by seed, epoch and partition.
+    and a buffer of one changes nothing.  Draws are by seed, epoch and partition.
     """
     if size < 1:
         raise ValueError("the buffer must hold at least one row")
@@ -166,7 +166,7 @@ def bounded_shuffle(rows: DataFrame, seed: int, epoch: int, size: int) -> DataFr
                 block = pa.Table.from_batches([batch.slice(low, size)])
                 both = block if held is None else pa.concat_tables([held, block])
                 goes = max(0, both.num_rows - size)
-                order = rng.permutation(both.num_rows)
+                order = rng.permutation(both.num_rows) if size > 1 else np.arange(both.num_rows)
                 yield from out(both.take(order[:goes]))
                 held = both.take(order[goes:])
         if held is not None:
