@@ -191,9 +191,25 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _pairs(rows: pa.Table, cuts: np.ndarray, depth: int, deepest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates (positions of both) that units compare at this depth, by row."""
     labels, tree, block = _matrix(rows["labels"]), rows["tree"].to_numpy(), rows["block"].to_numpy()
+    by_tree = np.ascontiguousarray(labels.T)
     across = rows["i"].to_numpy() != rows["j"].to_numpy()
     counts = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(rows.num_rows) - 1
     total = np.cumsum(counts)
+
+    def apart(a: np.ndarray, b: np.ndarray, d: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that share no d values in any tree (below their own, if given).
+
+        Alike classes part ways with the first trees, so few are left for the others."""
+        for t in range(len(by_tree)):
+            shared = (by_tree[t][a] ^ by_tree[t][b]) >> np.uint64(64 - 8 * d) == 0
+            if below is not None:
+                shared &= below[a] > t
+            if shared.any():
+                a, b = a[~shared], b[~shared]
+            if not len(a):
+                break
+        return a, b
+
     low = 0
     while low < len(counts):
         high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
@@ -201,14 +217,11 @@ def _pairs(rows: pa.Table, cuts: np.ndarray, depth: int, deepest: bool) -> Itera
         b = a + 1 + C.runs(counts[low:high])
         low = high
         meet = ~across[a] | (block[a] != block[b])
-        a, b = a[meet], b[meet]
-        differ = labels[a] ^ labels[b]
-        shared = differ >> np.uint64(64 - 8 * depth) == 0 if depth < 8 else differ == 0
-        own = shared.argmax(1) == tree[a]
+        a, b = apart(a[meet], b[meet], depth, tree)
         if not deepest:
-            own &= ~((differ >> np.uint64(64 - 8 * (depth + 1)) == 0 if depth < 7 else differ == 0).any(1))
-        own[own] = (differ[own].view(np.uint8).reshape(-1, 8 * labels.shape[1]) == 0).mean(1) >= ALIKE
-        yield a[own], b[own]
+            a, b = apart(a, b, depth + 1, None)
+        alike = ((labels[a] ^ labels[b]).view(np.uint8).reshape(-1, 8 * labels.shape[1]) == 0).mean(1) >= ALIKE
+        yield a[alike], b[alike]
 
 
 def _candidates(units: DataFrame, depth: int, deepest: bool) -> DataFrame:
