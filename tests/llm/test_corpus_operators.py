@@ -266,6 +266,13 @@ def test_substring_dedup_without_broadcast(spark, docs, monkeypatch):
     assert sorted(first, key=key) == sorted(substrings.remove_repeats(docs).collect(), key=key)
 
 
+def test_ids_and_kept_columns_that_cannot_be_are_refused(docs):
+    with pytest.raises(ValueError, match="whole numbers"):
+        substrings.remove_repeats(docs, id="kept")
+    with pytest.raises(ValueError, match="names of measures"):
+        quality_rules.measurements(docs.withColumnRenamed("g", "n_words"), keep=("doc_id", "n_words"))
+
+
 # --- near duplicates ---------------------------------------------------------
 
 

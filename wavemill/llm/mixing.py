@@ -21,8 +21,10 @@ depend on counts only, so reruns and other partitionings agree.
 
 Equal rows (id, source and size) are one unit with a multiplicity and get the
 same copies.  Documents of size 0 get the whole part of their copies and take
-no words.  A null source is a source of its own, last in order.  A null text
-has size 0.  No documents give no rows.
+no words.  (So a source that is mostly one row, repeated, can be off by that
+row's words.)  A null source is a source of its own, last in order.  A null text
+has size 0.  No documents give no rows.  A very long text is one document, and
+settled first.
 """
 
 from __future__ import annotations

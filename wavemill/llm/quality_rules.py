@@ -11,7 +11,9 @@ a lost task is simply run again.  The 8-word windows of a document are compared
 by 64-bit hashes within that document.
 
 Null texts count as empty (no words).  Repeated rows are judged one by one.
-Extra columns of the input are not carried unless named in ``keep``.
+Extra columns of the input are not carried unless named in ``keep``; a kept
+column with the name of a measure is an error.  No documents give no rows.  A
+very long text is handled whole, by itself.
 """
 
 from __future__ import annotations
@@ -119,6 +121,8 @@ def _lines(buf: np.ndarray, offs: np.ndarray, words: C.Words) -> tuple[np.ndarra
 
 def measurements(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and each document's measures."""
+    if clash := {k.lower() for k in keep} & {*MEASURES, "fail_bits"}:
+        raise ValueError(f"kept columns have names of measures: {sorted(clash)}")
     kept = docs.select(*[F.col(k) for k in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

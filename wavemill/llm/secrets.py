@@ -17,18 +17,20 @@ base64.  So false discoveries are controlled in strata of encoding (single case
 or base64) and length against decoys of the candidates' own kind: the words, names, numbers and dates
 of a document, but no candidates, run together and cut into pieces of each
 length in turn; a piece without a digit has its last one to four characters made
-digits, as names with numbers have.  In each stratum the threshold is the lowest p at which (share of decoys that pass)
-x (candidates) / (candidates that pass) is at most ``FALSE_SHARE``; a stratum
-without such a threshold adds nothing.  Decoys never reach over the end of a
-document, so thresholds do not depend on how rows are batched.  Counts come
-from all documents; what reaches the driver is one row per stratum and grid
-point, whatever the corpus.
+digits, as names with numbers have.  In each stratum, which counts a hundred
+decoys of the other encoding among its own, the threshold is the lowest p at
+which (share of decoys that pass) x (candidates) / (candidates that pass) is at
+most ``FALSE_SHARE``; a stratum without such a threshold adds nothing.  Decoys
+never reach over the end of a document, so thresholds do not depend on how rows
+are batched.  Counts come from all documents; what reaches the driver is one
+row per stratum and grid point, whatever the corpus.
 
 The corpus is read twice, once for the counts and once for the spans.  Nothing
 but the counts is shuffled, and no state is kept between tasks.
 
 Null texts count as empty and have no spans.  Spans are code points, end
-exclusive.  An added span never overlaps a base span.
+exclusive.  An added span never overlaps a base span.  Without decoys, as in an
+empty table, nothing is added.  A very long text is handled whole, by itself.
 """
 
 from __future__ import annotations

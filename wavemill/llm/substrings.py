@@ -26,7 +26,9 @@ that all documents are.
 
 Null texts are empty.  A null id is not smaller than any other, nor any other
 smaller than it: nothing of such a row goes.  Rows of equal id do not remove
-each other's words; rows of equal id and text come out alike.
+each other's words; rows of equal id and text come out alike.  Ids are whole
+numbers, as the least keeps a passage; a column of another type is an error.
+No documents give no rows.  A very long text is handled whole, by itself.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -253,6 +256,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     """``id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (the
     kept words joined by one space; null unless ``with_text``) of every row."""
     spark = docs.sparkSession
+    kind = docs.select(id).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"ids must be whole numbers, not {kind.simpleString()}")
     buckets = C.partitions(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), C.text_of(text).alias("text"))
     hits = C.durable(_anchors(docs, id, text, buckets).groupBy("bucket").applyInArrow(_hits(buckets), _PACKED))
