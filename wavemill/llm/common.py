@@ -8,8 +8,6 @@ and hashes of word n-grams come from whole-array NumPy operations on it.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -189,32 +187,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-def release(spark: SparkSession, rounds: int = 1) -> None:
-    """Asks the driver to collect frames that are no longer used, so that Spark
-    drops their shuffle files now rather than at the next full collection.
-
-    What a first round frees may hold more: large stages ask for two.
-    """
-    for k in range(rounds):
-        if k:
-            time.sleep(0.5)
-        gc.collect()
-        spark._jvm.System.gc()
+#: Drops the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder.
 
-    Cuts the lineage, and survives the loss of executors.  Shuffle files of
-    what was made durable before go when their frames are collected; that is
-    asked for here, as the driver alone may not collect for long.
+    Cuts the lineage, and survives the loss of executors.  The shuffle files it
+    took are dropped as soon as it is kept, as nothing can ask for them again.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    kept = df.checkpoint()
-    release(df.sparkSession)
-    return kept
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()  # a query is asked how it ends when it is made
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,8 @@ All texts are tokenised whole, once, over NumPy arrays; what moves is packed.
 A history with at least 1/``SHARE`` of all tokens (so at most ``SHARE`` of
 them) and ``LEAST`` occurrences is dealt by n-gram instead, so that no bucket
 has to take all of "the"; the few sums for its alpha are added over buckets.
-A history is 64 bits, and an n-gram 40 bits more within its history.
+A history is 56 bits, and an n-gram 40 bits more within its history.  The
+n-grams of an order move in ``ROUNDS`` turns, each with a part of the buckets.
 
 All tables grow with the corpus and are kept as partitioned, checkpointed
 frames; only counts of counts and the frequent histories reach the driver.
@@ -60,8 +61,13 @@ from .common import unsqueeze as _unpack
 SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
 #: Words of an n-gram in the query; bytes of text to a group.
 ORDER, GROUP_BYTES = 3, 24 << 20
+#: Turns in which n-grams move, so that not all are on the way at once.
+ROUNDS = 2
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
 
+#: The bits of a history's key.
+_HISTORY = ~np.uint64(255)
+
 _DOC_FIELDS = ["ids", "held", "sizes", "codes", "ranks"]
 #: A row of a bucket's words (bucket >= 0), or of a group's documents.
 _FIRST = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), *[(f, pa.binary()) for f in _DOC_FIELDS]])
@@ -219,7 +225,7 @@ def _next(w: np.ndarray, gram: np.ndarray, first: np.ndarray, k: int) -> tuple[n
 def _keys(h: np.ndarray, gram: np.ndarray, heavy: np.ndarray, buckets: int) -> np.ndarray:
     """Where n-grams go: the key of their history, whose high bits say the
     bucket.  A frequent history has a key in each bucket, chosen by n-gram."""
-    keys = C.mix64(h)
+    keys = C.mix64(h) & _HISTORY
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
         often = np.flatnonzero(heavy[at] == h)
@@ -230,7 +236,7 @@ def _keys(h: np.ndarray, gram: np.ndarray, heavy: np.ndarray, buckets: int) -> n
 def _heavy_key(h: np.ndarray, bucket: np.ndarray | int, buckets: int) -> np.ndarray:
     """The key of a frequent history in a bucket."""
     low = (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)
-    return (low // np.uint64(buckets) << np.uint64(32)) + C.mix64(h) // np.uint64(4 * buckets)
+    return (low // np.uint64(buckets) << np.uint64(32)) + C.mix64(h) // np.uint64(4 * buckets) & _HISTORY
 
 
 class _Level:
@@ -295,8 +301,8 @@ class _Group:
             self.log = np.where(self.count > 0, own[level.of], backs[level.of] + self.log)
 
 
-def _send(k: int, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The n-grams of order k of a group, to the buckets."""
+def _send(k: int, turn: int, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The n-grams of order k of a group, to the buckets whose turn it is."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -315,7 +321,7 @@ def _send(k: int, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: li
         w = np.ascontiguousarray(gram[level.first].view(np.uint8).reshape(-1, 8)[:, 3:])
         rows = []
         for b, (i, j, p, q) in enumerate(zip(level.bounds, level.bounds[1:], level.h_bounds, level.h_bounds[1:], strict=False)):
-            if j > i:
+            if j > i and b % ROUNDS == turn:
                 rows.append({"bucket": b, "g": g, "h": _pack(keys[p:q], True), "h_grams": _pack(h_grams[p:q]), "w": w[i:j].tobytes(), "counts": _pack(counts[i:j]), "lower": _pack(lower[i:j]), "above": _pack(above[p:q]), "full": _pack(gram[level.first[i:j][often[i:j]]])})
         return pa.Table.from_pylist(rows, _GRAMS)
 
@@ -413,7 +419,6 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
     groups = buckets = max(C.partitions(spark), -(-size // GROUP_BYTES))
     rows = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     first = C.durable(rows.groupBy("g").applyInArrow(_count_words(buckets), _ddl(_FIRST)))
-    C.release(spark, 2)
     coded = first.filter("bucket < 0").select("g", *_DOC_FIELDS)
     counted = first.filter("bucket >= 0").select(*_WORDS.names)
     words = C.durable(counted.groupBy("bucket").applyInArrow(_sum_words(least), _ddl(_WORDS)))
@@ -430,10 +435,11 @@ def score(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", lea
             often[int(_start(k))] = texts  # as many starts as ends
         heavies.append(np.array(sorted(often), np.uint64))
         heavy, heavy_counts = heavies[-1], np.array([often[x] for x in sorted(often)], np.int64)
-        sent = coded.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send(k, buckets, uni, heavies, ds, alphas), _ddl(_GRAMS))
-        parts = C.durable(sent.groupBy("bucket").applyInArrow(_sum_grams(k, buckets, uni, ds[-1] if ds else None, heavy, heavy_counts, least), _ddl(_ANSWERS)))
-        del sent
-        C.release(spark, 2)
+        parts = None
+        for turn in range(ROUNDS):
+            sent = coded.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send(k, turn, buckets, uni, heavies, ds, alphas), _ddl(_GRAMS))
+            part = C.durable(sent.groupBy("bucket").applyInArrow(_sum_grams(k, buckets, uni, ds[-1] if ds else None, heavy, heavy_counts, least), _ddl(_ANSWERS)))
+            parts = part if parts is None else parts.unionByName(part)
         nr, stats, often = np.zeros(SMALL + 2, np.int64), np.zeros((len(heavy), SMALL + 3)), {}
         for r in parts.filter("g < 0").select("nr", "heavy_h", "heavy_stats", "often").toLocalIterator():
             nr = nr + _unpack(r.nr, np.int64)

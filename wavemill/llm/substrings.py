@@ -255,11 +255,10 @@ def _holders(packed: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """``id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (the
     kept words joined by one space; null unless ``with_text``) of every row."""
-    spark = docs.sparkSession
     kind = docs.select(id).schema[0].dataType
     if not isinstance(kind, T.IntegralType):
         raise ValueError(f"ids must be whole numbers, not {kind.simpleString()}")
-    buckets = C.partitions(spark)
+    buckets = C.partitions(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("id"), C.text_of(text).alias("text"))
     hits = C.durable(_anchors(docs, id, text, buckets).groupBy("bucket").applyInArrow(_hits(buckets), _PACKED))
     holders = C.durable(hits.select("bucket", "ids").groupBy("bucket").applyInArrow(_holders, "id long"))
@@ -271,8 +270,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", with
     some = some.withColumn("bucket", _place_column("id", buckets))
     windows = some.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(buckets), _PACKED)
     repeats = C.durable(windows.groupBy("bucket").applyInArrow(_repeats(buckets), _PACKED))
-    del windows, hits
-    C.release(spark, 2)
     cut = some.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_cut(with_text), _RESULT)
     return cut.unionByName(rest.mapInArrow(_whole(with_text), _RESULT)).withColumnRenamed("id", id)
 
