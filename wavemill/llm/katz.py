@@ -60,7 +60,7 @@ from .common import unsqueeze as _unpack
 
 SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
 #: Words of an n-gram in the query; bytes of text to a group.
-ORDER, GROUP_BYTES = 3, 24 << 20
+ORDER, GROUP_BYTES = 3, 20 << 20
 #: Turns in which n-grams move, so that not all are on the way at once.
 ROUNDS = 2
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
@@ -262,9 +262,10 @@ class _Level:
 
 class _Group:
     """Tokens of a group with what is known of each in every order so far:
-    count, history's count and log10 of alpha, by token."""
+    count and history's count and, if it is to be scored, log10 of its
+    probability, by token."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> None:
+    def __init__(self, docs: pa.Table, answers: pa.Table, scored: bool, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> None:
         row = docs.to_pylist()[0]
         self.ids, self.held, self.sizes = row["ids"], np.frombuffer(row["held"], bool), _unpack(row["sizes"], np.uint32)
         code = _unpack(row["ranks"], np.uint32)[_unpack(row["codes"], np.uint32)]
@@ -272,12 +273,13 @@ class _Group:
         counted = sorted((x["bucket"], x["words"], x["counts"]) for x in answers.filter(pa.array(ks == 1)).select(["bucket", "words", "counts"]).to_pylist())
         words = np.concatenate([_unpack(x[1], np.uint64, True) for x in counted])
         counts = np.concatenate([_unpack(x[2], np.int64) for x in counted])
-        self.w, self.cw = words[code], counts[code]
+        self.w, self.count = words[code], counts[code]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.count, self.above = self.cw, np.full(len(self.w), uni.tokens, np.int64)
-        self.log, self.gram = np.log10(uni.p(counts))[code], self.w
-        del code, words
+        self.above, self.gram = np.full(len(self.w), uni.tokens, np.int64), self.w
+        if scored:
+            self.cw, self.log = self.count, np.log10(uni.p(counts))[code]
+        del code, words, counted
         for k, heavy, d, heavy_alpha in zip(range(2, len(ds) + 2), heavies, ds, alphas, strict=False):
             h, self.gram = _next(self.w, self.gram, self.begins, k)
             level = _Level(h, self.gram, heavy, buckets)
@@ -287,6 +289,8 @@ class _Group:
                 low = level.h_bounds[b]
                 r[level.bounds[b] : level.bounds[b + 1]] = _unpack(x["counts"], np.int64)
                 ch[low : level.h_bounds[b + 1]] = _unpack(x["above"], np.int64)
+                if not scored:
+                    continue
                 la[low + _unpack(x["open_h"], np.int32, True)] = np.log10(alpha(_unpack(x["stats"], np.float64).reshape(-1, SMALL + 3), d))
             if len(heavy):
                 hs = h[level.first[level.hs]]
@@ -295,9 +299,11 @@ class _Group:
                 la[often] = heavy_alpha[at[often]]
             del h
             history = level.history
+            self.count, self.above = r[level.of], ch[history][level.of]
+            if not scored:
+                continue
             own = np.log10(d[np.where(r > SMALL, 0, r)] * np.maximum(r, 1) / np.maximum(ch[history], 1))
             backs = np.where(ch > 0, la, 0)[history]
-            self.count, self.above = r[level.of], ch[history][level.of]
             self.log = np.where(self.count > 0, own[level.of], backs[level.of] + self.log)
 
 
@@ -308,8 +314,9 @@ def _send(k: int, turn: int, buckets: int, uni: Unigrams, heavies: list[np.ndarr
         if not docs.num_rows:
             return _GRAMS.empty_table()
         g = docs["g"][0].as_py()
-        group = _Group(docs, answers, buckets, uni, heavies, ds, alphas)
+        group = _Group(docs, answers, False, buckets, uni, heavies, ds, alphas)
         h, gram = _next(group.w, group.gram, group.begins, k)
+        del group.w, group.gram
         level = _Level(h, gram, heavies[k - 2], buckets)
         del h
         counts = np.bincount(level.of, weights=~group.held[group.doc], minlength=len(level.keys)).astype(np.uint32)
@@ -399,7 +406,7 @@ def _finish(buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        group = _Group(docs, answers, buckets, uni, heavies, ds, alphas)
+        group = _Group(docs, answers, True, buckets, uni, heavies, ds, alphas)
         per_doc = lambda x: np.bincount(group.doc, weights=x, minlength=len(group.held))
         ids = pa.ipc.open_stream(group.ids).read_all()["id"]
         return pa.table({"id": ids, "held_out": pa.array(group.held), "n_tokens": group.sizes.astype(np.int64), "n_known": per_doc(group.cw > 0).astype(np.int64), "base_score": per_doc(uni.base(group.cw)), "score": per_doc(group.log)})
