@@ -43,32 +43,32 @@ _PARSED = "path string, rate double, channel_names array<string>, signal array<a
 _TABLE = "array<map<string,string>>"
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
+def files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, empty: bool = True) -> DataFrame:
     """path, length, modified and, if asked for, content of the files under
     ``root``, in any depth.
 
     Spark's source leaves out files without a byte; those are listed here, so
-    that they are found and fail like other unreadable recordings.
+    that they are found and fail like other unreadable recordings.  For
+    sidecars (``empty=False``) that is not asked.
     """
     columns = ["path", "length", F.col("modificationTime").alias("modified"), *(["content"] if content else [])]
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select(*columns)
-    empty = [(p, 0, None, *([bytearray()] if content else [])) for p in _without_bytes(spark, root) if fnmatch(p.rsplit("/", 1)[-1], pattern)]
-    return found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found
+    if not empty:
+        return found
+    void = [(p, 0, None, *([bytearray()] if content else [])) for p in _without_bytes(spark, root) if fnmatch(p.rsplit("/", 1)[-1], pattern)]
+    return found.unionByName(spark.createDataFrame(void, found.schema)) if void else found
 
 
 def _without_bytes(spark: SparkSession, root: str) -> list[str]:
-    """Paths of zero-byte files, listed once for each root and session."""
-    known = spark.__dict__.setdefault("_wavemill_empty", {})
-    if root not in known:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        store, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
-        listed = store.listFiles(path, True)
-        while listed.hasNext():
-            status = listed.next()
-            if status.getLen() == 0:
-                out.append(status.getPath().toString())
-        known[root] = out
-    return known[root]
+    """Paths of zero-byte files, listed on the driver."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    listed = store.listFiles(path, True)
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -349,9 +349,9 @@ class EdfSource:
 
     def outcomes(self, spark: SparkSession, paths: DataFrame) -> DataFrame:
         events_root = self.events_root or self.root
-        found = files(spark, events_root, "*_events.tsv")
+        found = files(spark, events_root, "*_events.tsv", empty=False)
         if events_root != self.root:
-            found = found.unionByName(files(spark, self.root, "*_events.tsv")).dropDuplicates(["path"])
+            found = found.unionByName(files(spark, self.root, "*_events.tsv", empty=False)).dropDuplicates(["path"])
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(events_root)
         where = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
         beside = sidecars.event_file(paths.select("path", F.lit(where).alias("events_root")), found.select("path")).select("path", "event_path")
@@ -419,11 +419,11 @@ def bids_recordings(spark: SparkSession, root: str, dataset: str = "hbn", paths:
     rows = parse_recordings(contents).join(_few(kept), "path")
     beside = {"_channels.tsv": "channel_rows", "_events.tsv": "event_rows", "_eeg.json": "own_json"}
     for suffix, column in beside.items():
-        at = files(spark, root, f"*{suffix}")
+        at = files(spark, root, f"*{suffix}", empty=False)
         at = at.select("path", F.col("content").cast("string").alias("rows")) if suffix.endswith("json") else tables(at)
         rows = rows.join(at.select(F.col("path").alias("_at"), F.col("rows").alias(column)), sidecars.sidecar(F.col("path"), suffix) == F.col("_at"), "left")
         rows = rows.withColumn("events_path", F.col("_at")).drop("_at") if suffix == "_events.tsv" else rows.drop("_at")
-    task = files(spark, root, "task-*_eeg.json").select(F.regexp_extract("path", r"/task-([^/]*)_eeg\.json$", 1).alias("task"), F.regexp_replace("path", "/[^/]*$", "").alias("_folder"), F.col("content").cast("string").alias("task_json"))
+    task = files(spark, root, "task-*_eeg.json", empty=False).select(F.regexp_extract("path", r"/task-([^/]*)_eeg\.json$", 1).alias("task"), F.regexp_replace("path", "/[^/]*$", "").alias("_folder"), F.col("content").cast("string").alias("task_json"))
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     where = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
     rows = rows.join(task.filter(F.col("_folder") == where).drop("_folder"), "task", "left")
