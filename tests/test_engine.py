@@ -263,32 +263,22 @@ def test_protocol_report(spark, monkeypatch):
         audit.protocol_report(partly, strict=True)
 
 
-def test_configuration_rules(spark, tmp_path):
-    good = {"data": {"backend": "arrow"}, "model": {"name": "m", "width": 3}, "training": {}}
-    assert config.from_mapping(good).model.options == {"width": 3} and len(config.RULES) == 17
-    for section, change in (
-        ("model", {"num_classes": 3}),
-        ("data", {"backend": "csv"}),
-        ("data", {"batch_size": 0}),
-        ("training", {"epochs": 0}),
-        ("training", {"patience": 0}),
-        ("training", {"lr": 0}),
-        ("training", {"head_lr": -1}),
-        ("training", {"label_smoothing": 1}),
-        ("training", {"weight_decay": -1}),
-        ("training", {"optimizer": "sgd"}),
-        ("training", {"scheduler": "x"}),
-        ("training", {"scheduler_interval": "x"}),
-        ("training", {"min_lr": -1}),
-        ("training", {"lr_decay_epoch": 0}),
-        ("training", {"lr_decay_gamma": 0}),
-        ("model", {"window_seconds": 0.0033}),
-        ("model", {"patches": True, "window_seconds": 0.5}),
-    ):
-        with pytest.raises(ValueError):
-            config.from_mapping(good | {section: good[section] | change})
-    with pytest.raises(ValueError, match="mapping"):
-        config.from_mapping([])
+def test_settings(spark, tmp_path):
+    found = config.from_mapping({"training": {"epochs": 3, "lr": 1}, "model": {"width": 3}})
+    assert found["training.epochs"] == 3 and found["training.lr"] == 1.0 and found.ignored == ("model.width",)
+    assert found.section("publish") == {"job_bytes": 64 << 30, "rows_per_batch": 256, "batches_per_shard": 16}
+    assert config.from_mapping({}).values == {k: s.default for k, s in config.SETTINGS.items()}
+    for name, setting in config.SETTINGS.items():
+        section, key = name.split(".")
+        assert setting.read(name, setting.default) == setting.default
+        for bad in ("x", None, True, [], float("nan"), *([setting.low - 1] if setting.low is not None else []), *([setting.low] if setting.above else []), *([setting.high] if setting.high else []), *([1.5] if setting.kind is int else [])):
+            with pytest.raises(ValueError, match=key):
+                config.from_mapping({section: {key: bad}})
+    for bad in ([], None, {"training": 3}):
+        with pytest.raises(ValueError, match="mapping"):
+            config.from_mapping(bad)
+    (tmp_path / "c.yaml").write_text("windows: {seconds: 2}\nother: {a: 1}\n")
+    assert config.load(spark, str(tmp_path / "c.yaml"))["windows.seconds"] == 2.0
 
 
 def test_bounded_shuffle_yields_each_row_once(spark):

@@ -20,13 +20,27 @@ from wavemill.sources import readers
 
 Verb = Callable[[SparkSession, argparse.Namespace], dict]
 
+#: Files that a report lists; all are checked and counted.
+LISTED = 1000
+
 
 def _dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/windows")
 
 
-def _run(spark: SparkSession, args: argparse.Namespace, source: object) -> dict:
-    return harmonize(spark, source, args.output, args.overwrite, args.resume, args.strict, args.job_bytes, rows_per_batch=args.rows_per_batch, batches_per_shard=args.batches_per_shard)
+def _settings(spark: SparkSession, args: argparse.Namespace) -> config.Settings:
+    """The settings of --config, or the defaults."""
+    found = config.load(spark, args.config) if args.config else config.from_mapping({})
+    if found.ignored:
+        print("not read: " + ", ".join(found.ignored))
+    return found
+
+
+def _run(spark: SparkSession, args: argparse.Namespace, source: object, settings: config.Settings | None = None) -> dict:
+    """Options that are given go before settings."""
+    use = (settings or _settings(spark, args)).section("publish")
+    use |= {k: getattr(args, k) for k in use if getattr(args, k) is not None}
+    return harmonize(spark, source, args.output, args.overwrite, args.resume, args.strict, **use)
 
 
 def _mat(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -41,8 +55,10 @@ def _edf(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def _bids(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Harmonizes BIDS recordings into sliding windows."""
-    source = readers.BidsSource(args.input, args.dataset, tuple(args.subjects), tuple(args.tasks), args.limit, args.window, args.stride, _rate(args.rate), args.channel_policy, tuple(args.channels), args.allow_missing)
-    return _run(spark, args, source)
+    settings = _settings(spark, args)
+    window, stride = args.window or settings["windows.seconds"], args.stride or settings["windows.stride"]
+    source = readers.BidsSource(args.input, args.dataset, tuple(args.subjects), tuple(args.tasks), args.limit, window, stride, _rate(args.rate), args.channel_policy, tuple(args.channels), args.allow_missing)
+    return _run(spark, args, source, settings)
 
 
 def _rate(value: str) -> float | str:
@@ -87,17 +103,15 @@ def _audit(spark: SparkSession, args: argparse.Namespace) -> dict:
     return found
 
 
-def _settings(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Iterations and regularization, from a configuration if there is one."""
-    if not args.config:
-        return {}
-    found = config.load(spark, args.config)
-    return {"iterations": found.training.epochs, "regularization": found.training.weight_decay}
+def _fit(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Iterations and regularization of a fit."""
+    use = _settings(spark, args)
+    return {"iterations": use["training.epochs"], "regularization": use["training.weight_decay"]}
 
 
 def _train(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Trains and evaluates; with --output saves the model, metrics and run.json."""
-    rows, settings = _dataset(spark, args.input), _settings(spark, args)
+    rows, settings = _dataset(spark, args.input), _fit(spark, args)
     found = {"metrics": [r.asDict() for r in ml.train_and_evaluate(rows, **settings).collect()]}
     if args.output:
         model = ml.train(ml.features(rows.filter("label is not null")), **settings)
@@ -110,7 +124,7 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def _reproduce(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Runs of several seeds, and how their means differ from published ones."""
-    runs = ml.reproduce(_dataset(spark, args.input), args.seeds, **_settings(spark, args)).cache()
+    runs = ml.reproduce(_dataset(spark, args.input), args.seeds, **_fit(spark, args)).cache()
     summary = experiments.delta_from(experiments.seed_summary(runs, "value", ["metric"]))
     found = {"num_runs": len(args.seeds), "runs": [r.asDict() for r in runs.collect()], "test_aggregate": {r.metric: r.asDict() for r in summary.collect()}}
     if args.output:
@@ -121,11 +135,13 @@ def _reproduce(spark: SparkSession, args: argparse.Namespace) -> dict:
 def _check(spark: SparkSession, args: argparse.Namespace) -> dict:
     """A checkpoint's SHA-256 and, from files that list them a line each, the
     parameters it lacks and those it has beyond the expected ones."""
-    files = [r.asDict() for r in readers.file_hashes(spark, args.input).orderBy("path").limit(1000).collect()]
-    wrong = [f["path"] for f in files if args.sha256 and f["sha256"] != args.sha256]
-    if wrong:
-        raise ValueError(f"checkpoint differs from {args.sha256}: {wrong}")
-    found = {"files": files}
+    hashes = readers.file_hashes(spark, args.input)
+    if args.sha256:  # all files are compared; ten of those that differ are named
+        wrong = hashes.filter(F.col("sha256") != args.sha256)
+        named = [r.path for r in wrong.orderBy("path").limit(10).collect()]
+        if named:
+            raise ValueError(f"{wrong.count()} files differ from {args.sha256}: {named}")
+    found = {"count": hashes.count(), "files": [r.asDict() for r in hashes.orderBy("path").limit(LISTED).collect()]}
     if args.keys and args.expected:
         have = spark.read.text(args.keys).select(names.checkpoint_key(F.col("value")).alias("key"))
         want = spark.read.text(args.expected).select(F.col("value").alias("key"))
@@ -212,9 +228,9 @@ def _common(verb: argparse.ArgumentParser) -> None:
     verb.add_argument("--overwrite", action="store_true")
     verb.add_argument("--resume", action="store_true")
     verb.add_argument("--strict", action="store_true")
-    verb.add_argument("--job-bytes", type=int, default=64 << 30)
-    verb.add_argument("--rows-per-batch", type=int, default=256)
-    verb.add_argument("--batches-per-shard", type=int, default=16)
+    verb.add_argument("--config")
+    for name in ("--job-bytes", "--rows-per-batch", "--batches-per-shard"):
+        verb.add_argument(name, type=int)
 
 
 def _rates(verb: argparse.ArgumentParser) -> None:
@@ -224,6 +240,7 @@ def _rates(verb: argparse.ArgumentParser) -> None:
     verb.add_argument("--channels", type=int, default=32)
 
 
+# The names of the verbs, which existing scripts call.
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="wavemill")
     verbs = out.add_subparsers(dest="verb", required=True)
@@ -250,8 +267,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--subjects", "--tasks", "--channels"):
         verb.add_argument(name, nargs="*", default=())
     verb.add_argument("--limit", type=int)
-    verb.add_argument("--window", type=float, default=4.0)
-    verb.add_argument("--stride", type=float, default=4.0)
+    verb.add_argument("--window", type=float)
+    verb.add_argument("--stride", type=float)
     verb.add_argument("--rate", default="auto")
     verb.add_argument("--channel-policy", choices=("preserve", "select"), default="preserve")
     verb.add_argument("--allow-missing", action="store_true")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Entity keys of file names, and the subjects of each split.
 ENTITIES = ("sub", "ses", "task", "run", "acq", "recording")
-#: Module names of released checkpoints and what they are called here, in the
-#: order in which they are replaced.
+# Module names of released checkpoints and what they are called
+# here, in the order in which they are replaced.
 CHECKPOINT_KEYS = (
     ("patch_embedding.proj_in.", "patch_embedding.time_projection."),
     ("patch_embedding.spectral_proj.", "patch_embedding.spectral_projection."),

@@ -12,7 +12,7 @@ from wavemill import schema
 from wavemill.operators import experiments
 from wavemill.sinks.publish import Store
 
-#: Headings of metrics in reports.
+# Headings of metrics in reports.
 TITLES = {"balanced_accuracy": "Balanced accuracy", "auprc": "AUC-PR", "auroc": "AUROC"}
 
 
