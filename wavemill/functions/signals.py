@@ -86,6 +86,20 @@ def resample_kernel(points: int, target: int) -> np.ndarray:
     return np.fft.irfft(padded, target, axis=0) * (target / points)
 
 
+def fft_resample(x: np.ndarray, target: int) -> np.ndarray:
+    """The same along the last axis by FFT, for signals too long for a matrix."""
+    points = x.shape[-1]
+    small = min(points, target)
+    spectrum = np.fft.rfft(x, axis=-1)[..., : small // 2 + 1]
+    if small % 2 == 0 and points != target:
+        spectrum[..., small // 2] *= 2.0 if target < points else 0.5
+    return np.fft.irfft(spectrum, target, axis=-1) * (target / points)
+
+
+#: Points from which a signal is resampled by FFT rather than by a matrix.
+LONG = 4096
+
+
 def target_points(points: int, original: float, target: float) -> int:
     """Halves go to the even number."""
     return int(round(points * target / original))
@@ -96,15 +110,8 @@ def resample(original: float, target: float):
 
     @F.pandas_udf("array<array<float>>")
     def run(signals: pd.Series) -> pd.Series:
-        def one(signal):
-            if signal is None:
-                return None
-            x = np.stack([np.asarray(c, np.float64) for c in signal])
-            if np.isclose(original, target):
-                return list(x.astype(np.float32))
-            return list((x @ resample_kernel(x.shape[1], target_points(x.shape[1], original, target)).T).astype(np.float32))
-
-        return signals.map(one)
+        rates = (pd.Series(np.full(len(signals), r)) for r in (original, target))
+        return _resampled(signals, *rates)
 
     return run
 
@@ -118,8 +125,9 @@ def _resampled(values: pd.Series, original: pd.Series, target: pd.Series) -> pd.
     for (channels, points, a, b), rows in alike.items():
         x = np.stack([np.stack(values.iloc[k]) for k in rows]).astype(np.float64)
         if not np.isclose(a, b):
-            # one product for all signals of one shape and rate
-            x = x.reshape(-1, points) @ resample_kernel(points, target_points(points, a, b)).T
+            # one product (or FFT) for all signals of one shape and rate
+            target, x = target_points(points, a, b), x.reshape(-1, points)
+            x = fft_resample(x, target) if max(points, target) >= LONG else x @ resample_kernel(points, target).T
         for k, y in zip(rows, x.reshape(len(rows), channels, -1).astype(np.float32), strict=True):
             out[k] = list(y)
     return pd.Series(out)

@@ -13,23 +13,31 @@ def points(seconds: float | Column, rate: Column) -> Column:
 
 def window_starts(length: Column, size: Column, stride: Column) -> Column:
     """0, stride, ... while a whole window fits; the partial tail is dropped."""
-    return F.when(length >= size, F.sequence(F.lit(0), length - size, stride)).otherwise(F.array().cast("array<int>"))
+    whole = F.sequence(F.lit(0).cast("long"), (length - size).cast("long"), stride.cast("long"))
+    return F.when((length >= size) & (size > 0), F.transform(whole, lambda s: s.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def sliding_windows(recordings: DataFrame, window_seconds: float, stride_seconds: float) -> DataFrame:
-    """One row for each window of each recording (``signal``, array form)."""
+    """One row for each window of each recording (``signal``, array form).
+
+    Windows are cut before rows are made of them, so a row has its window and
+    never the recording; readers cut from files without either (``ranged``).
+    """
     if window_seconds <= 0 or stride_seconds <= 0:
         raise ValueError("window and stride must be positive")
     rate = F.col("sampling_rate_hz").cast("double")
     rows = recordings.withColumn("_size", points(window_seconds, rate)).withColumn("_stride", points(stride_seconds, rate))
-    rows = rows.withColumn("start_index", F.explode(window_starts(F.size(F.col("signal")[0]), F.col("_size"), F.col("_stride"))))
-    cut = F.transform("signal", lambda c: F.slice(c, F.col("start_index") + 1, F.col("_size")))
-    return (
-        rows.withColumn("signal", cut)
-        .withColumn("start_seconds", F.col("start_index") / rate)
-        .withColumn("duration_seconds", F.lit(float(window_seconds)))
-        .withColumn("num_samples", F.col("_size"))
-        .drop("_size", "_stride")
+    starts = window_starts(F.size(F.col("signal")[0]), F.col("_size"), F.col("_stride"))
+    cuts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.transform("signal", lambda c: F.slice(c, s + 1, F.col("_size"))).alias("signal")))
+    rows = rows.withColumn("_cut", cuts).drop("signal").withColumn("_cut", F.explode("_cut"))
+    columns = [c for c in recordings.columns if c != "signal"]
+    return rows.select(
+        *columns,
+        F.col("_cut.signal").alias("signal"),
+        F.col("_cut.start").alias("start_index"),
+        (F.col("_cut.start") / rate).alias("start_seconds"),
+        F.lit(float(window_seconds)).alias("duration_seconds"),
+        F.col("_size").alias("num_samples"),
     )
 
 
@@ -59,11 +67,16 @@ def event_windows(signals: DataFrame, events: DataFrame, key: str, position: str
     ``signals`` has ``key`` and ``signal``; positions count from ``base``.  An
     event that is not wholly inside its recording raises.
     """
-    rows = events.join(signals, key)
-    start, length = F.col(position) - base, F.size(F.col("signal")[0])
-    inside = (start >= 0) & (F.col(duration) > 0) & (start + F.col(duration) <= length)
-    checked = F.when(inside, start).otherwise(F.raise_error(F.lit("event outside its recording")).cast("long"))
-    return rows.withColumn("start_index", checked).withColumn("signal", F.transform("signal", lambda c: F.slice(c, F.col("start_index").cast("int") + 1, F.col(duration).cast("int"))))
+    at = F.struct((F.col(position).cast("long") - base).alias("start"), F.col(duration).cast("long").alias("length"), F.struct(*[c for c in events.columns if c != key]).alias("event"))
+    each = events.groupBy(key).agg(F.collect_list(at).alias("_events"))  # an event is some numbers
+    length = F.size(F.col("signal")[0])
+    inside = lambda e: (e["start"] >= 0) & (e["length"] > 0) & (e["start"] + e["length"] <= length)
+    start = lambda e: F.when(inside(e), e["start"]).otherwise(F.raise_error(F.lit("event outside its recording")).cast("long"))
+    cut = lambda e: F.transform("signal", lambda c: F.slice(c, start(e).cast("int") + 1, e["length"].cast("int")))
+    cuts = F.transform("_events", lambda e: F.struct(start(e).alias("start_index"), cut(e).alias("signal"), e["event"].alias("event")))
+    rows = signals.join(each, key).withColumn("_cuts", cuts).drop("signal", "_events").withColumn("_cut", F.explode("_cuts")).drop("_cuts")
+    own = [c for c in signals.columns if c not in (key, "signal")]
+    return rows.select(key, *[F.col(f"_cut.event.{c}") for c in events.columns if c != key], *own, "_cut.signal", "_cut.start_index")
 
 
 def event_windows_long(indexed: DataFrame, markers: DataFrame, key: str, length: int) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -87,6 +88,31 @@ def read(data: bytes) -> dict[str, object]:
     return out
 
 
+def shapes(fetch: Callable[[int, int], bytes], size: int, head: int = 4096) -> dict[str, tuple[int, ...]]:
+    """The dimensions of each variable, from its first bytes.
+
+    ``fetch(at, n)`` reads ``n`` bytes of the file, which has ``size``.
+    """
+    start = fetch(0, 128)
+    if len(start) < 128 or start[126:128] not in (b"IM", b"MI"):
+        raise ValueError("not a level-5 MAT file")
+    order, at, out = "<" if start[126:128] == b"IM" else ">", 128, {}
+    while at + 8 <= size:
+        kind, length = struct.unpack(order + "II", fetch(at, 8))
+        if at + 8 + length > size:
+            raise ValueError("MAT file ends early")
+        body = fetch(at + 8, min(length, head))
+        if kind == _COMPRESSED:
+            body = zlib.decompressobj().decompress(body, head)[8:]
+        if kind in (_MATRIX, _COMPRESSED):
+            reader = _Reader(body, order)
+            reader.numbers()
+            dims = tuple(int(d) for d in reader.numbers())
+            out[reader.text()] = dims
+        at += 8 + length + (-length % 8 if kind != _COMPRESSED else 0)
+    return out
+
+
 def _tagged(kind: int, body: bytes) -> bytes:
     return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wavemill import schema
 from wavemill.functions import names, signals
 from wavemill.operators import sidecars, windows
-from wavemill.sources import edf, mat5
+from wavemill.sources import edf, mat5, ranged
 
 # Suffixes of recordings, the failures that skip a recording
 # rather than end the job, and the channels of the 32-channel motor-imagery
@@ -127,34 +127,46 @@ def tables(contents: DataFrame) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """What the files of ``root`` hold, without their samples: path, length,
-    channels, rate, samples, duration and any error; for MAT files trials too."""
-
-    def one(path: str, data: bytes) -> tuple:
-        if path.lower().endswith((".edf", ".bdf")):
-            h = edf.header(data)
-            counts = [int(n) for n, label in zip(h["samples"], h["label"], strict=True) if "Annotations" not in label and label != "Status"]
-            return len(counts), max(counts) / h["seconds"], max(counts) * h["records"], None, None, None
-        eeg = mat5.read(data)
-        if "data" in eeg and "labels" in eeg:
-            trials, channels, samples = np.asarray(eeg["data"]).shape
-            return channels, None, samples, trials, None, None
-        eeg = eeg.get("EEG", eeg)
-        channels, samples, rate = (float(np.ravel(eeg[k])[0]) for k in ("nbchan", "pnts", "srate"))
-        return int(channels), rate, int(samples), None, None, None
+    channels, rate, samples, duration and any error; for MAT files trials too.
+
+    Only headers are read, by range: those of EDF and BDF files, the SET file
+    beside its data file, and the first bytes of each variable of a MAT file.
+    A SET file with its samples inside is read whole, as its labels come last.
+    """
+    found = files(spark, root, content=False).filter(names.suffix(F.col("path")).isin(*SUFFIXES, ".mat", ".fdt"))
+    mats = found.filter(names.suffix(F.col("path")) == ".mat").select("path", "length")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, length, data in zip(batch["path"], batch["length"], batch["content"], strict=True):
+            for path, length in zip(batch["path"], batch["length"], strict=True):
                 try:
-                    out.append((path, length, *one(path, bytes(data))))
+                    data = ranged.Bytes(path)
+                    shapes = mat5.shapes(data.read, data.size)
+                    trials, channels, samples = shapes["data"]
+                    out.append((path, length, channels, None, samples, trials, None, None))
                 except SKIPPED as error:
                     out.append((path, length, None, None, None, None, type(error).__name__, str(error)))
             yield pd.DataFrame(out, columns=["path", "length", "channels", "rate", "samples", "trials", "error_type", "error"]).astype({k: "Int64" for k in ("channels", "samples", "trials")})
 
-    rows = files(spark, root).filter(names.suffix(F.col("path")).isin(*SUFFIXES, ".mat")).select("path", "length", "content")
-    found = rows.mapInPandas(run, "path string, length long, channels long, rate double, samples long, trials long, error_type string, error string")
-    return found.withColumn("duration_seconds", F.col("samples") / F.col("rate"))
+    trials = mats.mapInPandas(run, "path string, length long, channels long, rate double, samples long, trials long, error_type string, error string")
+    others = ranged.headers(_with_data_files(spark, root, found.filter(names.suffix(F.col("path")) != ".mat"), "path", "length"))
+    others = others.select("path", "length", F.size("channel_names").cast("long").alias("channels"), "rate", "samples", F.lit(None).cast("long").alias("trials"), "error_type", "error")
+    others = others.withColumn("channels", F.when(F.col("error").isNull(), F.col("channels")))
+    return trials.unionByName(others).withColumn("duration_seconds", F.col("samples") / F.col("rate"))
+
+
+def _with_data_files(spark: SparkSession, root: str, found: DataFrame, *columns: str) -> DataFrame:
+    """Recordings with ``extra``, the path of the data file beside a SET; where
+    tasks cannot open the store, also with the bytes of both."""
+    stem = F.regexp_replace("path", r"(?i)\.(set|fdt)$", "")
+    data = found.filter(F.lower("path").endswith(".fdt")).groupBy(stem.alias("_stem")).agg(F.min("path").alias("extra"))
+    rows = found.filter(names.suffix(F.col("path")).isin(*SUFFIXES)).withColumn("_stem", stem).join(_few(data), "_stem", "left").select(*columns, "extra")
+    if ranged.scheme(root) in ranged.STORES:
+        return rows
+    contents = files(spark, root).select("path", "content")
+    rows = rows.join(contents, "path")
+    return rows.join(contents.select(F.col("path").alias("extra"), F.col("content").alias("more")), "extra", "left")
 
 
 def file_hashes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -355,15 +367,17 @@ class EdfSource:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(events_root)
         where = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
         beside = sidecars.event_file(paths.select("path", F.lit(where).alias("events_root")), found.select("path")).select("path", "event_path")
-        parsed = parse_recordings(_contents(spark, self.root, "*_eeg.edf", paths)).join(_few(beside), "path")
+        chosen = files(spark, self.root, "*_eeg.edf", content=False).join(_few(paths.select("path")), "path", "left_semi")
+        plan = _with_data_files(spark, self.root, chosen, "path")
+        parsed = ranged.headers(plan).join(_few(beside), "path")
         read = tables(found).select(F.col("path").alias("event_path"), F.col("rows").alias("events"))
-        rows = parsed.join(read, "event_path", "left")
+        rows = _with_bytes(parsed.join(read, "event_path", "left"), plan)
         events = F.transform("events", lambda e: e.getItem("sample"))
         number = lambda x: F.rint(x.try_cast("double")).cast("long")
         has = lambda k: F.exists("events", lambda e: F.map_contains_key(e, k))
         position = lambda e: F.when(F.map_contains_key(e, F.lit("sample")), e.getItem("sample")).otherwise(e.getItem("onset"))
         cuts = F.transform("events", lambda e, i: F.struct(i.alias("trial"), (number(position(e)) - 1).alias("start"), number(e.getItem("duration")).alias("length"), number(e.getItem("value")).alias("value"), e.getItem("trial_type").alias("trial_type")))
-        rows = rows.withColumn("cuts", cuts).withColumn("points", F.size(F.col("signal")[0]))
+        rows = rows.withColumn("trials", cuts).withColumnRenamed("samples", "points")
         inside = lambda c: (c["start"] >= 0) & (c["length"] > 0) & (c["start"] + c["length"] <= F.col("points"))
         name = names.file_name(F.col("path"))
         rows = rows.withColumn("subject", names.subject_number(name)).withColumn("session", names.session_number(name))
@@ -373,15 +387,15 @@ class EdfSource:
             (F.col("event_path").isNull(), "FileNotFoundError", F.concat(F.lit("no event file for "), "path")),
             (events.isNull(), "ParserError", F.concat(F.lit("not a table: "), "event_path")),
             ((F.size("events") > 0) & ~(has("duration") & has("value") & (has("sample") | has("onset"))), "ValueError", "events lack duration, value or position"),
-            (F.exists("cuts", lambda c: ~F.coalesce(inside(c), F.lit(False))), "ValueError", "event outside its recording"),
-            (F.exists("cuts", lambda c: ~F.coalesce(sidecars.normalize_label_by_event(c["value"]).isin(0, 1), F.lit(False))), "ValueError", "labels are not binary"),
-            (F.size("cuts") < 1, "ValueError", "recording produced no windows"),
+            (F.exists("trials", lambda c: ~F.coalesce(inside(c), F.lit(False))), "ValueError", "event outside its recording"),
+            (F.exists("trials", lambda c: ~F.coalesce(sidecars.normalize_label_by_event(c["value"]).isin(0, 1), F.lit(False))), "ValueError", "labels are not binary"),
+            (F.size("trials") < 1, "ValueError", "recording produced no windows"),
         )
-        rows = rows.select("*", F.explode(F.when(F.col("error").isNull(), F.col("cuts")).otherwise(F.array(F.lit(None).cast(rows.schema["cuts"].dataType.elementType)))).alias("cut"))
-        cut = F.transform("signal", lambda c: F.slice(c, F.col("cut.start").cast("int") + 1, F.col("cut.length").cast("int")))
         rate = F.col("rate") if self.rate == "auto" else F.lit(float(self.rate))
-        rows = rows.withColumn("signal", F.when(F.col("error").isNull(), cut)).withColumn("to", rate)
-        rows = rows.withColumn("signal", signals.resample_to("signal", "rate", "to"))
+        rows = rows.drop("events").withColumn("to", rate).withColumn("keep", F.sequence(F.lit(0), F.size("channel_names") - 1))
+        good = rows.filter("error is null").withColumn("cuts", F.transform("trials", lambda c: F.struct(c["start"].alias("start"), c["length"].cast("int").alias("length"))))
+        rows = _read_or_failed(good, rows)
+        rows = rows.withColumn("cut", F.get("trials", F.col("cut"))).withColumn("signal", signals.resample_to("signal", "rate", "to"))
         return _outcomes(
             rows,
             sample_id=names.trial_sample_id(self.dataset, F.col("subject"), F.col("session"), F.col("cut.trial")),
@@ -405,18 +419,30 @@ class EdfSource:
         )
 
 
-def bids_recordings(spark: SparkSession, root: str, dataset: str = "hbn", paths: DataFrame | None = None, **chosen: object) -> DataFrame:
-    """Recordings of a BIDS tree: their EEG channels not marked bad, events and
-    the merged JSON of their sidecars; and ``error`` where one cannot be read,
-    has no subject, no EEG channel, or two channels of one name."""
+def _read_or_failed(good: DataFrame, rows: DataFrame, resample: bool = False) -> DataFrame:
+    """The cuts of good recordings with their signals, and one row for each of
+    the others."""
+    read = ranged.read_cuts(good, resample)
+    failed = rows.filter("error is not null").withColumns({"cut": F.lit(None).cast("int"), "start_index": F.lit(None).cast("long"), "signal": F.lit(None).cast("array<array<float>>")})
+    return read.unionByName(failed.select(read.columns))
+
+
+def _with_bytes(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows with the bytes of their files, where tasks cannot open them."""
+    return rows.join(plan.select("path", "content", "more"), "path") if "content" in plan.columns else rows
+
+
+def _bids_plan(spark: SparkSession, root: str, paths: DataFrame | None, chosen: dict[str, object]) -> DataFrame:
+    """BIDS recordings by their headers and sidecars, without a sample: what
+    ``bids_recordings`` tells of each, with ``rate``, ``samples``, ``extra`` and
+    ``keep``, the channels that stay."""
     found = discover_bids(spark, root, **chosen)
     if paths is not None:
         found = found.join(_few(paths.select("path")), "path", "left_semi")
     kept = found.drop("length", "modified")
-    stem = F.regexp_replace("path", r"(?i)_eeg\.(edf|bdf|set|fdt)$", "")
-    wanted = _few(kept.select(stem.alias("_recording")).distinct())
-    contents = files(spark, root, "*_eeg.*").withColumn("_recording", stem).join(wanted, "_recording", "left_semi")
-    rows = parse_recordings(contents).join(_few(kept), "path")
+    listed = files(spark, root, "*_eeg.*", content=False)
+    plan = _with_data_files(spark, root, listed, "path").join(_few(kept.select("path")), "path", "left_semi")
+    rows = ranged.headers(plan).join(_few(kept), "path")
     beside = {"_channels.tsv": "channel_rows", "_events.tsv": "event_rows", "_eeg.json": "own_json"}
     for suffix, column in beside.items():
         at = files(spark, root, f"*{suffix}", empty=False)
@@ -432,7 +458,7 @@ def bids_recordings(spark: SparkSession, root: str, dataset: str = "hbn", paths:
     own = lambda c: F.get(F.filter(stated, lambda r: r.getItem("name") == c), F.lit(0))
     eeg = lambda c: (F.coalesce(F.try_element_at(kinds, F.upper(own(c).getItem("type"))), F.lit("eeg")) == "eeg") & ~F.coalesce(own(c).getItem("status") == "bad", F.lit(False))
     rows = rows.withColumn("_kept", F.filter(F.sequence(F.lit(0), F.size("channel_names") - 1), lambda k: eeg(F.get("channel_names", k))))
-    rows = rows.withColumn("channel_names", F.transform("_kept", lambda k: names.normalize_channel(F.get("channel_names", k)))).withColumn("signal", F.transform("_kept", lambda k: F.get("signal", k)))
+    rows = rows.withColumn("channel_names", F.transform("_kept", lambda k: names.normalize_channel(F.get("channel_names", k))))
     lower = F.transform("channel_names", lambda c: F.lower(c))
     rows = _fail(
         rows,
@@ -444,22 +470,39 @@ def bids_recordings(spark: SparkSession, root: str, dataset: str = "hbn", paths:
     events = sidecars.event_structs(F.coalesce("event_rows", F.array().cast(_TABLE)))
     merged = sidecars.merge_metadata(F.col("task_json"), F.col("own_json"))
     metadata = F.to_json(F.struct(stated.alias("channels"), "events_path", "recording_id", F.map_from_entries(F.array_sort(F.map_entries(merged))).alias("recording_json"), F.col("run").alias("run_id")))
-    return rows.select(
+    told = rows.select(
+        "path",
+        "extra",
         "recording_id",
-        F.lit(dataset).alias("dataset_id"),
         F.concat(F.lit("sub-"), "sub").alias("subject_id"),
         F.concat(F.lit("ses-"), "ses").alias("session_id"),
         F.concat(F.lit("task-"), "task").alias("task"),
         F.col("rate").cast("float").alias("sampling_rate_hz"),
         "channel_names",
-        "signal",
         F.col("path").alias("source_uri"),
         F.regexp_replace(names.suffix(F.col("path")), r"^\.", "").alias("source_format"),
         metadata.alias("metadata_json"),
         events.alias("events"),
+        "rate",
+        "samples",
+        F.col("_kept").alias("keep"),
         "error_type",
         "error",
     )
+    return _with_bytes(told, plan)
+
+
+def bids_recordings(spark: SparkSession, root: str, dataset: str = "hbn", paths: DataFrame | None = None, **chosen: object) -> DataFrame:
+    """Recordings of a BIDS tree: their EEG channels not marked bad, events and
+    the merged JSON of their sidecars; and ``error`` where one cannot be read,
+    has no subject, no EEG channel, or two channels of one name.
+
+    A recording is one row here; ``BidsSource`` cuts windows without that.
+    """
+    rows = _bids_plan(spark, root, paths, chosen).withColumns({"dataset_id": F.lit(dataset), "to": F.col("rate")})
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("samples").cast("int").alias("length")))
+    out = _read_or_failed(rows.filter("error is null").withColumn("cuts", whole), rows)
+    return out.select("recording_id", "dataset_id", "subject_id", "session_id", "task", "sampling_rate_hz", "channel_names", "signal", "source_uri", "source_format", "metadata_json", "events", "error_type", "error")
 
 
 @dataclass(frozen=True)
@@ -499,7 +542,7 @@ class BidsSource:
         return discover_bids(spark, self.root, self.subjects, self.tasks, self.limit)
 
     def outcomes(self, spark: SparkSession, paths: DataFrame) -> DataFrame:
-        rows = bids_recordings(spark, self.root, self.dataset, paths)
+        rows = _bids_plan(spark, self.root, paths, {}).withColumn("dataset_id", F.lit(self.dataset))
         rows = rows.withColumn("channel_mask", F.transform("channel_names", lambda _: F.lit(True)))
         if self.policy == "select":
             asked = F.array(*[names.normalize_channel(F.lit(c)) for c in self.channels])
@@ -507,14 +550,17 @@ class BidsSource:
             missing = F.filter(asked, lambda c: ~F.array_contains(have, F.lower(c)))
             if not self.allow_missing:
                 rows = _fail(rows, (F.size(missing) > 0, "KeyError", F.concat(F.lit("missing channels "), F.array_join(missing, ", "))))
-            rows = rows.withColumns({"signal": signals.select_channels(F.col("signal"), F.col("channel_names"), asked), "channel_mask": signals.channel_mask(F.col("channel_names"), asked), "channel_names": asked})
-        rate = F.col("sampling_rate_hz") if self.rate == "auto" else F.lit(float(self.rate)).cast("float")
-        rows = rows.withColumn("_to", rate).withColumn("signal", signals.resample_to(F.when(F.col("error").isNull(), F.col("signal")), "sampling_rate_hz", "_to")).withColumn("sampling_rate_hz", F.col("_to"))
+            at = F.transform(asked, lambda c: F.coalesce(F.get("keep", F.array_position(have, F.lower(c)).cast("int") - 1), F.lit(-1)))
+            rows = rows.withColumns({"keep": at, "channel_mask": signals.channel_mask(F.col("channel_names"), asked)}).withColumn("channel_names", asked)
+        rate = F.col("rate") if self.rate == "auto" else F.lit(float(self.rate))
+        rows = rows.withColumn("to", rate).withColumn("sampling_rate_hz", rate.cast("float"))
         size, stride = (windows.points(x, F.col("sampling_rate_hz").cast("double")) for x in (self.window, self.stride))
-        starts = windows.window_starts(F.size(F.col("signal")[0]), size, stride)
-        rows = rows.withColumn("_size", size).select("*", F.explode_outer(F.when(F.col("error").isNull(), starts)).alias("start_index"))
-        rows = _fail(rows, (F.col("start_index").isNull(), "ValueError", "recording produced no windows"))
-        rows = rows.withColumn("signal", F.when(F.col("error").isNull(), F.transform("signal", lambda c: F.slice(c, F.col("start_index") + 1, F.col("_size")))))
+        length = F.rint(F.col("samples") * F.col("to") / F.col("rate")).cast("long")
+        starts = windows.window_starts(length, size.cast("long"), stride.cast("long"))
+        rows = rows.withColumn("_size", size).withColumn("_cuts", F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("_size").alias("length"))))
+        rows = _fail(rows, (F.coalesce(F.size("_cuts"), F.lit(0)) < 1, "ValueError", "recording produced no windows"))
+        good = rows.filter("error is null").withColumnRenamed("_cuts", "cuts")
+        rows = _read_or_failed(good, rows.drop("_cuts"), resample=self.rate != "auto")
         return _outcomes(
             rows,
             sample_id=names.window_sample_id(F.col("dataset_id"), F.col("recording_id"), F.col("subject_id"), F.col("session_id"), F.col("task"), F.col("start_index")),
