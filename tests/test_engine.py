@@ -322,3 +322,17 @@ def test_correlations_with_gaps(spark):
     for (a, b), value in out.items():
         both = [k for k in range(200) if (k + a) % 5 and (k + b) % 5]
         assert value == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1])
+
+
+def test_flags_of_a_batch_are_those_of_the_expression(spark):
+    rng = np.random.default_rng(3)
+    rows = [rng.normal(size=(3, 50)).tolist() for _ in range(6)]
+    rows[1][2] = [1.5] * 50
+    rows[2][0][7] = float("nan")
+    rows[3][1][0] = float("inf")
+    rows[4][0][3] = -2001.0
+    rows[5][1][4] = None
+    frame = spark.createDataFrame([(k, r) for k, r in enumerate([*rows, None])], "id int, signal array<array<float>>")
+    got = frame.select("id", signals.quality_flags(F.col("signal")).alias("a"), signals.batch_flags("signal").alias("b")).orderBy("id").collect()
+    assert [r.b for r in got] == [[], ["flat_channel"], ["non_finite", "extreme_amplitude"], ["non_finite", "extreme_amplitude"], ["extreme_amplitude"], ["non_finite", "extreme_amplitude"], None]
+    assert all(r.a == r.b for r in got[:5])

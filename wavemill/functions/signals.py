@@ -6,12 +6,16 @@ Arrow UDFs over whole batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the quality rules.
 FLAT_STD, EXTREME = 1e-6, 2000.0
@@ -23,9 +27,15 @@ def mean(values: Column) -> Column:
     return total / F.size(values)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda mentions is
+    otherwise computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def std_pop(values: Column) -> Column:
-    centre = mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - centre, 2)) / F.size(values))
+    spread = lambda c: F.aggregate(values, F.lit(0.0), lambda a, x: a + (x.cast("double") - c) * (x.cast("double") - c))
+    return F.sqrt(once(mean(values), spread) / F.size(values))
 
 
 def rms(values: Column) -> Column:
@@ -42,13 +52,46 @@ def quality_flags(signal: Column) -> Column:
     return F.filter(flags, lambda f: f.isNotNull())
 
 
+def flags_of_batch(batch: pa.Array) -> pa.Array:
+    """``quality_flags`` of a batch of signals, over its flat values."""
+    channels = batch.flatten()
+    values = pc.fill_null(channels.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths, counts = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (channels, batch))
+    full = np.flatnonzero(lengths)
+
+    def each(x: np.ndarray, starts: np.ndarray, kind: np.ufunc) -> np.ndarray:
+        return kind.reduceat(x, starts) if len(starts) else x[:0]
+
+    def of_windows(x: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(counts), bool), np.flatnonzero(counts)
+        out[some] = each(x, (np.cumsum(counts) - counts)[some], np.logical_or)
+        return out
+
+    starts, n = (np.cumsum(lengths) - lengths)[full], lengths[full]
+    with np.errstate(invalid="ignore", over="ignore"):
+        centre = each(values, starts, np.add) / n
+        spread = np.sqrt(each((values - np.repeat(centre, n)) ** 2, starts, np.add) / n)
+    bad, flat, extreme = (np.zeros(len(lengths), bool) for _ in range(3))
+    bad[full], flat[full] = each(~np.isfinite(values), starts, np.logical_or), spread < FLAT_STD
+    extreme[full] = each(~(np.abs(values) <= EXTREME), starts, np.logical_or)
+    marks = zip(*(of_windows(x).tolist() for x in (bad, flat, extreme)), batch.is_valid().to_pylist(), strict=True)
+    names = ("non_finite", "flat_channel", "extreme_amplitude")
+    return pa.array([[k for k, on in zip(names, m[:3], strict=True) if on] if m[3] else None for m in marks], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def batch_flags(signal: pa.Array) -> pa.Array:
+    """``quality_flags`` where there are millions of samples: without a lambda a sample."""
+    return flags_of_batch(signal)
+
+
 def scale(signal: Column, by: Column) -> Column:
     return F.transform(signal, lambda c: F.transform(c, lambda v: (v / by).cast("float")))
 
 
 def zscore(values: Column, eps: float = 1e-8) -> Column:
-    centre, spread = mean(values), std_pop(values)
-    return F.transform(values, lambda v: (v - centre) / (spread + F.lit(eps)))
+    both = F.struct(mean(values).alias("centre"), (std_pop(values) + F.lit(eps)).alias("spread"))
+    return once(both, lambda b: F.transform(values, lambda v: (v - b["centre"]) / b["spread"]))
 
 
 def select_channels(signal: Column, names: Column, requested: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.functions.signals import once
+
 
 def points(seconds: float | Column, rate: Column) -> Column:
     """Samples in a time span; halves go to the even number."""
@@ -27,8 +29,8 @@ def sliding_windows(recordings: DataFrame, window_seconds: float, stride_seconds
         raise ValueError("window and stride must be positive")
     rate = F.col("sampling_rate_hz").cast("double")
     rows = recordings.withColumn("_size", points(window_seconds, rate)).withColumn("_stride", points(stride_seconds, rate))
-    starts = window_starts(F.size(F.col("signal")[0]), F.col("_size"), F.col("_stride"))
-    cuts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.transform("signal", lambda c: F.slice(c, s + 1, F.col("_size"))).alias("signal")))
+    starts = lambda x: window_starts(F.size(x[0]), F.col("_size"), F.col("_stride"))
+    cuts = once(F.col("signal"), lambda x: F.transform(starts(x), lambda s: F.struct(s.alias("start"), F.transform(x, lambda c: F.slice(c, s + 1, F.col("_size"))).alias("signal"))))
     rows = rows.withColumn("_cut", cuts).drop("signal").withColumn("_cut", F.explode("_cut"))
     columns = [c for c in recordings.columns if c != "signal"]
     return rows.select(
@@ -69,11 +71,10 @@ def event_windows(signals: DataFrame, events: DataFrame, key: str, position: str
     """
     at = F.struct((F.col(position).cast("long") - base).alias("start"), F.col(duration).cast("long").alias("length"), F.struct(*[c for c in events.columns if c != key]).alias("event"))
     each = events.groupBy(key).agg(F.collect_list(at).alias("_events"))  # an event is some numbers
-    length = F.size(F.col("signal")[0])
-    inside = lambda e: (e["start"] >= 0) & (e["length"] > 0) & (e["start"] + e["length"] <= length)
-    start = lambda e: F.when(inside(e), e["start"]).otherwise(F.raise_error(F.lit("event outside its recording")).cast("long"))
-    cut = lambda e: F.transform("signal", lambda c: F.slice(c, start(e).cast("int") + 1, e["length"].cast("int")))
-    cuts = F.transform("_events", lambda e: F.struct(start(e).alias("start_index"), cut(e).alias("signal"), e["event"].alias("event")))
+    inside = lambda x, e: (e["start"] >= 0) & (e["length"] > 0) & (e["start"] + e["length"] <= F.size(x[0]))
+    start = lambda x, e: F.when(inside(x, e), e["start"]).otherwise(F.raise_error(F.lit("event outside its recording")).cast("long"))
+    cut = lambda x, e: F.transform(x, lambda c: F.slice(c, e["start"].cast("int") + 1, e["length"].cast("int")))
+    cuts = once(F.col("signal"), lambda x: F.transform("_events", lambda e: F.struct(start(x, e).alias("start_index"), cut(x, e).alias("signal"), e["event"].alias("event"))))
     rows = signals.join(each, key).withColumn("_cuts", cuts).drop("signal", "_events").withColumn("_cut", F.explode("_cuts")).drop("_cuts")
     own = [c for c in signals.columns if c not in (key, "signal")]
     return rows.select(key, *[F.col(f"_cut.event.{c}") for c in events.columns if c != key], *own, "_cut.signal", "_cut.start_index")

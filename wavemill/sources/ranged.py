@@ -260,7 +260,10 @@ def in_parts(rows: DataFrame, bytes_: int = PART_BYTES) -> DataFrame:
     rows = rows.withColumn("_parts", F.least(parts, F.greatest(F.size("cuts"), F.lit(1)))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     low, high = (F.floor(F.size("cuts") * (F.col("_part") + k) / F.col("_parts")).cast("int") for k in (0, 1))
     rows = rows.withColumn("_first", low).withColumn("cuts", F.slice("cuts", low + 1, high - low))
-    return rows.repartition("path", "_part").drop("_parts", "_part")
+    # a number of tasks is named, or adaptive execution would join rows that are small only until they are read
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "path", "_part").drop("_parts", "_part")
 
 
 def read_cuts(rows: DataFrame, resample: bool = False) -> DataFrame:

@@ -332,7 +332,7 @@ class MatSource:
             source_uri=F.col("path"),
             source_format=F.lit("mat"),
             amplitude_scale=F.lit(self.scale),
-            quality_flags=signals.quality_flags(F.col("signal")),
+            quality_flags=signals.batch_flags(F.col("signal")),
             metadata_json=F.to_json(F.struct("trial_index")),
         )
 
@@ -414,7 +414,7 @@ class EdfSource:
             source_uri=F.col("path"),
             source_format=F.lit("edf"),
             amplitude_scale=F.lit(self.scale),
-            quality_flags=signals.quality_flags(F.col("signal")),
+            quality_flags=signals.batch_flags(F.col("signal")),
             metadata_json=F.to_json(F.struct(F.col("event_path").alias("event_file"), F.col("cut.trial").alias("trial_index"), F.col("cut.trial_type").alias("trial_type"))),
         )
 
@@ -569,5 +569,5 @@ class BidsSource:
             start_seconds=F.col("start_index") / F.col("sampling_rate_hz").cast("double"),
             duration_seconds=F.lit(float(self.window)),
             amplitude_scale=F.lit(1.0),
-            quality_flags=signals.quality_flags(F.col("signal")),
+            quality_flags=signals.batch_flags(F.col("signal")),
         )
