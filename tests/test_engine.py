@@ -294,9 +294,11 @@ def test_bounded_shuffle_yields_each_row_once(spark):
     assert again.collect() == layout.bounded_shuffle(rows, 1, 0, 7).collect() != layout.bounded_shuffle(rows, 1, 1, 7).collect()
 
 
-@pytest.mark.parametrize("bins", [1, 4, 1024])
-def test_ranking_metrics_over_bins(spark, bins, monkeypatch):
-    monkeypatch.setattr(ranking, "BINS", bins)
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_ranking_metrics_over_parts(spark, parts, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", before))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     rng = np.random.default_rng(6)
     rows = [("g" if k % 3 else None, float(np.round(rng.normal(), 1)), int(rng.integers(2))) for k in range(300)]
     out = {r.by: r for r in ranking.ranking_metrics(spark.createDataFrame(rows, "by string, score double, label int"), "score", "label", ["by"]).collect()}

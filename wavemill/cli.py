@@ -183,7 +183,7 @@ def _compare(spark: SparkSession, args: argparse.Namespace) -> dict:
 def _backends(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Two datasets window by window."""
     a, b = (_dataset(spark, p).withColumn("value", F.transform(F.flatten("signal"), lambda v: v.cast("double"))) for p in (args.input, args.other))
-    return {"splits": [r.asDict() for r in audit.parity(a, b, "split", ["sample_id"]).collect()]}
+    return {"splits": [r.asDict() for r in audit.parity(a, b, "split", ["sample_id"], by_key=True).collect()]}
 
 
 def _pass(rows: DataFrame, began: float) -> dict:

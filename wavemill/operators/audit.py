@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import names
+from wavemill.operators import ordered
 
 # What a publication reports of its data.
 PAPER_EXAMPLES, PAPER_CHANNELS, PAPER_POINTS = 11_988, 32, 800
@@ -155,14 +156,23 @@ def source_audit(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def parity(a: DataFrame, b: DataFrame, group: str, order: Sequence[str], value: str = "value", label: str = "label", rtol: float = 1e-6, atol: float = 1e-6) -> DataFrame:
+def parity(a: DataFrame, b: DataFrame, group: str, order: Sequence[str], value: str = "value", label: str = "label", rtol: float = 1e-6, atol: float = 1e-6, by_key: bool = False) -> DataFrame:
     """Two backends compared row by row in the order of each group.
 
-    ``value`` is array<double>; a row missing on one side is a mismatch.
+    ``value`` is array<double>; a row missing on one side is a mismatch.  With
+    ``by_key``, ``order`` names each row and rows of one name are compared;
+    otherwise places in the order are counted over parts of groups, so that a
+    group may be of any size.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    left = a.select(F.col(group), place.alias("_k"), F.col(value).alias("_a"), F.col(label).alias("_la"))
-    right = b.select(F.col(group), place.alias("_k"), F.col(value).alias("_b"), F.col(label).alias("_lb"))
+
+    def side(rows: DataFrame, v: str, lab: str) -> DataFrame:
+        rows = rows.select(group, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(value).alias(v), F.col(label).alias(lab))
+        keys = [f"_o{k}" for k in range(len(order))]
+        if by_key:
+            return rows.select(group, F.struct(*keys).alias("_k"), v, lab)
+        return ordered.ordinals(rows, [group], keys, "_k").drop(*keys)
+
+    left, right = side(a, "_a", "_la"), side(b, "_b", "_lb")
     gap = F.expr("aggregate(zip_with(_a, _b, (x, y) -> abs(x - y)), double(0), (m, d) -> greatest(m, d))")
     far = F.expr(f"exists(zip_with(_a, _b, (x, y) -> coalesce(abs(x - y) > {atol}D + {rtol}D * abs(y), true)), f -> f)")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()

@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavemill.operators import ordered
+
 
 def shard_layout(windows: DataFrame, bundle: str, order: Sequence[str], rows_per_batch: int, batches_per_shard: int) -> DataFrame:
     """``shard``, ``record_batch`` and ``row_in_batch`` within each bundle."""
     if rows_per_batch <= 0 or batches_per_shard <= 0:
         raise ValueError("batch and shard sizes must be positive")
-    k = F.row_number().over(Window.partitionBy(bundle).orderBy(*order)) - 1
-    rows = windows.withColumn("_k", k)
+    rows = ordered.ordinals(windows, [bundle], order, "_k").withColumn("_k", F.col("_k") - 1)
     return (
         rows.withColumn("shard", F.floor(F.col("_k") / (rows_per_batch * batches_per_shard)).cast("int"))
         .withColumn("record_batch", (F.floor(F.col("_k") / rows_per_batch) % batches_per_shard).cast("int"))
@@ -126,7 +127,7 @@ def block_shuffle(rows: DataFrame, seed: int, epoch: int, block: Sequence[str],
 
 def batch_ids(rows: DataFrame, by: Sequence[str], order: Sequence, size: int) -> DataFrame:
     """Batches of ``size`` in order within each group; the last may be short."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
+    return ordered.ordinals(rows, by, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def imbalance(loads: DataFrame, worker: str = "worker", load: str = "bytes") -> DataFrame:

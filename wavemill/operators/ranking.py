@@ -7,14 +7,11 @@ partial aggregation), and only those are ordered.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Bins that the scores of a group are dealt over.
-BINS = 1024
+from wavemill.operators import ordered
 
 
 def sigmoid(logit: Column) -> Column:
@@ -66,29 +63,11 @@ def curve(rows: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> D
     """One row for each score, from the top: tp, fp, precision, recall, and the
     point before it (precision 1 and recall 0 before the first).
 
-    Scores of a group are dealt over ``BINS`` bins from its least to its
-    greatest; only the bins' totals are ordered as a whole, and scores within
-    their bin.
+    Scores are dealt by ranges of a sample, so parts are of about equal size
+    however they are spread; only the parts' totals are ordered as a whole.
     """
     points = rows.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n"))
-    bounds = points.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
-    placed = _beside(points, bounds, by)
-    share = (F.col("score") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    placed = placed.withColumn("_bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int"), F.lit(0))).select(*by, "score", "p", "n", "_bin")
-    whole, order = Window.partitionBy(*[f"_{c}" for c in by]), Window.partitionBy(*[f"_{c}" for c in by]).orderBy(F.col("_k").desc())
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bin").alias("_k")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    totals = totals.select(
-        *[f"_{c}" for c in by],
-        "_k",
-        F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"),
-        F.sum("_p").over(whole).alias("positives"),
-        F.sum("_n").over(whole).alias("negatives"),
-    )
-    upto = Window.partitionBy(*by, "_bin").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = _beside(placed, totals, by, F.col("_bin") == F.col("_k"))
-    found = found.withColumn("tp", F.col("_tp") + F.sum("p").over(upto)).withColumn("fp", F.col("_fp") + F.sum("n").over(upto))
+    found = ordered.running_sums(points, by, [F.col("score").desc()], {"tp": F.col("p"), "fp": F.col("n")}, {"tp": "positives", "fp": "negatives"})
     tp, seen = F.col("tp") - F.col("p"), F.col("tp") + F.col("fp") - F.col("p") - F.col("n")
     return found.select(
         *by,
@@ -100,15 +79,6 @@ def curve(rows: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> D
     )
 
 
-def _beside(rows: DataFrame, few: DataFrame, by: Sequence[str], also: Column | None = None) -> DataFrame:
-    """Rows with those of their group in a frame whose keys have an underscore."""
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + ([] if also is None else [also])
-    if not on:
-        return rows.crossJoin(F.broadcast(few))  # one row
-    both = rows.join(few, reduce(lambda x, y: x & y, on))
-    return both.drop(*[f"_{c}" for c in by])
-
-
 def ranking_metrics(rows: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> DataFrame:
     """auroc (ties count half), auprc (trapezoids) and average_precision."""
     step = F.col("recall") - F.col("recall_before")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **settings: str) -> SparkSession:
@@ -25,6 +25,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
     return builder.getOrCreate()
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the folder of ``spark.checkpoint.dir``,
+    which all executors share (in the warehouse, where that is unset)."""
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        conf = rows.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return rows.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, for functions that run in Python.
 
