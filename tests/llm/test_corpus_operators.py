@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import chat, decontaminate, html_text, katz, mixing, near_duplicates, quality_classifier, quality_rules, secrets, substrings
+from wavemill.llm import chat, common, decontaminate, html_text, katz, mixing, near_duplicates, quality_classifier, quality_rules, secrets, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size int, `g` int, kept string"
@@ -560,6 +561,39 @@ def test_leaks_are_those_of_all_windows(spark, monkeypatch):
     assert len(want) > 50
 
 
+def test_only_the_blocks_name_items(monkeypatch):
+    rng = np.random.default_rng(31)
+    items = [(k, prose(rng, 40, 3000)) for k in range(30)]
+    index = decontaminate.indexes(items)[0]
+    grams = [g for g in (index_grams(f"{prose(rng, 30, 3000)} {t} {prose(rng, 30, 3000)}") for _, t in items)]
+    assert [list(index.leaks(g)) for g in grams] == [[k] for k in range(30)]
+    # without an entry in the blocks nothing is found, whatever the window shares with an item
+    monkeypatch.setattr(index, "blocks", [(np.zeros(1, np.uint16), np.array([0, 0]), np.zeros(0, np.int64))] * decontaminate.BLOCKS)
+    assert [index.leaks(g) for g in grams] == [{}] * 30
+
+
+def index_grams(text):
+    words = decontaminate.words_in(pa.array([text]))
+    return common.grams(words.hashes(), decontaminate.GRAM)
+
+
+def test_recall_of_edited_items():
+    """Items with words changed, in and out, at every similarity from 0.8 on."""
+    rng = np.random.default_rng(33)
+    items = [(k, prose(rng, int(rng.integers(25, 90)), 5000)) for k in range(60)]
+    index, found, there = decontaminate.indexes(items)[0], 0, 0
+    for k in range(400):
+        w = items[k % 60][1].split()
+        for _ in range(int(rng.integers(1, 3))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = prose(rng, 1, 5000).split() if rng.integers(2) else []
+        text = f"{prose(rng, 20, 5000)} {' '.join(w)} {prose(rng, 20, 5000)}"
+        want = leaks_by_hand([text], [items[k % 60]])
+        there += bool(want)
+        found += bool(want) and k % 60 in index.leaks(index_grams(text))
+    assert there > 100 and found >= 0.98 * there
+
+
 def test_leaks_with_ids_that_are_null_or_text(spark):
     rng = np.random.default_rng(22)
     texts = [prose(rng, 40, 3000) for _ in range(3)]

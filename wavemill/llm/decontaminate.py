@@ -19,11 +19,13 @@ of the two bags; ``SIMILARITY`` or more is a leak.  At a similarity of just 0.8
 two sets have a cosine of 0.89, and fingerprints differ in 9.7 bits give or
 take 2.9, so RADIUS misses 1 in 500 there and next to nothing above.
 
-Every item-sized window counts, at whatever offset.  Those that cannot reach
-SIMILARITY are told by an exact bound before they are fingerprinted: the weight
-of a window's 5-grams that the item holds is at least what both share, and must
-be SIMILARITY of the item's.  So a row depends on its document and its item
-alone.
+Every item-sized window counts, at whatever offset.  Windows that can reach
+SIMILARITY with no item at all are not fingerprinted, by an exact bound that
+knows of no item: the weight of a window's 5-grams that the benchmark holds is
+at least what it shares with any item, and must be SIMILARITY of the least item
+of that size.  Of all others the fingerprint is taken, and only the blocks name
+the items that it is compared with.  So a row depends on its document and its
+item alone.
 
 The benchmark is a stated query set: its rows and bytes are counted, and up to
 ``ITEM_ROWS`` items of ``ITEM_BYTES`` are indexed once and broadcast; a larger
@@ -107,14 +109,26 @@ class Index:
         new = np.ones(len(every), bool)
         new[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        #: Each gram of each item once, by gram: which item, how often.
-        self.holder, self.times = owner[at], np.diff(np.append(at, len(every)))
-        self.keys, self.first = np.unique(every[at], return_index=True)
-        self.first = np.append(self.first, len(at))
-        self.weighed, held = counts or (self.keys, np.diff(self.first))
+        # each gram of each item once, by gram: which item, how often
+        holder, times = owner[at], np.diff(np.append(at, len(every)))
+        self.keys, first = np.unique(every[at], return_index=True)
+        n = np.diff(np.append(first, len(at)))
+        self.weighed, held = counts or (self.keys, n)
         self.weights = 1 / held
         self.key_weights = self.weight(self.keys)
-        self.total = np.bincount(self.holder, np.repeat(self.key_weights, np.diff(self.first)) * self.times, len(kept))
+        key = np.repeat(np.arange(len(self.keys)), n)
+        self.total = np.bincount(holder, self.key_weights[key] * times, len(kept))
+        order = np.argsort(holder, kind="stable")
+        cuts = np.searchsorted(holder[order], np.arange(len(kept) + 1))
+        #: The keys of each item, in order, and how often it has them.
+        self.bags = [(key[order[i:j]], times[order[i:j]]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        #: Sizes of items; the least weight that one of a size needs, and that one of it or more does.
+        enough = SIMILARITY * self.total - 1e-9
+        self.lengths, of = np.unique(self.sizes, return_inverse=True)
+        needs = np.full(len(self.lengths), np.inf)
+        np.minimum.at(needs, of, enough)
+        self.by_length = dict(zip(self.lengths.tolist(), needs.tolist(), strict=True))
+        self.least = np.minimum.accumulate(needs[::-1])[::-1]
         self.prints = np.concatenate([_pack((_bits(g) * self.weight(g)[:, None]).sum(0)[None]) for _, g in kept])
         self.blocks = [self._block(b) for b in range(BLOCKS)]
 
@@ -163,50 +177,42 @@ class Index:
         ones the first."""
         best: dict[int, tuple[float, int, int]] = {}
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        pos = np.flatnonzero(self.keys[at] == grams)
-        if not len(pos):
+        known = self.keys[at] == grams
+        own = np.concatenate([[0.0], np.cumsum(np.where(known, self.key_weights[at], 0.0))])
+        if own[-1] < self.least[0]:
             return best
-        key = at[pos]
-        n = self.first[key + 1] - self.first[key]
-        entry = np.repeat(self.first[key], n) + C.runs(n)
-        item, pos, key = self.holder[entry], np.repeat(pos, n), np.repeat(key, n)
-        enough = SIMILARITY * self.total - 1e-9
-        possible = (np.bincount(item, self.key_weights[key], len(self.ids)) >= enough)[item]
-        order = np.flatnonzero(possible)[np.argsort(item[possible], kind="stable")]
-        item, pos, key, entry = item[order], pos[order], key[order], entry[order]
-        cuts = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
-        mine = {int(item[i]): (pos[i:j], key[i:j], entry[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
         weights = np.concatenate([[0.0], np.cumsum(self.weight(grams))])
-        held, starts = {}, defaultdict(list)
-        for k, (p, h, _) in mine.items():
-            size = min(int(self.sizes[k]), len(grams))
-            # sums over windows from the first that has an anchor to the last
-            low, high = max(0, int(p[0]) - size + 1), min(int(p[-1]), len(grams) - size)
-            total = np.zeros(high - low + size + 1)
-            np.add.at(total, p - low + 1, self.key_weights[h])
-            total = np.cumsum(total)
-            shared = total[size:] - total[:-size]
-            good = np.flatnonzero(shared >= enough[k])
-            if len(good):
-                held[k] = dict(zip((good + low).tolist(), shared[good].tolist(), strict=True))
-                starts[size].append(good + low)
-        for size, chosen in starts.items():
-            bounds = []
-            for start, k in self._close(grams, np.unique(np.concatenate(chosen)), size):
-                if min(int(self.sizes[k]), len(grams)) == size and start in held.get(k, ()):
-                    own = held[k][start]
-                    bounds.append((-own / (weights[start + size] - weights[start] + self.total[k] - own), start, k))
-            for bound, start, k in sorted(bounds):
+        fits = np.minimum(self.sizes, len(grams))
+        for size in np.unique(np.minimum(self.lengths, len(grams))).tolist():
+            # of this many grams, some must be the benchmark's for any item to be reached
+            held = own[size:] - own[:-size]
+            starts = np.flatnonzero(held >= self.needed(size, len(grams)))
+            if not len(starts):
+                continue
+            found = []
+            for start, k in self._close(grams, starts, size):
+                if fits[k] == size:
+                    both = min(held[start], self.total[k])
+                    found.append((-both / (weights[start + size] - weights[start] + self.total[k] - both), start, k))
+            for bound, start, k in sorted(found):
                 score = best.get(k, (0.0, 0, 0))
                 if -bound < max(SIMILARITY, score[0]) - 1e-9:
                     continue
-                exact = self._similarity(mine[k], start, size, k, weights)
+                exact = self._similarity(at[start : start + size][known[start : start + size]], k, weights[start + size] - weights[start])
                 if exact >= SIMILARITY - 1e-12 and (exact > score[0] + 1e-12 or exact > score[0] - 1e-12 and start < score[1]):
                     best[k] = (exact, start, size)
         return best
 
+    def needed(self, size: int, most: int) -> float:
+        """The least weight that an item compared with windows of ``size`` grams
+        needs of one, in a document of ``most`` grams."""
+        if size < most:
+            return self.by_length[size]
+        return self.least[np.searchsorted(self.lengths, size)]
+
     def _close(self, grams: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        """(start, item) of windows whose fingerprint is near an item's."""
+        """(start, item) of windows whose fingerprint is near an item's: only
+        the blocks name items."""
         i = 0
         while i < len(starts):
             j = int(np.searchsorted(starts, starts[i] + WINDOWS))
@@ -218,13 +224,15 @@ class Index:
             yield from zip(part[at].tolist(), item.tolist(), strict=True)
             i = j
 
-    def _similarity(self, mine: tuple[np.ndarray, np.ndarray, np.ndarray], start: int, size: int, item: int, weights: np.ndarray) -> float:
-        """Exact weighted Jaccard of a window's bag and an item's."""
-        i, j = np.searchsorted(mine[0], (start, start + size))
-        entry, times = np.unique(mine[2][i:j], return_counts=True)
-        key = np.searchsorted(self.first, entry, "right") - 1
-        common = float((np.minimum(times, self.times[entry]) * self.key_weights[key]).sum())
-        return common / (weights[start + size] - weights[start] + self.total[item] - common)
+    def _similarity(self, window: np.ndarray, item: int, weight: float) -> float:
+        """Exact weighted Jaccard of a window's bag, given the keys of it that
+        the benchmark holds and its weight, and an item's."""
+        keys, times = np.unique(window, return_counts=True)
+        own, most = self.bags[item]
+        i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        shared = own[i] == keys
+        common = float((np.minimum(times[shared], most[i[shared]]) * self.key_weights[keys[shared]]).sum())
+        return common / (weight + self.total[item] - common)
 
 
 _FLIPS = {r: _flips(r) for r in set(RADII)}
