@@ -763,3 +763,75 @@ def test_classifier_learns_and_scores_all(spark, docs, empty):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.train(frame, nothing) is None
     assert quality_classifier.score(frame, None).filter("kept and score = 0.5").count() == len(rows)
+
+
+# --- pages, continued --------------------------------------------------------
+
+
+def test_a_form_round_the_page_and_values_that_sound_like_chrome_drop_nothing():
+    shown = lambda html: [x[0] for x in html_text.lines(html) if not x[2]]
+    assert shown("<form><h1>t</h1><article><p>a</p></article></form><form><p>b</p></form>") == ["a"]
+    assert shown('<article><p title="the hidden truth">a</p><p data-note="say class=nav">b</p><h2 id="related">Related work</h2><section id="search">c</section><label>d</label></article>') == ["a", "b", "Related work", "c", "d"]
+    assert shown("<article><form>x<p>y</p></form>z<div class=nav>n</div></article>") == ["z"]
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<div>", "<i>x</u>", "<p><b>", "<p><i></b>", "<form>", "<h1>", "<ul><li>", "</p>"])
+def test_a_megabyte_of_tags_that_match_nothing_is_read_in_linear_time(unit):
+    html = unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    html_text.lines(html + "end")
+    assert time.process_time() - began < 12  # a second or two; quadratic reading takes half an hour
+
+
+def pages_by_hand(pages):
+    """Texts of pages by the rules, over all pages of a host at once.  Lines of a
+    page differ, and lines that pages share have one order, so the longest
+    common subsequence of two pages is what both have."""
+    out, hosts = {}, defaultdict(list)
+    for i, url, html in pages:
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        hosts[host].append((path, i, html_text.lines(html)))
+    for own in hosts.values():
+        own.sort(key=lambda x: x[0])
+        inner = [any(x[1] for x in page[2]) for page in own]
+        opened = [[x[0] for x in page[2] if not x[2] and (x[1] or not inner[k])] for k, page in enumerate(own)]
+        every = [{x[0] for x in page[2]} for page in own]
+        most = lambda k, gone: 2 * sum(len(x) for x in opened[k] if x in gone) > sum(map(len, opened[k]))  # noqa: E731, B023
+        gone, n = [set() for _ in own], len(own)
+        pairs = [(every[k] & every[k + 1]) for k in range(n - 1)]
+        for k in range(n - 1):
+            for page in (k, k + 1):
+                if not inner[page] and not most(page, pairs[k]):
+                    gone[page] |= pairs[k]
+        for k in range(n - 2):
+            through, copies = pairs[k] & pairs[k + 1], any(most(p, pairs[q]) for q in (k, k + 1) for p in (q, q + 1))
+            alone = all(set(opened[p]) - through for p in (k, k + 1, k + 2))
+            for p in (k, k + 1, k + 2):
+                if not copies if inner[p] else alone:
+                    gone[p] |= through
+        for k, page in enumerate(own):
+            if inner[k]:
+                holds = lambda x: 2 * sum(inner[p] and x in opened[p] for p in range(n)) > sum(inner)  # noqa: E731, B023
+                gone[k] = {x for x in gone[k] if holds(x)}
+            out[page[1]] = " ".join(x for x in opened[k] if x not in gone[k])
+    return out
+
+
+@pytest.mark.parametrize("partitions", ["1", "4"])
+def test_whole_texts_of_pages_against_brute_force(spark, partitions, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", before))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rng, pages = np.random.default_rng(17), []
+    for host in range(5):
+        marked, some = host % 2 == 0, [f"passage {host} {k} " + prose(rng, 12) for k in range(3)]
+        for k in range(14):
+            body = [f"{host} {k} {j} " + prose(rng, int(rng.integers(3, 20))) for j in range(int(rng.integers(1, 7)))]
+            body += ["everywhere " + str(host)] * (rng.random() < 0.9) + [p for p in some if rng.random() < 0.3]
+            inner = "".join(f"<p>{x}</p>" for x in body)
+            main = f"<article>{inner}</article>" if marked and rng.random() < 0.8 else f"<div>{inner}</div>"
+            pages.append((len(pages), f"http://h{host}.org/a/{k:02d}", f"<nav>menu {k}</nav><div>top {host}</div>{main}<div>site of {host}</div><footer>f</footer>"))
+    want = pages_by_hand(pages)
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+    assert sum("everywhere" in x for x in want.values()) < 25 and sum("passage" in x for x in want.values()) > 25

@@ -10,9 +10,10 @@ be no content (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) go even where they differ between neighbours, as rotating adverts and
 menus do.  And where a page has an ``<article>`` or ``<main>``, only what is in
 it is content; a line there is template only where the alignments carry it
-through three pages in order and neither pair of them are copies (share most of
-the content of either), as copies of an article and passages that two documents
-quote would otherwise vanish.  Elsewhere a shared line goes at once, unless
+through three pages in order, neither pair of them are copies (share most of
+the content of either), and most pages of the host have it in their content, as
+copies of an article and passages that some documents quote would otherwise
+vanish.  Elsewhere a shared line goes at once, unless
 what is shared is most of the page's text, as in copies; then it goes if it is
 carried through three pages, each of which has text of its own besides.
 
@@ -23,14 +24,16 @@ not depend on the partitioning.  The lines to delete are then joined to the
 pages, broadcast where they are few (counted), else by shuffle.
 
 A null page or one without text gives an empty text; a null URL is a host and
-path of its own.  Equal rows are compared once and each get the result.
+path of its own.  Equal rows are compared once and each get the result.  An empty
+table gives an empty one; other columns are not read.  Text that a page hides is
+text of the page.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from html import unescape
 from itertools import islice
@@ -52,8 +55,8 @@ MATCHES = 2_000_000
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it ends at their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
-DROP = frozenset("nav footer aside form button select textarea script style title head iframe noscript noembed noframes template svg menu dialog label input".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg".split())
+DROP = frozenset("nav footer aside form button select textarea script style title head iframe noembed noframes template svg menu input".split())
 CONTENT = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a class, id or role that declare an element to be no content, if
@@ -73,17 +76,19 @@ _KNOWN = DROP_PARTS | NEUTRAL | {"header"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
 _STOP = re.compile("[>\"']")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_NAMED = re.compile(r"""(?<![^\s"'/])(?:(class|id|role)|[^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = BLOCK - {"br", "option", "legend"}
 
 
-def _named(attributes: str) -> set[str]:
+def _named(attributes: str, ids: bool = True) -> set[str]:
     """The parts of those names in an element's class, id and role, in lower
-    case, of which all parts are known."""
+    case, of which all parts are known.  Attribute values are skipped as they
+    are read, so that only attributes count."""
     out: set[str] = set()
     for m in _NAMED.finditer(attributes):
+        if not m[1] or m[1].lower() == "id" and not ids:
+            continue
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = {x.lower() for x in _PARTS.findall(name)}
             if parts <= _KNOWN:
@@ -114,7 +119,8 @@ def _declared(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    return bool(_named(attributes) & (CONTENT_PARTS if tag in CONTENT else DROP_PARTS) or _HIDDEN.search(attributes))
+    # the id of a heading or section is the anchor of a topic
+    return tag not in HEADING and bool(_named(attributes, tag != "section") & (CONTENT_PARTS if tag in CONTENT else DROP_PARTS))
 
 
 def _is_header(tag: str, attributes: str) -> bool:
@@ -123,11 +129,19 @@ def _is_header(tag: str, attributes: str) -> bool:
 
 
 def lines(html: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in content element, declared to be no content) of each block."""
+    """(text, in content element, declared to be no content) of each block.
+
+    The open elements are counted by name, so an end tag that ends nothing is
+    passed over at once, and one that ends something takes what it closes off
+    the stack: a page is read in time linear in its length.  A form that turns
+    out to hold an ``<article>`` or ``<main>`` is a page in a form, and no form.
+    """
     html, out = html or "", []
     # tag, drops, holds content, whether a header whose headings stay
-    stack: list[tuple[str, bool, bool, bool]] = []
-    drops = holds = headers = 0
+    stack: list[list] = []
+    there: Counter[str] = Counter()
+    forms: list[list] = []
+    drops = holds = headers = headings = 0
     piece: list[str] = []
     state = (False, False)
 
@@ -139,14 +153,23 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
             piece.clear()
 
     def now() -> tuple[bool, bool]:
-        heading = headers and holds and any(x[0] in HEADING for x in stack)
-        return holds > 0, drops > 0 or (headers > 0 and not heading)
+        return holds > 0, drops > 0 or (headers > 0 and not (holds and headings))
 
     def pop(k: int) -> None:
-        nonlocal drops, holds, headers
+        nonlocal drops, holds, headers, headings
         while len(stack) > k:
-            _, a, b, c = stack.pop()
-            drops, holds, headers = drops - a, holds - b, headers - c
+            entry = stack.pop()
+            there[entry[0]] -= 1
+            if forms and forms[-1] is entry:
+                forms.pop()
+            drops, holds, headers, headings = drops - entry[1], holds - entry[2], headers - entry[3], headings - (entry[0] in HEADING)
+
+    def last(tag: str) -> int:
+        """The place of the innermost open element of a name that is open."""
+        k = len(stack) - 1
+        while stack[k][0] != tag:
+            k -= 1
+        return k
 
     at = 0
     while True:
@@ -166,27 +189,30 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0:
-                pop(k)
+            if there[tag]:
+                pop(last(tag))
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else len(html)
             continue
-        if tag in _CLOSES_P or tag == "li":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if (tag in _CLOSES_P or tag == "li") and there["p"]:
+            k = last("p")
+            if not any(x[0] in BLOCK for x in stack[k + 1 :]):
+                pop(k)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         header = _is_header(tag, attributes)
-        entry = (tag, not header and _declared(tag, attributes), tag in CONTENT or bool(re.search(r"""role\s*=\s*["']?main\b""", attributes)), header)
+        entry = [tag, not header and _declared(tag, attributes), tag in CONTENT or bool(re.search(r"""role\s*=\s*["']?main\b""", attributes)), header]
+        if entry[2]:
+            for form in forms:
+                drops, form[1] = drops - form[1], False
+            forms.clear()
         stack.append(entry)
-        drops, holds, headers = drops + entry[1], holds + entry[2], headers + entry[3]
+        there[tag] += 1
+        if tag == "form":
+            forms.append(entry)
+        drops, holds, headers, headings = drops + entry[1], holds + entry[2], headers + entry[3], headings + (tag in HEADING)
     flush()
     return out
 
@@ -297,6 +323,26 @@ def _shared(pages: Iterable[dict]) -> Iterator[tuple[int, list[int]]]:
         x, y, before = y, z, pair
 
 
+def _of_most_pages(found: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Of template lines in content elements, those that most pages of the host
+    have in theirs; others stay.
+
+    Only lines that alignments found are counted, by host and hash.
+    """
+    inner = signatures.filter("inner").select("uid", "host", "hashes", "open")
+    marked = found.join(signatures.select("uid", "host", "inner", "hashes"), "uid")
+    rest = marked.filter("not inner").select("uid", "gone")
+    asked = C.durable(marked.filter("inner").select("uid", "host", F.explode("gone").alias("line"), F.col("hashes")).select("uid", "host", "line", F.get("hashes", F.col("line")).alias("hash")))
+    wanted = asked.select("host", "hash").distinct()
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    each = inner.select("host", F.explode(F.array_distinct(F.transform("open", lambda k: F.get("hashes", k)))).alias("hash"))
+    times = each.join(few, ["host", "hash"], "left_semi").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    pages = inner.groupBy("host").agg(F.count("*").alias("all"))
+    common = times.join(pages, "host").filter(2 * F.col("n") > F.col("all")).select("host", "hash")
+    kept = asked.join(common, ["host", "hash"], "left_semi").groupBy("uid").agg(F.collect_set("line").alias("gone"))
+    return rest.unionByName(kept)
+
+
 _PAIRED = "part int, side int, gap boolean, uid long, host string, hashes array<long>, lengths array<int>, open array<int>, inner boolean, gone array<int>"
 _FOUND = pa.schema([("uid", pa.int64()), ("gone", pa.list_(pa.int32()))])
 _EDGE_FIELDS = ["uid", "host", "hashes", "lengths", "open", "inner"]
@@ -348,7 +394,8 @@ def template_lines(pages: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pylist([{"uid": u, "gone": g} for u, g in _shared(run)], _FOUND)
 
     rows = found.filter("side = -1").select("uid", "gone").unionByName(edges.mapInArrow(across, "uid long, gone array<int>"))
-    return rows.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    rows = rows.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return _of_most_pages(rows, ordered)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
