@@ -300,3 +300,64 @@ def test_signatures_estimate_with_less_variance_than_independent_registers():
         errors.append((a == b).mean() - 40 / 60)
     independent = (40 / 60) * (20 / 60) / size
     assert abs(np.mean(errors)) < 0.01 and np.var(errors) < 0.85 * independent
+
+
+# --- co-training -------------------------------------------------------------
+
+
+def test_bounds_are_by_rank_in_what_the_other_view_allows():
+    from wavemill.llm import quality_classifier as q
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(0, 80))
+        label = rng.integers(0, 2, n)
+        scores, other = np.round(rng.normal(size=n) + label, 1), rng.normal(size=n)
+        low, high = q.bounds(scores, label, other, 0.4, 0.8, 5)
+        for value, bound in ((1, high), (0, low)):
+            ok = [k for k in range(n) if (1 / (1 + np.exp(-other[k])) if value else 1 - 1 / (1 + np.exp(-other[k]))) > 0.4]
+            want = np.inf if value else -np.inf
+            for t in sorted({scores[k] for k in ok}, reverse=not value):
+                beyond = [k for k in ok if (scores[k] >= t if value else scores[k] <= t)]
+                if len(beyond) >= 5 and sum(label[k] == value for k in beyond) >= 0.8 * len(beyond):
+                    want = t
+                    break
+            assert bound == want
+
+
+def test_exchange_counts_what_a_plain_loop_counts(spark):
+    from wavemill.llm import quality_classifier as q
+
+    rng = np.random.default_rng(5)
+    fits = [rng.normal(size=21), rng.normal(size=11)]
+    docs = [[sorted(set(rng.integers(0, size, int(rng.integers(0, 8))).tolist())) for size in (20, 10)] for _ in range(300)]
+    sure = [(-0.7, 0.9), (-np.inf, 0.5)]
+    packed = [tuple(np.array(v, np.int32).tobytes() for v in d) for d in docs]
+    found = q.exchange(spark.createDataFrame(packed, "word binary, meta binary").repartition(4), fits, sure, 0.4)
+    for k in (0, 1):
+        want = np.zeros((2, len(fits[k])))
+        for d in docs:
+            s = [sum(fits[v].astype(np.float32)[c] for c in d[v]) + fits[v].astype(np.float32)[-1] for v in (0, 1)]
+            p = 1 / (1 + np.exp(-s[k]))
+            for value, sees in ((0, s[1 - k] <= sure[1 - k][0] and 1 - p > 0.4), (1, s[1 - k] >= sure[1 - k][1] and p > 0.4)):
+                if sees:
+                    want[value, -1] += 1
+                    want[value, d[k]] += 1
+        assert (found[k].bad == want[0, :-1]).all() and (found[k].good == want[1, :-1]).all() and (found[k].n_bad, found[k].n_good) == tuple(want[:, -1])
+
+
+def test_rounds_are_told_and_end_when_nothing_changes(spark):
+    from wavemill.llm import quality_classifier as q
+
+    rng = np.random.default_rng(9)
+    good = rng.integers(0, 2, 4000)
+    rows = [(k, " ".join(f"{'g' if rng.random() < 0.75 else 'b'}{rng.integers(60)}" if y else f"{'b' if rng.random() < 0.75 else 'g'}{rng.integers(60)}" for _ in range(12)), "web" if (rng.random() < 0.97) == y else "feed", "en") for k, y in enumerate(good.tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, int(good[k]), 0) for k in range(800)], "doc_id long, quality int, toxic int")
+    model = q.train(docs, labels)
+    assert model.rounds and all(t["good"] + t["bad"] > 0 for t in model.rounds[:1])
+    by_round = [model.rounds[i : i + 2] for i in range(0, len(model.rounds), 2)]
+    assert all(any(t["taken"] for t in r) for r in by_round[:-1])  # a round that changes nothing is the last
+    assert all(t["taken"] == (t["loss"] < t["loss_before"]) for t in model.rounds)
+    kept = {r.doc_id: r.kept for r in q.score(docs, model).collect()}
+    assert np.mean([kept[k] == bool(good[k]) for k in range(800, 4000)]) > 0.85

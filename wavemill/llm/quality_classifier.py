@@ -8,19 +8,24 @@ regression, first fitted on labelled documents alone.
 In each round both views label every unlabelled document of the corpus, in one
 distributed pass.  What a view is sure of, and the other is not against, counts
 for the other view: how many such documents of each class there are, and how
-many of them hold each feature, are summed over the corpus.  These counts, with
+many of them hold each feature, are summed over the corpus.  How sure a view
+must be is chosen for each class by itself: labelled documents of a fold of
+their own that the other view is not against are ranked by the view, and the
+bound is the last at which ``PRECISION`` of those beyond it are of the class.  These counts, with
 those of the labelled documents, give each feature a log ratio, and the view is
 fitted again with its weights drawn towards the ratios (the naive-Bayes prior
 of co-training, with a discriminative fit on top).  Together pseudo-labels weigh
-at most as much as labels, and a view takes a new fit only if it explains the
-labelled documents that no fit has seen no worse than the one before.  (The
-metadata cannot see a toxic word, and is sure of many documents that have one;
-so what the other view is against is not passed on.  ``against=0`` is
-co-training without that.)
-
-At the end each view is calibrated (Platt scaling) on labelled documents that
-no fit has seen, and a stacked logistic regression of the two calibrated
-log-odds gives the score.
+at most as much as labels, and a view takes a new fit only if with it both views
+together explain the labelled documents of another fold better; a round in which
+no view does is the last, as the next would be the same.  (The metadata cannot
+see a toxic word, and is sure of many documents that have one; so what the
+other view is against is not passed on.  ``against=0`` is co-training without
+that.)  ``Model.rounds`` tells of each round and view what was passed on and
+whether the fit was taken.
+
+At the end each view is calibrated (Platt scaling) on a third fold, and a
+logistic regression stacked on a fourth gives the score from the two calibrated
+log-odds.  No fold serves twice.
 
 Only the labelled sample is bounded: ``labelled`` documents, those of the least
 hashed ids, of up to ``LABELLED_BYTES`` of packed features, which go to the
@@ -52,8 +57,13 @@ from .decontaminate import words_in
 WORD_BITS, META_BITS = 18, 10
 SEED = 7
 LABELLED, LABELLED_BYTES = 6000, 48 << 20
-#: AGAINST: p of a class below which a view is against it.
-ROUNDS, SURE, AGAINST = 3, 0.98, 0.4
+#: PRECISION, of at least LEAST_SURE documents, that makes a view sure of a
+#: class; AGAINST: p of a class below which a view is against it.
+ROUNDS, PRECISION, LEAST_SURE, AGAINST = 4, 0.98, 8, 0.4
+#: Of FOLDS parts of the labelled documents, those that bounds are chosen on,
+#: fits are accepted on, views are calibrated on and the score is stacked on;
+#: the others are fitted.
+FOLDS, CHOOSE, ACCEPT, CALIBRATE, STACK = 16, 12, 13, 14, 15
 #: Labels up to this many rows are broadcast, others joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -68,6 +78,7 @@ class Model:
     word: np.ndarray
     meta: np.ndarray
     calibration: np.ndarray  # a, b of each view, then intercept and two weights
+    rounds: tuple[dict, ...] = ()
 
     def log_odds(self, word: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, c, d, e, f, g = self.calibration
@@ -229,14 +240,33 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _loss(x: np.ndarray, y: np.ndarray) -> float:
-    """Log loss of scores after their calibration."""
-    a, b = _platt(x[:, None], y, np.array([0.0, 1.0]))
-    p = _sigmoid(a + b * x)
+    """Log loss of scores (a column a view) after their calibration."""
+    w = _platt(x, y, np.append(0.0, np.full(x.shape[1], 0.7)))
+    p = _sigmoid(w[0] + x @ w[1:])
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def exchange(rows: DataFrame, fits: Sequence[np.ndarray], against: float = AGAINST) -> list[Counts]:
-    """For each view, the counts of what the other view is sure of.
+def bounds(scores: np.ndarray, label: np.ndarray, other: np.ndarray, against: float = AGAINST, precision: float = PRECISION, least: int = LEAST_SURE) -> tuple[float, float]:
+    """The scores up to which a view is sure of class 0, and from which of
+    class 1 (infinite where it never is), by rank in those documents of known
+    class that the other view, by its scores, is not against."""
+    out = []
+    for value in (0, 1):
+        p = _sigmoid(other)
+        some = (p if value else 1 - p) > against
+        x, known = (scores if value else -scores)[some], label[some]
+        order = np.argsort(-x, kind="stable")
+        right = np.cumsum(known[order] == value) / np.arange(1, len(x) + 1)
+        # the last of equal scores stands for all of them
+        last = np.append(x[order][1:] != x[order][:-1], True) if len(x) else np.zeros(0, bool)
+        good = np.flatnonzero(last & (right >= precision) & (np.arange(1, len(x) + 1) >= least))
+        at = x[order][good[-1]] if len(good) else np.inf
+        out.append(float(at if value else -at))
+    return out[0], out[1]
+
+
+def exchange(rows: DataFrame, fits: Sequence[np.ndarray], sure: Sequence[tuple[float, float]], against: float = AGAINST) -> list[Counts]:
+    """For each view, the counts of what the other view is ``sure`` of.
 
     ``rows`` are packed features of unlabelled documents.
     """
@@ -248,11 +278,13 @@ def exchange(rows: DataFrame, fits: Sequence[np.ndarray], against: float = AGAIN
         counts = [np.zeros((2, len(w)), np.int64) for w in weights]
         for part in batches:
             views = [_unpacked(part.column(k)) for k in (0, 1)]
-            p = [_sigmoid(np.bincount(row, weights=w[col], minlength=part.num_rows) + w[-1]) for (row, col), w in zip(views, weights, strict=True)]
+            scores = [np.bincount(row, weights=w[col], minlength=part.num_rows) + w[-1] for (row, col), w in zip(views, weights, strict=True)]
             for k, (row, col) in enumerate(views):
+                low, high = sure[1 - k]
+                p = _sigmoid(scores[k])
                 for value in (0, 1):
-                    of = [x if value else 1 - x for x in p]
-                    passed = (of[1 - k] >= SURE) & (of[k] > against)
+                    passed = scores[1 - k] >= high if value else scores[1 - k] <= low
+                    passed &= (p if value else 1 - p) > against
                     counts[k][value, -1] += passed.sum()
                     counts[k][value, :-1] += np.bincount(col[passed[row]], minlength=counts[k].shape[1] - 1)
         for k, both in enumerate(counts):
@@ -272,25 +304,40 @@ def exchange(rows: DataFrame, fits: Sequence[np.ndarray], against: float = AGAIN
 def co_train(word: Sequence[bytes], meta: Sequence[bytes], label: np.ndarray, unlabelled: DataFrame | None, rounds: int = ROUNDS, against: float = AGAINST) -> Model | None:
     """A model from packed features of labelled rows (label 1 or 0) and a frame
     of those of unlabelled ones."""
-    held = np.arange(len(label)) % 4 == 0
-    if min((label[~held] == 1).sum(), (label[~held] == 0).sum(), (label[held] == 1).sum(), (label[held] == 0).sum()) < 2 or min((label == 1).sum(), (label == 0).sum()) < 10:
+    fold = np.arange(len(label)) % FOLDS
+    fitted = fold < min(CHOOSE, ACCEPT, CALIBRATE, STACK)
+    if min((label == 1).sum(), (label == 0).sum()) < 10 or min((label[fitted] == 1).sum(), (label[fitted] == 0).sum()) < 2:
         return None
     views = (_View(word, WORD_BITS, 3, 5.0, 2e-5), _View(meta, META_BITS, 1, 2.0, 1e-4))
-    target, weight = label.astype(float), (~held).astype(float)
+    target, weight = label.astype(float), fitted.astype(float)
     fits = [view.fit(target, weight, None, 400) for view in views]
-    best = [_loss(view.scores(f)[held], target[held]) for view, f in zip(views, fits, strict=True)]
-    for _ in range(rounds if unlabelled is not None else 0):
-        for k, counts in enumerate(exchange(unlabelled, fits, against)):
-            new = views[k].fit(target, weight, counts, 300)
-            loss = _loss(views[k].scores(new)[held], target[held])
-            if loss <= best[k]:
-                fits[k], best[k] = new, loss
-    raw = [view.scores(f)[held] for view, f in zip(views, fits, strict=True)]
-    y = target[held]
-    each = [_platt(r[:, None], y, np.array([0.0, 1.0])) for r in raw]
-    odds = np.column_stack([np.clip(c[0] + c[1] * r, -12, 12) for c, r in zip(each, raw, strict=True)])
-    stacked = _platt(odds, y, np.array([0.0, 1.0, 1.0]))
-    return Model(fits[0].astype(np.float32), fits[1].astype(np.float32), np.array([*each[0], *each[1], *stacked]))
+    chosen, gate = fold == CHOOSE, fold == ACCEPT
+
+    def together(fits: Sequence[np.ndarray]) -> float:
+        """What both views leave unexplained of the labels that accept fits."""
+        return _loss(np.column_stack([view.scores(f)[gate] for view, f in zip(views, fits, strict=True)]), target[gate])
+
+    best = together(fits)
+    told: list[dict] = []
+    for k in range(rounds if unlabelled is not None else 0):
+        seen = [view.scores(f)[chosen] for view, f in zip(views, fits, strict=True)]
+        sure = [bounds(seen[v], label[chosen], seen[1 - v], against) for v in (0, 1)]
+        before = list(fits)
+        for v, counts in enumerate(exchange(unlabelled, before, sure, against)):
+            new = views[v].fit(target, weight, counts, 300) if min(counts.n_good, counts.n_bad) > 0 else fits[v]
+            loss = together([new, fits[1]] if v == 0 else [fits[0], new])
+            taken = bool(loss < best)
+            told.append({"round": k + 1, "view": ("text", "metadata")[v], "good": int(counts.n_good), "bad": int(counts.n_bad), "loss_before": best, "loss": loss, "taken": taken})
+            if taken:
+                fits[v], best = new, loss
+        if not any(t["taken"] for t in told[-2:]):
+            break
+    raw = [view.scores(f) for view, f in zip(views, fits, strict=True)]
+    use, last = fold == CALIBRATE, fold == STACK
+    each = [_platt(r[use, None], target[use], np.array([0.0, 1.0])) for r in raw]
+    odds = np.column_stack([np.clip(c[0] + c[1] * r[last], -12, 12) for c, r in zip(each, raw, strict=True)])
+    stacked = _platt(odds, target[last], np.array([0.0, 0.7, 0.7]))
+    return Model(fits[0].astype(np.float32), fits[1].astype(np.float32), np.array([*each[0], *each[1], *stacked]), tuple(told))
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", labelled: int = LABELLED, rounds: int = ROUNDS, against: float = AGAINST) -> Model | None:
