@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import signals
+from wavemill.sinks.snapshots import Log
 
 
 def load_windows(
@@ -21,14 +22,26 @@ def load_windows(
     samples: int | None = None,
     require_labels: bool = False,
     with_signal: bool = True,
+    snapshot: int | None = None,
+    ids: Sequence[str] = (),
+    verified: bool = False,
 ) -> DataFrame:
     """The windows that fit, their signals divided by the amplitude scale.
 
     Every condition is a plain predicate, so it is pushed down to the Parquet
     scan; without the signal its column is not read.  A view without windows,
     or one with unlabelled ones where labels are required, is an error.
+
+    ``snapshot`` reads that of a log of snapshots.  ``ids`` are looked up by
+    their range in the files' footers.  ``verified``: a window whose payload is
+    not what its manifest says raises when it is read.
     """
-    rows = spark.read.parquet(f"{path.rstrip('/')}/windows")
+    if snapshot is not None:
+        rows = Log(spark, path).read(snapshot)
+    else:
+        rows = spark.read.parquet(f"{path.rstrip('/')}/windows")
+    if ids:
+        rows = rows.filter(F.col("sample_id").isin(list(ids)))
     for name, value in (("split", split), ("sampling_rate_hz", None if rate is None else F.lit(rate).cast("float")), ("num_channels", channels), ("num_samples", samples)):
         if value is not None:
             rows = rows.filter(F.col(name) == value)
@@ -41,4 +54,8 @@ def load_windows(
     if require_labels and found.unlabelled:
         raise ValueError(f"{found.unlabelled} windows have no label")
     rows = rows.withColumn("label", F.coalesce("label", F.lit(-1)))
+    if verified and with_signal:
+        right = (F.size("signal") == F.col("num_channels")) & F.forall("signal", lambda c: F.size(c) == F.col("num_samples")) & (F.length("sample_id") > 0)
+        wrong = F.raise_error(F.concat(F.lit("payload is not what the manifest says: "), F.coalesce("sample_id", F.lit("?"))))
+        rows = rows.withColumn("signal", F.when(F.coalesce(right, F.lit(False)), F.col("signal")).otherwise(wrong.cast("array<array<float>>")))
     return rows.withColumn("signal", signals.scale(F.col("signal"), F.col("amplitude_scale"))) if with_signal else rows.drop("signal")

@@ -16,15 +16,19 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import time
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill import schema
 from wavemill.operators import audit, layout
+from wavemill.session import kept as stored
 
 
 class PublicationError(RuntimeError):
@@ -58,14 +62,56 @@ class Store:
             raise PublicationError(f"cannot move {old} to {new}")
 
     def write_text(self, name: str, text: str) -> None:
-        """By way of a temporary file, so that no reader sees half of it."""
-        temporary = f".{name}.tmp"
+        """By way of a temporary file that then takes the name, in one step: a
+        reader sees the old text or the new one, and a crash leaves one."""
+        temporary = self._temporary(name, text)
+        self._files().rename(self._at(temporary), self._at(name), self._options(self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE))
+
+    def put_if_absent(self, name: str, text: str) -> bool:
+        """Writes a file unless there is one of the name, in one step; whether it did."""
+        temporary = self._temporary(name, text)
+        try:
+            if self._fs.getUri().getScheme() == "file":  # here a rename would replace
+                return self._linked(temporary, name)
+            self._files().rename(self._at(temporary), self._at(name), self._options())
+            return True
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        finally:
+            self.delete(temporary)
+
+    def _temporary(self, name: str, text: str) -> str:
+        folder, _, last = name.rpartition("/")
+        temporary = f"{folder}/.{last}.{uuid.uuid4().hex}.tmp".lstrip("/")
         out = self._fs.create(self._at(temporary), True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.exists(name):
-            self.delete(name)
-        self.move(temporary, name)
+        return temporary
+
+    def _linked(self, temporary: str, name: str) -> bool:
+        try:
+            os.link(*[self._at(x).toUri().getPath() for x in (temporary, name)])
+        except FileExistsError:
+            return False
+        return True
+
+    def _files(self) -> Any:
+        return self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
+
+    def _options(self, *given: Any) -> Any:
+        out = SparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, len(given))
+        for k, x in enumerate(given):
+            out[k] = x
+        return out
+
+    def names(self, name: str, times: bool = False) -> list:
+        """What a folder holds; with ``times``, and when each was changed (in seconds)."""
+        if not self.exists(name):
+            return []
+        found = self._fs.listStatus(self._at(name))
+        return [(x.getPath().getName(), x.getModificationTime() / 1000) if times else x.getPath().getName() for x in found]
 
     def write_json(self, name: str, value: object) -> None:
         self.write_text(name, json.dumps(value, indent=2, sort_keys=True, default=str))
@@ -167,12 +213,15 @@ def publish(
     checked = schema.validate(good)
     kept = checked.filter("error is null").drop("error")
     try:
+        # all but the signals, with what is wrong: signals are read here and when they are written
+        marked = stored(checked.drop("signal"))
+        fine = marked.filter("error is null")
         bad = outcomes.filter("error is not null").select(F.col("source_uri").alias("path"), "error_type", "error").distinct()
         bad = bad if failures is None else bad.unionByName(failures.select("path", "error_type", "error"))
         bad.write.mode("overwrite").json(f"{store.root}/failures")
         unread = spark.read.schema("path string, error_type string, error string").json(f"{store.root}/failures")
         n_unread = unread.count()
-        rejected = checked.filter("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.min("source_uri").alias("first")).collect()
+        rejected = marked.filter("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.min("source_uri").alias("first")).collect()
         counts = {"strict": strict, "skipped_recordings": n_unread, "report_path": f"{store.root}/source_audit.json"} | (report or {})
         listed = unread.orderBy("path").limit(LISTED).collect()
         store.write_json(
@@ -182,10 +231,10 @@ def publish(
         if strict and (n_unread or rejected):
             first = "; ".join(f"{r.path}: {r.error}" for r in listed[:10])
             raise UnreadableError(f"{n_unread} unreadable recordings, {sum(r.n for r in rejected)} rejected windows: {first}")
-        twice = kept.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("source_uri").alias("a"), F.max("source_uri").alias("b")).filter("n > 1").limit(10).collect()
+        twice = fine.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("source_uri").alias("a"), F.max("source_uri").alias("b")).filter("n > 1").limit(10).collect()
         if twice:
             raise ValueError("sample ids occur twice: " + ", ".join(f"{r.sample_id} ({r.a}, {r.b})" for r in twice))
-        laid = kept.drop("shard_path", "record_batch", "row_in_batch").join(layout_of(kept, rows_per_batch, batches_per_shard), "sample_id")
+        laid = kept.drop("shard_path", "record_batch", "row_in_batch").join(layout_of(fine, rows_per_batch, batches_per_shard), "sample_id")
         laid = laid.select(*schema.WINDOW.names).repartition("shard_path").sortWithinPartitions("shard_path", "record_batch", "row_in_batch")
         laid.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_batch * batches_per_shard).parquet(f"{store.root}/{_STAGED}")
         staged = spark.read.parquet(f"{store.root}/{_STAGED}")
