@@ -22,6 +22,9 @@ COLUMNS = {
     "op4": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op5": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op12": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13": ["doc_id", "n_shingles", "component_id", "kept"],
 }
 
 
