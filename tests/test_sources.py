@@ -192,6 +192,8 @@ def test_reports_and_models(spark, tmp_path):
     assert both["metrics"]["auroc"]["difference"] == 0 and [r["batch"] for r in both["batches"]] == [4, 8]
     assert "| AUROC |" in spark.read.text(f"{model}/comparison.md", wholetext=True).first().value
     cli.main(["train", out, "--output", model], spark)
+    by_epoch = cli.main(["train", out, "--output", f"{model}-e", "--by-epoch", "--config", str(tmp_path / "c.yaml")], spark)
+    assert len(by_epoch["history"]) == 5 and {m["split"] for m in by_epoch["metrics"]} == {"val", "test"} and by_epoch["best_epoch"] > 0
     assert publishing.Store(spark, model).read_json("run.json")["parameters"] == 13
     epoch = cli.main(["benchmark-dataloader", out, "--split", "train"], spark)
     assert epoch["complete"] and epoch["expected"] == 24

@@ -7,10 +7,11 @@ import json
 import time
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill import catalog, config, ml
+from wavemill import catalog, config, ml, training
 from wavemill.functions import names
 from wavemill.operators import audit, experiments, layout, ranking
 from wavemill.session import ship
@@ -110,7 +111,20 @@ def _fit(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 
 def _train(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Trains and evaluates; with --output saves the model, metrics and run.json."""
+    """Trains and evaluates; with --output saves the model, metrics and run.json.
+    With --by-epoch it trains by mini-batches, keeps the best epoch of split val,
+    and goes on where an earlier call of the same plan has stopped."""
+    if args.by_epoch:
+        if not args.output:
+            raise ValueError("--by-epoch needs --output")
+        plan = training.Plan(**_settings(spark, args).section("training"))
+        vectors = ml.features(_dataset(spark, args.input).filter("label is not null"))
+        vectors = vectors.select("sample_id", "split", vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"))
+        state = training.fit(vectors, plan, f"{args.output}/epochs")
+        scored = training.scored(vectors.filter("split in ('val', 'test')"), state.best or state.weights)
+        found = {"metrics": [r.asDict() for r in ranking.binary_metrics(scored, "score", "y", ["split"]).collect()], "best_epoch": state.best_epoch, "history": state.history}
+        reports.save_json(spark, found, args.output, "metrics.json")
+        return found
     rows, settings = _dataset(spark, args.input), _fit(spark, args)
     found = {"metrics": [r.asDict() for r in ml.train_and_evaluate(rows, **settings).collect()]}
     if args.output:
@@ -285,6 +299,8 @@ def parser() -> argparse.ArgumentParser:
         verb = add(name, run)
         verb.add_argument("--config")
         verb.add_argument("--output")
+        if name == "train":
+            verb.add_argument("--by-epoch", action="store_true")
         if name == "reproduce":
             verb.add_argument("--seeds", type=int, nargs="+", default=(0, 1, 2, 3, 4))
     verb = add("check-checkpoint", _check)
