@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # kept frames go with the last frame that reads them
     }
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
