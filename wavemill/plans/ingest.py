@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wavemill import schema
 from wavemill.operators import audit, sidecars
-from wavemill.streaming import ingest
+from wavemill.streaming import epochs, ingest
 
 from . import carriers as K
 from .registry import query
@@ -178,3 +178,20 @@ def stream_running_progress(spark, sf_dir):
     progress.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
     return found.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("repeated").alias("repeated"), F.max("highest").alias("highest"), F.max("top").alias("top"))
+
+
+@query(f"WITH {K.TRIALS_SQL} SELECT epoch, sample_id, 1::BIGINT AS n FROM trials, (SELECT unnest(range(0, 2)) AS epoch)")
+def stream_epochs_by_rank(spark, sf_dir):
+    """Two epochs of the trials as two ranks read them: every trial once in each."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/epochs-{os.urandom(8).hex()}"
+    K.windows(spark, sf_dir).repartition("subject_id").write.parquet(f"{folder}/windows")
+    rows = epochs.prepare(spark, f"{folder}/windows", f"{folder}/plan")
+    for rank in range(2):
+
+        def append(batch, number, rank=rank):
+            batch.write.mode("overwrite").parquet(f"{folder}/out/rank={rank}/batch={number}")
+
+        stream = epochs.epochs(spark, f"{folder}/plan", count=2, seed=11, rank=rank, world=2, batch_rows=max(1, rows // 2), columns=["sample_id"])
+        epochs.consume(stream, append, f"{folder}/checkpoint-{rank}")
+    return spark.read.parquet(f"{folder}/out").groupBy("epoch", "sample_id").agg(F.count("*").alias("n"))

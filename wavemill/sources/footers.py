@@ -64,11 +64,11 @@ def _described(path: str, key: str) -> tuple:
     return path, meta.num_rows, text, hashlib.sha256(text.encode()).hexdigest(), None if low is None else str(low), None if high is None else str(high), nulls, None, None
 
 
-def catalogue(spark: SparkSession, root: str, key: str = "sample_id") -> DataFrame:
-    """A row for each Parquet file under ``root``: its rows, schema fingerprint,
+def catalogue(spark: SparkSession, root: str | Sequence[str], key: str = "sample_id") -> DataFrame:
+    """A row for each Parquet file under ``root`` (or several): its rows, schema fingerprint,
     and the range of ``key`` (a text column); ``nulls`` is -1 where the range is
     not known.  A file that is no Parquet file has an error instead."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root if isinstance(root, str) else list(root)).select("path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
