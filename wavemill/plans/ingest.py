@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wavemill import schema
 from wavemill.operators import audit, sidecars
-from wavemill.streaming import epochs, ingest
+from wavemill.streaming import arrivals, epochs, ingest
 
 from . import carriers as K
 from .registry import query
@@ -195,3 +195,22 @@ def stream_epochs_by_rank(spark, sf_dir):
         stream = epochs.epochs(spark, f"{folder}/plan", count=2, seed=11, rank=rank, world=2, batch_rows=max(1, rows // 2), columns=["sample_id"])
         epochs.consume(stream, append, f"{folder}/checkpoint-{rank}")
     return spark.read.parquet(f"{folder}/out").groupBy("epoch", "sample_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+r AS (SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS "end", count(*) AS n FROM s GROUP BY user_id, k)
+SELECT * FROM r WHERE "end" + 21600000000 <= (SELECT (max(epoch_ms(ts)) - 86400000) * 1000 FROM events)"""
+)
+def stream_closed_sessions(spark, sf_dir):
+    """A stream of the users' events: sessions of 6 hours that timers close, a day behind the newest event."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/sessions-{os.urandom(8).hex()}"
+    events = K.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    own = arrivals.session_for_state(spark)
+    source = own.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = arrivals.closed_sessions(source, ["user_id"], ["event_id"], "ts", 21_600.0, "1 day")
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return rows.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
