@@ -112,6 +112,9 @@ def test_what_cannot_be_is_refused(spark):
         A.closed_sessions(rows, ["rec"], ["id"], "ts", 1, "1 second")
     with pytest.raises(ValueError, match="positive"):
         A.closed_sessions(rows, ["rec"], ["id"], "ts", 0, "1 second")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sized = [A.session_for_state(spark, n).conf.get("spark.sql.shuffle.partitions") for n in (None, 0, 5_000_001)]
+    assert sized == [sized[0], "8", "51"] and spark.conf.get("spark.sql.shuffle.partitions") == before
     own = A.session_for_state(spark).createDataFrame([], ROWS).withColumnRenamed("rec", "n")
     with pytest.raises(ValueError, match="clash"):
         A.closed_sessions(own, ["n"], ["id"], "ts", 1, "1 second")

@@ -208,7 +208,7 @@ def stream_closed_sessions(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared.rstrip('/')}/sessions-{os.urandom(8).hex()}"
     events = K.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    own = arrivals.session_for_state(spark)
+    own = arrivals.session_for_state(spark, most=events.count())
     source = own.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     found = arrivals.closed_sessions(source, ["user_id"], ["event_id"], "ts", 21_600.0, "1 day")
     found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -22,15 +22,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: What keeps lists and timers; the default provider does not.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Entries of state in a partition, and partitions of a stream's state at the least.
+STATE_ROWS, LEAST_PARTITIONS = 100_000, 8
+
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "start long, end long, n long, expected long"
 
 
-def session_for_state(spark: SparkSession) -> SparkSession:
+def session_for_state(spark: SparkSession, most: int | None = None) -> SparkSession:
     """A session of the same application whose streams keep lists and timers;
-    the settings of ``spark`` are left alone."""
+    the settings of ``spark`` are left alone.
+
+    ``most``: how many ids and recordings are held at a time, at the most.  A
+    stream's state keeps the number of partitions that it starts with, and each
+    is a store of several megabytes however little it holds, so there are as many
+    as that needs (``STATE_ROWS`` each) in place of ``spark.sql.shuffle.partitions``.
+    """
     own = spark.newSession()
     own.conf.set(_SETTING, PROVIDER)
+    if most is not None:
+        own.conf.set("spark.sql.shuffle.partitions", str(max(LEAST_PARTITIONS, -(-most // STATE_ROWS))))
     return own
 
 
