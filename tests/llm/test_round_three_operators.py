@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wavemill.llm import fill_middle, periodic_runs, super_minhash
+from wavemill.llm import common, fill_middle, periodic_runs, super_minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, node long, runs int, fim int, n string"
@@ -266,6 +266,32 @@ def test_groups_of_chains_at_the_threshold(spark, block, monkeypatch):
     assert found_groups(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(want, key=str)
 
 
+@pytest.fixture
+def kept_files(spark, monkeypatch):
+    """Partitions, so files, of each frame that is kept, with 40 shuffle partitions that nothing merges."""
+    change = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in change}
+    files, plain = [], common.durable
+
+    def durable(*args):
+        found = plain(*args)
+        files.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(common, "durable", durable)
+    for key, value in change.items():
+        spark.conf.set(key, value)
+    yield files
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_groups_keep_few_files(docs, rows, kept_files):
+    assert found_groups(docs) == sorted(groups_by_hand(rows), key=str)
+    assert len(kept_files) > 8
+    assert sum(n > 4 for n in kept_files) <= 4  # what units compare is dealt over all partitions
+
+
 def slow_signature(elements, size):
     """SuperMinHash of one set as it is defined, without early stopping."""
     from wavemill.llm.common import mix64

@@ -191,13 +191,23 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Rows to a file of a kept frame whose rows are counted.
+FILE_ROWS = 1 << 15
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The frame computed once and kept in the shared folder.
 
     Cuts the lineage, and survives the loss of executors.  The shuffle files it
     took are dropped as soon as it is kept, as nothing can ask for them again.
+    ``rows``: about how many rows its last step reads, where that is known; it is
+    then kept in no more files than those rows need, as executors start child
+    processes for each file they make (Hadoop's local files without its native
+    library), and a partition of a few rows is not worth a task.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(_CLEAN, "false")

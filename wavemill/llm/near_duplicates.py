@@ -145,7 +145,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = met(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = met(large, down).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b")))
-        edges = C.durable(small.distinct())
+        edges = C.durable(small.distinct(), 2 * count)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -173,7 +173,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _dealt(units: DataFrame) -> DataFrame:
-    return units.repartition(C.partitions(units.sparkSession), *_UNIT).sortWithinPartitions(*_UNIT, "side", "node")
+    return units.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "side", "node")
 
 
 def _candidates(units: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _sets_of(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFram
 def _linked(docs: DataFrame, id: str, text: str, units: DataFrame) -> DataFrame:
     """The ties of units of (key, i, j, side, node, own)."""
     some = C.durable(_candidates(units))
-    grams = _sets_of(docs, id, text, C.durable(some.select("node", "copy_id").distinct()))
+    grams = _sets_of(docs, id, text, C.durable(some.select("node", "copy_id").distinct(), some.count()))
     return C.durable(_ties(some.drop("copy_id").join(grams, "node")))
 
 
@@ -257,7 +257,7 @@ _ROW = ["key", "i", "j", "side", "node", "own", "copy_id", "n", "signature"]
 
 def star_units(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Each class with the least class of each of its runs."""
-    stars = C.durable(members.filter("node <> least").select(F.col("least").alias("key"), "node").distinct())
+    stars = C.durable(members.filter("node <> least").select(F.col("least").alias("key"), "node").distinct(), members.count())
     stars = stars.join(classes, "node")
     sizes = stars.groupBy("key").agg(_blocks().alias("blocks"))
     rows = stars.join(sizes, "key").withColumn("j", _dealt_to("blocks")).withColumn("side", F.lit(1))
@@ -293,11 +293,12 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     table gives an empty one.
     """
     rows = C.durable(sketch(docs, id, text))
+    count = rows.count()
     classes = rows.filter("n > 0").groupBy("node", "check", "n").agg(F.min("id").alias("copy_id"), F.first("signature").alias("signature"))
-    classes = C.durable(classes).drop("check")
+    classes = C.durable(classes, count).drop("check")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS + 1, F.lit(ROWS))))
     keyed = classes.select("node", F.explode(bands).alias("key"))
-    runs = C.durable(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").select("key", "least"))
+    runs = C.durable(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").select("key", "least"), BANDS * count)
     members = C.durable(keyed.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, "key"))
     ties = _linked(docs, id, text, star_units(members, classes))
     parts = connected(ties)
