@@ -292,6 +292,11 @@ def test_groups_keep_few_files(docs, rows, kept_files):
     assert sum(n > 4 for n in kept_files) <= 4  # what units compare is dealt over all partitions
 
 
+def test_the_index_of_texts_is_kept_in_one_file(docs, rows, kept_files):
+    assert sorted(fim_rows(docs), key=str) == sorted([fim_by_hand(r[0], r[1]) for r in rows], key=str)
+    assert kept_files == [1] * len(kept_files) and kept_files
+
+
 def slow_signature(elements, size):
     """SuperMinHash of one set as it is defined, without early stopping."""
     from wavemill.llm.common import mix64

@@ -124,7 +124,7 @@ def with_boundaries(docs: DataFrame, text: str, name: str) -> DataFrame:
     key, size, salt, salts, same = (_fresh(docs, f"_fim_{x}") for x in ("key", "size", "salt", "salts", "same"))
     keyed = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     groups = keyed.groupBy(key, size).count().filter("count > 1").select(key, size, F.ceil(F.col("count") / SALT_ROWS).cast("int").alias(salts))
-    groups = C.durable(groups)
+    groups = C.durable(groups, docs.count())
     tagged = keyed.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, [key, size], "left")
     alone = tagged.filter(F.col(salts).isNull()).select(*docs.columns, F.lit(None).cast("binary").alias(name))
     copies = tagged.filter(F.col(salts).isNotNull())
