@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -453,6 +454,20 @@ def test_katz_does_not_depend_on_groups_or_kind_of_id(spark, docs, monkeypatch):
         assert a[1:5] == b[1:5] and a[5:] == pytest.approx(b[5:], abs=1e-9) and (a[0] or "nNone") == f"n{b[0]}"
 
 
+def test_katz_counts_a_group_in_little_memory(monkeypatch):
+    monkeypatch.setattr(common, "_powers", {b: common._Powers(b) for b in common._powers})
+    text = " ".join(map(str, np.random.default_rng(3).integers(0, 50_000, 400).tolist()))
+    group = pa.table({"id": list(range(4500)), "text": [text] * 4500, "held_out": [False] * 4500, "g": pa.array([0] * 4500, pa.int32())})
+    tracemalloc.start()
+    try:
+        katz._count_words(8)(group)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    size = group["text"].nbytes
+    assert size > 10_000_000 and peak < 16 * size and held < 8 * size  # a worker keeps its tables of powers
+
+
 def test_katz_orders_keys_that_differ_in_low_bits():
     rng = np.random.default_rng(33)
     for n in (0, 1, 5, 3000):

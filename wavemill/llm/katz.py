@@ -63,6 +63,8 @@ SMALL, LARGE, SHARE, LEAST = 5, 1 - 1e-5, 2048, 10_000
 ORDER, GROUP_BYTES = 3, 20 << 20
 #: Turns in which n-grams move, so that not all are on the way at once.
 ROUNDS = 2
+#: Tokens of a group that are scored together.
+PART = 1 << 17
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x5747A127B0B5EED3)
 
 #: The bits of a history's key.
@@ -120,9 +122,11 @@ def _order(keys: np.ndarray) -> np.ndarray:
     """
     n = len(keys)
     bits = np.uint64(max(1, n.bit_length()))
-    packed = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)
+    packed = keys >> bits
+    packed <<= bits
+    packed |= np.arange(n, dtype=np.uint64)
     packed.sort()
-    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
     found = keys[order]
     wrong = np.flatnonzero(found[1:] < found[:-1])
     if len(wrong):
@@ -163,7 +167,7 @@ def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(docs: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         words_of, sizes = [], []
-        for part in C.chunks(docs.to_batches(), size=4 * C.CHUNK_BYTES):
+        for part in C.chunks(docs.to_batches()):
             found = C.Words(*C.text_bytes(part.column(1)))
             counts = found.counts
             w = np.full(len(found.start) + len(counts), END, np.uint64)
@@ -247,12 +251,15 @@ class _Level:
         at, of = _distinct(gram)
         keys = _keys(h[at], gram[at], heavy, buckets)
         order = _order(keys)
+        self.keys = keys[order]
+        del keys
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.of = place[of]  # of each token
+        del of, place
         self.first = at[order]  # a token of each
-        self.keys = keys[order]
-        new = np.ones(len(order), bool)
+        del at, order
+        new = np.ones(len(self.keys), bool)
         new[1:] = self.keys[1:] != self.keys[:-1]
         self.hs, self.history = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
         bounds = np.arange(buckets + 1)
@@ -262,8 +269,8 @@ class _Level:
 
 class _Group:
     """Tokens of a group with what is known of each in every order so far:
-    count and history's count and, if it is to be scored, log10 of its
-    probability, by token."""
+    count and history's count or, if it is to be scored, log10 of its
+    probability, by token; known words and base scores by document."""
 
     def __init__(self, docs: pa.Table, answers: pa.Table, scored: bool, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> None:
         row = docs.to_pylist()[0]
@@ -273,13 +280,15 @@ class _Group:
         counted = sorted((x["bucket"], x["words"], x["counts"]) for x in answers.filter(pa.array(ks == 1)).select(["bucket", "words", "counts"]).to_pylist())
         words = np.concatenate([_unpack(x[1], np.uint64, True) for x in counted])
         counts = np.concatenate([_unpack(x[2], np.int64) for x in counted])
-        self.w, self.count = words[code], counts[code]
+        self.w = words[code]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.above, self.gram = np.full(len(self.w), uni.tokens, np.int64), self.w
+        self.gram = self.w
         if scored:
-            self.cw, self.log = self.count, np.log10(uni.p(counts))[code]
-        del code, words, counted
+            self.known, self.base, self.log = self.per_doc((counts > 0)[code]), self.per_doc(uni.base(counts)[code]), np.log10(uni.p(counts))[code]
+        else:
+            self.count, self.above = counts[code], np.full(len(self.w), uni.tokens, np.int64)
+        del row, code, words, counts, counted
         for k, heavy, d, heavy_alpha in zip(range(2, len(ds) + 2), heavies, ds, alphas, strict=False):
             h, self.gram = _next(self.w, self.gram, self.begins, k)
             level = _Level(h, self.gram, heavy, buckets)
@@ -298,13 +307,20 @@ class _Group:
                 often = heavy[at] == hs
                 la[often] = heavy_alpha[at[often]]
             del h
-            history = level.history
-            self.count, self.above = r[level.of], ch[history][level.of]
             if not scored:
+                self.count, self.above = r[level.of], ch[level.history][level.of]
                 continue
-            own = np.log10(d[np.where(r > SMALL, 0, r)] * np.maximum(r, 1) / np.maximum(ch[history], 1))
-            backs = np.where(ch > 0, la, 0)[history]
-            self.log = np.where(self.count > 0, own[level.of], backs[level.of] + self.log)
+            la[ch == 0] = 0
+            for low in range(0, len(level.of), PART):  # so that no array of all tokens is made on the way
+                part = slice(low, low + PART)
+                of, log = level.of[part], self.log[part]
+                count, history = r[of], level.history[of]
+                own = np.log10(d[np.where(count > SMALL, 0, count)] * np.maximum(count, 1) / np.maximum(ch[history], 1))
+                log[:] = np.where(count > 0, own, la[history] + log)
+            del level, r, ch, la
+
+    def per_doc(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=x, minlength=len(self.held))
 
 
 def _send(k: int, turn: int, buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.ndarray], alphas: list[np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -407,9 +423,8 @@ def _finish(buckets: int, uni: Unigrams, heavies: list[np.ndarray], ds: list[np.
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         group = _Group(docs, answers, True, buckets, uni, heavies, ds, alphas)
-        per_doc = lambda x: np.bincount(group.doc, weights=x, minlength=len(group.held))
         ids = pa.ipc.open_stream(group.ids).read_all()["id"]
-        return pa.table({"id": ids, "held_out": pa.array(group.held), "n_tokens": group.sizes.astype(np.int64), "n_known": per_doc(group.cw > 0).astype(np.int64), "base_score": per_doc(uni.base(group.cw)), "score": per_doc(group.log)})
+        return pa.table({"id": ids, "held_out": pa.array(group.held), "n_tokens": group.sizes.astype(np.int64), "n_known": group.known.astype(np.int64), "base_score": group.base, "score": group.per_doc(group.log)})
 
     return run
 
