@@ -1,6 +1,7 @@
 """The recording engine: functions, windows, metrics, planning, audits."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -150,6 +151,49 @@ def test_bundles(spark):
     assert sorted(r.paths for r in layout.bundle_plan(frame, "by", "path", "size", 100, 4).collect()) == layout.plan_bundles(many, 100, 4)
 
 
+def test_bundles_of_a_large_group(spark):
+    """One group of 20,000: its plan must not be a fold over rows and bundles."""
+    sizes = np.random.default_rng(2).integers(1, 120, 20_000)
+    many = [(f"p{k:05d}", int(n)) for k, n in enumerate(sizes)]
+    frame = spark.createDataFrame([("d", *x) for x in many], "by string, path string, size long")
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        found = layout.bundle_plan(frame, "by", "path", "size", 100, 4).collect()
+    finally:
+        late.cancel()
+    assert sorted(r.paths for r in found) == layout.plan_bundles(many, 100, 4)
+    assert sum(r.bytes for r in found) == sizes.sum()
+
+
+def test_bundles_of_odd_recordings(spark):
+    odd = [("a", "x", 0), ("a", "x", 0), ("a", None, 60), ("a", "y", None), ("a", "z", None), ("a", "big", 150), ("a", "less", -60), (None, "n", 40), (None, "m", 40), (None, "o", 40)]
+    frame = spark.createDataFrame(odd, "by string, path string, size long")
+    plan = lambda target, most: sorted(((r.by, r.paths, r.bytes) for r in layout.bundle_plan(frame, "by", "path", "size", target, most).collect()), key=repr)
+    want = [("a", ["big", "less"], 90), ("a", ["x", "x", None], 60), ("a", ["y"], None), ("a", ["z"], None), (None, ["m", "n"], 80), (None, ["o"], 40)]
+    assert plan(100, 3) == sorted(want, key=repr)
+    assert plan(0, 3) == sorted([(by, [path], size) for by, path, size in odd], key=repr)
+    with pytest.raises(ValueError):
+        layout.bundle_plan(frame, "by", "path", "size", 100, 0)
+
+
+@pytest.mark.parametrize("block", [1, 2, 128])
+def test_first_fit_by_runs(monkeypatch, block):
+    monkeypatch.setattr(layout, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for target, most, top in [(100, 3, 60), (100, 8, 130), (20, 50, 9), (50, 1, 50), (0, 4, 9)] * 8:
+        sizes = sorted(rng.integers(1, top, 150).tolist(), reverse=True)
+        bundles = []
+        for place, items, first, each in layout.first_fit([(x, sizes.count(x)) for x in sorted({*sizes}, reverse=True)], target, most):
+            assert place == len(bundles)
+            bundles += [first + k // each for k in range(items)]
+        found = {}
+        for k, bundle in enumerate(bundles):
+            found.setdefault(bundle, []).append(f"{k:03d}")
+        assert sorted(found.values()) == layout.plan_bundles([(f"{k:03d}", x) for k, x in enumerate(sizes)], target, most)
+    assert list(layout.first_fit([(60, 10**9), (40, 10**9 + 1)], 100, 2)) == [(0, 10**9, 0, 1), (10**9, 10**9, 0, 1), (2 * 10**9, 1, 10**9, 1)]
+
+
 def test_size_estimates(spark):
     files = spark.createDataFrame([("/a/x_eeg.set", 10), ("/a/x_eeg.fdt", 90), ("/a/y.edf", 0)], "path string, length long")
     assert {r.path: r.bytes for r in layout.size_estimates(files).collect()} == {"/a/x_eeg.set": 100, "/a/y.edf": 1}

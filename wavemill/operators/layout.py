@@ -6,7 +6,8 @@ and key: a seeded permutation that needs no state.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 from wavemill.operators import ordered
 
+#: Runs of bundles in a block, and places of items in a cell.
+BLOCK, CELL = 128, 16
+
 
 def shard_layout(windows: DataFrame, bundle: str, order: Sequence[str], rows_per_batch: int, batches_per_shard: int) -> DataFrame:
     """``shard``, ``record_batch`` and ``row_in_batch`` within each bundle."""
@@ -74,21 +78,112 @@ def plan_bundles(sizes: list[tuple[str, int]], target: int, most: int) -> list[l
     return sorted(sorted(paths) for _, paths in bundles)
 
 
+def first_fit(sizes: Iterable[tuple[int | None, int]], target: int, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """First-fit bundles of items, given as falling sizes and how often each comes.
+
+    Yields the place of a first item, a number of items, the first of their
+    bundles and how many of them each bundle gets, in the order of the items.
+    Items of one size fill the first bundle they fit, then the next one.  So
+    neighbouring bundles with as much room and as many free slots are one run,
+    and time and memory go with the sizes that differ, not with the items.
+    Runs stand in blocks, of which only those with room enough are looked at.
+    An item of unknown size is alone.
+    """
+    none = np.iinfo(np.int64).min
+    slots_each = 1 if target <= 0 else most
+    blocks: list[list[tuple[int, int, int, int]]] = [[]]  # of runs: room, free slots, first bundle, bundles
+    tops = np.array([none])  # the most room in each block
+    place = number = 0
+
+    def more(room: int, slots: int, size: int) -> int:
+        if room < size:
+            return 0
+        return slots if size <= 0 else min(slots, room // size)
+
+    def top(runs: list[tuple[int, int, int, int]]) -> int:
+        return max((room for room, *_ in runs), default=none)
+
+    for size, items in sizes:
+        if size is None:
+            yield place, items, number, 1
+            place, number = place + items, number + items
+            continue
+        at = 0
+        while items and at < len(blocks):
+            fits = tops[at:] >= size
+            at += int(fits.argmax())
+            if tops[at] < size:
+                break
+            after = []
+            for k, run in enumerate(blocks[at]):
+                if not items:
+                    after += blocks[at][k:]
+                    break
+                room, slots, first, count = run
+                each = more(room, slots, size)
+                if not each:
+                    after.append(run)
+                    continue
+                for bundles, put in ((min(count, items // each), each), (1, items % each)):
+                    if items and count and bundles and put:
+                        yield place, bundles * put, first, put
+                        if slots > put:
+                            after.append((room - put * size, slots - put, first, bundles))
+                        place, items = place + bundles * put, items - bundles * put
+                        first, count = first + bundles, count - bundles
+                if count:
+                    after.append((room, slots, first, count))
+            blocks[at], tops[at] = after, top(after)
+            if len(after) > 2 * BLOCK:
+                blocks[at : at + 1] = after[:BLOCK], after[BLOCK:]
+                tops = np.insert(tops, at, top(after[:BLOCK]))
+                at += 1
+                tops[at] = top(after[BLOCK:])
+            at += 1
+        if not items:
+            continue
+        each = 1 + more(target - size, slots_each - 1, size)
+        for bundles, put in ((items // each, each), (1, items % each)):
+            if bundles and put:
+                yield place, bundles * put, number, put
+                if slots_each > put:
+                    if len(blocks[-1]) >= BLOCK:
+                        blocks.append([])
+                        tops = np.append(tops, none)
+                    blocks[-1].append((target - put * size, slots_each - put, number, bundles))
+                    tops[-1] = max(tops[-1], target - put * size)
+                place, number = place + bundles * put, number + bundles
+
+
 def bundle_plan(sizes: DataFrame, by: str, path: str, size: str, target: int, most: int) -> DataFrame:
-    """The same plan for each group (a dataset, say), as one fold in the JVM."""
-    items = F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("less"), F.col(path).alias("path"))))
-    empty = F.array().cast("array<struct<bytes:bigint,paths:array<string>>>")
-
-    def put(bundles: Column, item: Column) -> Column:
-        need = -item["less"]
-        fits = F.transform(bundles, lambda b: (F.size(b["paths"]) < most) & (b["bytes"] + need <= target))
-        at = F.array_position(fits, F.lit(True))
-        grown = F.transform(bundles, lambda b, i: F.when(i + 1 == at, F.struct((b["bytes"] + need).alias("bytes"), F.array_append(b["paths"], item["path"]).alias("paths"))).otherwise(b))
-        fresh = F.array_append(bundles, F.struct(need.cast("long").alias("bytes"), F.array(item["path"]).alias("paths")))
-        return F.when(at > 0, grown).otherwise(fresh)
-
-    plans = sizes.groupBy(by).agg(items.alias("_items")).select(by, F.aggregate("_items", empty, put).alias("_bundles"))
-    return plans.select(by, F.explode("_bundles").alias("_b")).select(by, F.array_sort("_b.paths").alias("paths"), F.col("_b.bytes").alias("bytes"))
+    """The same plan for each group (a dataset, say), of any number of recordings.
+
+    Only a group's distinct sizes and their counts meet in a task, which plans
+    for runs of recordings; recordings find their run by their place in the
+    group, and meet by bundle.
+    """
+    if most <= 0:
+        raise ValueError("bundles must hold at least one recording")
+    rows = sizes.select(F.col(by).alias("_by"), F.col(path).alias("_path"), F.col(size).cast("long").alias("_size"))
+    placed = ordered.ordinals(rows, ["_by"], [F.col("_size").desc_nulls_last(), "_path"], "_k").withColumn("_k", F.col("_k") - 1).withColumn("_cell", F.expr(f"_k div {CELL}"))
+
+    def plan(counts: pa.Table) -> pa.Table:
+        counts = counts.sort_by([("_size", "descending")])  # nulls are at the end
+        fitted = first_fit(zip(counts["_size"].to_pylist(), counts["_n"].to_pylist(), strict=True), target, most)
+        found = np.fromiter(chain.from_iterable(fitted), np.int64).reshape(-1, 4)
+        return pa.table([counts["_by"].take(pa.array(np.zeros(len(found), np.int64))), *map(pa.array, found.T)], ["_of", *numbers])
+
+    numbers = ["_first", "_items", "_bundle", "_each"]
+    schema = T.StructType([T.StructField("_of", rows.schema["_by"].dataType), *[T.StructField(c, T.LongType()) for c in numbers]])
+    counts = placed.groupBy("_by", "_size").agg(F.count("*").alias("_n"))
+    # few bytes, but work: not to be joined into few tasks
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = counts.repartition(parts, "_by").groupBy("_by").applyInArrow(plan, schema)
+    cells = runs.withColumn("_in", F.explode(F.expr(f"sequence(_first div {CELL}, (_first + _items - 1) div {CELL})")))
+    own = F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_cell") == F.col("_in")) & (F.col("_k") >= F.col("_first")) & (F.col("_k") < F.col("_first") + F.col("_items"))
+    put = placed.join(cells, own).withColumn("_bundle", F.expr("_bundle + (_k - _first) div _each"))
+    paths = F.array_sort(F.transform(F.collect_list(F.struct("_path")), lambda x: x["_path"]))
+    return put.groupBy("_by", "_bundle").agg(paths.alias("paths"), F.sum("_size").alias("bytes")).select(F.col("_by").alias(by), "paths", "bytes")
 
 
 def fingerprint(*parts: Column) -> Column:
